@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import chat_format, mixing, piece_encode, quality_rules, simhash, topk, url_filter
+from keyfold.llm import chat_format, mixing, piece_encode, quality_classifier, quality_rules, simhash, token_scan, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The conversation that op2 adds: its texts hold the template's own marks.
 EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -84,6 +91,23 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
 
+#: Of byte_bpe_50k: the id that no text encodes to.
+END_OF_DOCUMENT = 50256
+
+
+def byte_bpe():
+    """A function from a text to its ids in byte_bpe_50k; control strings in a text are ordinary text."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_scan.count_tokens(docs, byte_bpe, END_OF_DOCUMENT).select("doc_id", "n_tokens")
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
