@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,35 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, which is counted; else df, and the join shuffles. df should be a cut() one."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def whole_groups(batches, n_keys: int):
+    """Tuples of numpy columns out of record batches sorted by their first n_keys columns, cut only between groups of equal keys.
+
+    Yields (columns, starts, ends) with the first row of each group and the row after its last. Of a
+    group that goes on in the next batch nothing is yielded before its end.
+    """
+    def split(columns):
+        change = np.zeros(len(columns[0]) - 1, bool)
+        for c in columns[:n_keys]:
+            change |= c[1:] != c[:-1]
+        at = np.flatnonzero(change) + 1
+        return np.concatenate([[0], at]), np.concatenate([at, [len(columns[0])]])
+
+    held = []  # batches of one group that has not ended
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        starts, ends = split(now)
+        if held and all(h[-1] == c[0] for h, c in zip(held[0][:n_keys], now)) and len(starts) == 1:
+            held.append(now)
+            continue
+        last = starts[-1]
+        whole = tuple(np.concatenate([*(h[k] for h in held), c[:last]]) for k, c in enumerate(now))
+        held = [tuple(c[last:] for c in now)]
+        if len(whole[0]):
+            yield (whole, *split(whole))
+    if held:
+        whole = tuple(np.concatenate(c) for c in zip(*held))
+        yield (whole, *split(whole))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyfold.llm.graph import components
-from keyfold.llm.runtime import bounded_batches, cut
+from keyfold.llm.runtime import bounded_batches, cut, whole_groups
 
 SEED = 42
 #: Fingerprints of an upper node beyond which it is split.
@@ -134,22 +134,7 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
     """a, b: links found in nodes (node, pattern, fp), each small enough for one task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                now = tuple(c.to_numpy() for c in batch.columns[:3])
-                rest = now if rest is None else tuple(np.concatenate(x) for x in zip(rest, now))
-            if rest is None or not len(rest[0]):
-                continue
-            node, pattern, fp = rest
-            change = np.flatnonzero((node[1:] != node[:-1]) | (pattern[1:] != pattern[:-1])) + 1
-            starts = np.concatenate([[0], change])
-            ends = np.concatenate([change, [len(node)]])
-            if batch is not None:  # the last group may go on
-                rest = tuple(x[starts[-1] :] for x in rest)
-                starts, ends = starts[:-1], ends[:-1]
-            else:
-                rest = None
+        for (_, _, fp), starts, ends in whole_groups((b.select([0, 1, 2]) for b in batches), 2):
             codes = fp.view(np.uint64)
             sizes = ends - starts
             two = starts[sizes == 2]
@@ -168,11 +153,6 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(scan, "a long, b long").distinct()
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     """a, b: links between distinct fingerprints `fp` that connect all that a chain of pairs within the radius connects."""
     if radius not in BLOCKS:
