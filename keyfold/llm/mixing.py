@@ -169,7 +169,8 @@ class Mix:
         spread = self.layout.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"offset div {self.block_words}"), F.expr(f"(offset + size - 1) div {self.block_words}"))))
         start = F.greatest(F.col("offset"), F.col("block") * b)
         parts = spread.select("source_no", "block", "offset", "doc_id", "row_hash", (start - F.col("offset")).alias("first_word"), (F.least(end, (F.col("block") + 1) * b) - start).alias("n_words"))
-        return self.slot_rows().join(parts, ["source_no", "block"])
+        # The planner takes the slots for as few rows as there are shards and would broadcast them.
+        return self.slot_rows().hint("merge").join(parts, ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """doc_id, row_hash, size, source_size, target and taken, the words that the mix takes of the document, repeats counted."""

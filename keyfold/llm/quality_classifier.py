@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import bounded_batches, cut
+from keyfold.llm.runtime import bounded_batches, cut, numbered
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 BUCKETS = 1 << 14
@@ -97,7 +97,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, keep: list[str], text: str = "te
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(words)), pa.array(weight), pa.array(weight + gumbel(ids, seed))], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(score, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(score, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut
+from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut, numbered
 from keyfold.llm.textblocks import TextBlock, blocks
 
 MIN_WORDS = 20
@@ -77,7 +77,7 @@ def block_features(block: TextBlock) -> dict[str, np.ndarray]:
 def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs and FEATURES of its texts; a null text has no words."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = numbered(docs, [*keep, text])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f, T.LongType()) for f in FEATURES])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             texts = batch.column(batch.num_columns - 1)
             parts = [block_features(b) for _, _, b in blocks(texts)]
             found = [pa.array(np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, np.int64)) for f in FEATURES]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*keep, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
 
     return source.mapInArrow(scan, schema)
 

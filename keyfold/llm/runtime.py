@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, which is counted; else df, and the join shuffles. df should be a cut() one."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -71,3 +81,8 @@ def whole_groups(batches, n_keys: int):
     if held:
         whole = tuple(np.concatenate(c) for c in zip(*held))
         yield (whole, *split(whole))
+
+
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, renamed c0, c1, ..., so that no name of theirs can clash with one that an operator adds."""
+    return df.select(*(F.col(f"`{c}`") for c in columns)).toDF(*(f"c{k}" for k in range(len(columns))))

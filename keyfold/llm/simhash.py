@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from keyfold.llm.graph import components
-from keyfold.llm.runtime import bounded_batches, cut, whole_groups
+from keyfold.llm.runtime import bounded_batches, cut, numbered, whole_groups
 
 SEED = 42
 #: Fingerprints of an upper node beyond which it is split.
@@ -66,7 +67,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shin
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*keep, name])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(scan, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(scan, schema)
 
 
 def gray_rank(code: Column) -> Column:
@@ -201,3 +202,19 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_colum
     of = reached.join(least, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("__linked"))
     table = fps.join(of, "fp", "left").select("fp", F.coalesce("__linked", "least").alias("component_id"))
     return prints.join(table, "fp").select(*keep, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, text: str = "text", most: int = MOST) -> DataFrame:
+    """One row of each near-duplicate group, with docs' own columns: that of the smallest (doc_id, row hash), null ids last; of equal rows one."""
+    names = docs.columns
+    inner = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    id_column, text_column = f"c{names.index('doc_id')}", f"c{names.index(text)}"
+    keyed = inner.withColumns({"__row": F.xxhash64(*inner.columns), "__text": F.xxhash64(F.col(text_column), F.lit(1))})
+    groups = near_duplicates(keyed, radius, shingle, id_column, text_column, [id_column, "__row", "__text"], most)
+    # A group is known by its smallest id, but rows without ids may make groups of their own: the fingerprint tells these apart.
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    best = F.min(F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("d"), F.col("__row").alias("r"), F.col("__text").alias("t")))
+    keep = groups.groupBy(*group).agg(best.alias("b")).select(F.col("b.r").alias("__row"), F.col("b.t").alias("__text"))
+    met = keyed.join(keep, ["__row", "__text"])
+    one = F.row_number().over(Window.partitionBy("__row", "__text").orderBy(id_column))
+    return met.withColumn("__n", one).where("__n = 1").select(*inner.columns).toDF(*names)

@@ -1,6 +1,6 @@
-r"""Exact top-k by inner product with Fagin's threshold algorithm over sorted per-dimension lists.
+"""Exact top-k by inner product with Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are cut into blocks of at most BLOCK_ROWS rows, and every block is indexed: for each dimension the rows in
+Candidates are cut into blocks of about BLOCK_ROWS rows, and every block is indexed: for each dimension the rows in
 descending order of that component. A query reads all lists side by side (a list from its other end
 where the query's component is negative), scores every row it meets for the first time by looking up
 its whole vector, and stops when the sum over dimensions of component times the last value read is

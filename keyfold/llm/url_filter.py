@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import bounded_batches
+from keyfold.llm.runtime import bounded_batches, numbered
 
 MAX_RULES = 1_000_000
 
@@ -100,9 +100,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
             parts = [host_and_path(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
             found = [match(h, p) if h else None for h, p in parts]
             columns = [[h for h, _ in parts], [p for _, p in parts], [f and f[0] for f in found], [f[1] if f else default for f in found]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=[*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=schema.names)
 
-    return pages.select(*keep, F.col(url).alias("__url")).mapInArrow(judge, schema)
+    return numbered(pages, [*keep, url]).mapInArrow(judge, schema)
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
