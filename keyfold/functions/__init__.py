@@ -1,0 +1 @@
+"""Column builders shared by the operators."""
