@@ -38,8 +38,14 @@ def parse_path(path: str) -> list[str | int]:
 
 
 def variant_path(path: str) -> str:
-    """The same path as Spark's variant functions write it."""
-    quoted = lambda f: "['" + f.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """The same path as Spark's variant functions write it; these have no way to write a field that holds both kinds of quotes."""
+
+    def quoted(field: str) -> str:
+        mark = '"' if "'" in field else "'"
+        if mark in field:
+            raise PathError("ERR invalid JSON path: both kinds of quotes in a field")
+        return f"[{mark}{field}{mark}]"
+
     return "$" + "".join(f"[{s}]" if isinstance(s, int) else f".{s}" if s.isidentifier() else quoted(s) for s in parse_path(path))
 
 

@@ -8,8 +8,13 @@ from pyspark.sql.window import Window
 
 from keyfold.functions.ranges import bounds, position
 
-_ALL = Window.partitionBy("key")
-_ORDER = _ALL.orderBy("pos")
+
+def _all():
+    return Window.partitionBy("key")
+
+
+def _order():
+    return _all().orderBy("pos")
 
 
 def push(log: DataFrame) -> DataFrame:
@@ -28,7 +33,7 @@ def push_existing(lists: DataFrame, log: DataFrame) -> DataFrame:
 
 def indexed(lists: DataFrame) -> DataFrame:
     """LLEN, LINDEX: elements with index (from 0) and length."""
-    return lists.withColumns({"index": (F.row_number().over(_ORDER) - 1).cast("long"), "length": F.count("*").over(_ALL)})
+    return lists.withColumns({"index": (F.row_number().over(_order()) - 1).cast("long"), "length": F.count("*").over(_all())})
 
 
 def element(lists: DataFrame, index: Column | int) -> DataFrame:
@@ -44,7 +49,7 @@ def in_range(lists: DataFrame, start: Column | int, stop: Column | int) -> DataF
 
 def pop(lists: DataFrame, n: int = 1, side: str = "left") -> DataFrame:
     """LPOP, RPOP: elements with `popped` and, for these, `rank` in the reply (from 0)."""
-    order = _ORDER if side == "left" else _ALL.orderBy(F.col("pos").desc())
+    order = _order() if side == "left" else _all().orderBy(F.col("pos").desc())
     rank = (F.row_number().over(order) - 1).cast("long")
     return lists.withColumn("rank", rank).withColumn("popped", F.col("rank") < n)
 

@@ -1,0 +1 @@
+"""Reading and writing keyspaces and command logs."""
