@@ -4,14 +4,16 @@ A line is its set of words. Lines of equal sets are merged first. The words of a
 fixed order, rare ones first; two sets of Jaccard similarity 4/5 or more then share one of their first
 n - ceil(4n/5) + 1 words (prefix filter). Sets that meet at such a word pass on if their sizes allow it
 (length filter), if the words before and after it can still make up the overlap (positional filter),
-and if their 64-bit parity signatures differ in no more bits than the sets may differ in words. What
-is left is verified on the whole sets. A line goes if an earlier line, by (doc_id, text hash, line
-number), has an equal set or one that is similar enough, whether that line stays or not.
+and if their 128-bit parity signatures differ in no more bits than the sets may differ in words. What
+is left is verified on the whole sets. A line goes if an earlier line, by (doc_id, line number, and for
+repeated ids a hash), has an equal set or one that is similar enough, whether that line stays or not.
 
 Rarity comes from counts of all words in a table of CELLS cells, which has a fixed size however large
 the corpus is; words that share a cell count together, which changes the order but not the result.
-A set is known once it has one earlier match, so a search gives at most `take` candidates for each set
-and word, and only sets without a match that had more candidates are searched again, with more.
+A word of the prefix is left out where no other set of a fitting size has it in its prefix, which a
+second such table of counts tells. A set is known once it has one earlier match, so a search gives at
+most `take` candidates for each set and word, and only sets without a match that had more candidates
+are searched again, with more.
 """
 
 from __future__ import annotations
@@ -23,18 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, cut, whole_groups
+from keyfold.llm.runtime import bounded_batches, cut, cut_small, held, let_go
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
 MIN_WORDS = 3
-CELLS = 1 << 23
+CELLS = 1 << 22
+PARTNER_BITS = 1 << 26
 _CHUNK = 1 << 16
 #: Candidates of a set at one word in the first search; each further search gives 16 times as many.
-TAKE = 8
+TAKE = 16
 #: Bits of the filter that picks the sets to be verified; a full one only lets more through.
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 23
+#: Pairs of a set that are verified at first.
+FIRST_PAIRS = 4
+#: Documents for each bucket of the index of words.
+BUCKET_DOCS = 1_000
 _NULL_ID = -(1 << 63)
 _LINES = 1 << 18
 _WORD = np.uint64((1 << 40) - 1)
@@ -71,7 +79,9 @@ class LineSets:
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         spread = mix(self.word + np.uint64(1))
         self.key = mix(np.add.reduceat(spread, self.at[:-1]) * np.uint64(0x9E3779B97F4A7C15) + self.n.astype(np.uint64)).view(np.int64)
-        self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (spread & np.uint64(63)), self.at[:-1]).view(np.int64)
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        half = (spread >> np.uint64(6) & np.uint64(1)).astype(bool)
+        self.parity = [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), self.at[:-1]) for k in (False, True)]
 
 
 def _judged(block: TextBlock, min_words: int, classes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, LineSets]]:
@@ -120,74 +130,222 @@ def rarity_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def _bands(n: np.ndarray) -> np.ndarray:
+    """Bands of set sizes: sets of similarity 4/5 are in the same band or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)
+
+
+def _prefix(s: LineSets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in s.word, set) of the prefix words of the chosen sets; words of count 1 meet no other set, nor do sets of under 4 words."""
+    at = np.arange(len(s.word)) - np.repeat(s.at[:-1], s.n)
+    size = np.repeat(s.n, s.n)
+    use = np.flatnonzero((at <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & np.repeat(chosen, s.n))
+    return use, np.repeat(np.arange(len(s.n)), s.n)[use]
+
+
+def _cell(word: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return (mix(word * np.uint64(64) + band.astype(np.uint64)) % np.uint64(PARTNER_BITS)).astype(np.int64)
+
+
+def _set(bitmap: np.ndarray, cells: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, cells >> 3, np.uint8(1) << (cells & 7).astype(np.uint8))
+
+
+def _has(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1
+
+
+def _distinct(s: LineSets, *order: np.ndarray) -> np.ndarray:
+    """The first line, by `order` (the last being the first key), of each set of a run."""
+    rows = np.lexsort((*order, s.key))
+    return rows[np.concatenate([[True], s.key[rows][1:] != s.key[rows][:-1]])]
+
+
 def line_sets(docs: DataFrame, classes: np.ndarray, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """key, n, parity, first line (d, h, line) and prefix (words, at) of the word sets of docs' judged lines; a set comes once for each batch at most."""
+    """key, d, line, h: lines of each set, the earliest of each batch at least; and, with key null, chunk, once, twice: places in two bitmaps of the words and bands that one set, and that more than one, has in its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # CELLS bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "d", "line", "h", "chunk", "once", "twice"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        once, twice = np.zeros(PARTNER_BITS // 8, np.uint8), np.zeros(PARTNER_BITS // 8, np.uint8)
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, _, block in blocks(batch.column(2)):
                 for texts, number, s in _judged(block, min_words, shared.value):
                     d, h = ids[a + texts], hashes[a + texts]
-                    order = np.lexsort((number, h, d, s.key))
-                    first = order[np.concatenate([[True], s.key[order][1:] != s.key[order][:-1]])]
-                    pos = np.arange(len(s.word)) - np.repeat(s.at[:-1], s.n)
-                    size = np.repeat(s.n, s.n)
+                    first = _distinct(s, h, number, d)
                     chosen = np.zeros(len(s.n), bool)
                     chosen[first] = True
-                    use = (pos <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & np.repeat(chosen, s.n)  # a word of count 1 meets no other set
-                    lengths = np.add.reduceat(use, s.at[:-1])[np.sort(first)]
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                    k = np.sort(first)
-                    columns = [pa.array(s.key[k]), pa.array(s.n[k].astype(np.int32)), pa.array(s.parity[k]), pa.array(d[k]), pa.array(h[k]), pa.array(number[k].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(s.word[use].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(pos[use].astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "parity", "d", "h", "line", "words", "at"])
+                    use, of = _prefix(s, chosen)
+                    cells, n = np.unique(_cell(s.word[use], _bands(s.n[of])), return_counts=True)
+                    _set(twice, cells[(n > 1) | _has(once, cells)])
+                    _set(once, cells)
+                    found = [s.key[first], d[first], number[first].astype(np.int32), h[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)] + [pa.nulls(len(first), k) for k in kinds[4:]], names=names)
+        for c in range(PARTNER_BITS // 8 // _CHUNK):
+            part = slice(c * _CHUNK, (c + 1) * _CHUNK)
+            if once[part].any():
+                spots = [np.flatnonzero(np.unpackbits(b[part], bitorder="little")).astype(np.uint32).tobytes() for b in (once, twice)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in spots)], names=names)
+
+    return _keyed(docs, text).mapInArrow(scan, "key long, d long, line int, h long, chunk int, once binary, twice binary")
+
+
+def _partners(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The two bitmaps of line_sets(), over all of docs; 2 * PARTNER_BITS bits."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for chunk, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                once, twice = sums.setdefault(chunk, (np.zeros(_CHUNK, np.uint8), np.zeros(_CHUNK, np.uint8)))
+                a, b = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (a, b))
+                _set(twice, np.concatenate([b, a[_has(once, a)]]))
+                _set(once, a)
+        for chunk, (once, twice) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["chunk", "once", "twice"])
+
+    n = min(PARTNER_BITS // 8 // _CHUNK, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros((2, PARTNER_BITS // 8), np.uint8)
+    for r in sets.where("key is null").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(add, "chunk int, once binary, twice binary").toLocalIterator():  # 2 * PARTNER_BITS bits in all
+        out[:, r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["once"], np.uint8), np.frombuffer(r["twice"], np.uint8)
+    return out[0], out[1]
+
+
+#: An entry of the index: word, size, place of the word, two halves of the parity signature, set, and its earliest line of a run.
+_FIELDS = (("word", np.uint64), ("n", np.int64), ("at", np.int64), ("low", np.uint64), ("high", np.uint64), ("key", np.int64), ("d", np.int64), ("line", np.int64))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns byte plane by byte plane, so that the many zero bytes lie together and compress."""
+    return b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(len(_FIELDS), 8, -1)
+    return [np.ascontiguousarray(planes[k].T).reshape(-1).view(kind) for k, (_, kind) in enumerate(_FIELDS)]
+
+
+def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarray, np.ndarray], buckets: int, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """bucket, entries: the index of prefix words, packed by bucket of the word. Words without a set of a fitting size to meet are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast((classes, *partners))  # CELLS bytes and 2 * PARTNER_BITS bits
 
-    return _keyed(docs, text).mapInArrow(scan, "key long, n int, parity long, d long, h long, line int, words array<long>, at array<int>")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, once, twice = shared.value
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, columns = bucket[order], [c[order] for c in columns]
+            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+            starts = np.append(0, ends[:-1])
+            for k in range(0, len(starts), 1_000):
+                blobs = [_packed([c[x:y] for c in columns]) for x, y in zip(starts[k : k + 1_000], ends[k : k + 1_000])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[k : k + 1_000]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+
+        for batch in batches:
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, _, block in blocks(batch.column(2)):
+                for texts, number, s in _judged(block, min_words, rare):
+                    d = ids[a + texts]
+                    chosen = np.zeros(len(s.n), bool)
+                    chosen[_distinct(s, hashes[a + texts], number, d)] = True
+                    use, of = _prefix(s, chosen)
+                    word, band = s.word[use], _bands(s.n[of])
+                    some = _has(twice, _cell(word, band)) | _has(once, _cell(word, band + 1)) | _has(once, _cell(word, np.maximum(0, band - 1))) & (band > 0)
+                    use, of = use[some], of[some]
+                    held.append([s.word[use], s.n[of].astype(np.int64), use - s.at[:-1][of], s.parity[0][of], s.parity[1][of], s.key[of], d[of], number[of].astype(np.int64)])
+                    count += len(use)
+                    if count >= 250_000:
+                        yield from flush()
+                        count = 0
+        if count:
+            yield from flush()
+
+    return _keyed(docs, text).mapInArrow(scan, "bucket int, entries binary")
+
+
+def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBatch:
+    """Of the entries of some words: pairs (x, y) of set keys, y the later one, that pass the filters, at most `take` for each y and word.
+
+    keys: the sets that search; None: all. Words at which a set had more come once again as a row of all
+    their entries and, in `more`, these sets.
+    """
+    columns = [np.concatenate(c) for c in zip(*map(_unpacked, blobs))]
+    word, n, at, low, high, key, d, line = columns
+    order = np.lexsort((line, d, key, n, word))
+    columns = [c[order] for c in columns]
+    fresh = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[5][1:] != columns[5][:-1]))  # of equal sets the earliest comes first
+    columns = [c[fresh] for c in columns]
+    word, n, at, low, high, key, d, line = columns
+    probe = np.ones(len(key), bool) if keys is None else np.isin(key, np.array(keys, np.int64))
+    given = np.zeros(len(word), np.int64)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i, step = np.arange(len(word)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(word)]
+        j = i + step
+        inside = (word[i] == word[j]) & (5 * n[i] >= 4 * n[j])  # sorted by size: once a set is too large, so are the next
+        i, j = i[inside], j[inside]
+        least = -(-4 * (n[i] + n[j]) // 9)
+        able = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least
+        able &= np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= n[i] + n[j] - 2 * least
+        p, q = i[able], j[able]
+        if len(p):
+            later = (d[p] > d[q]) | (d[p] == d[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & (key[p] > key[q]))
+            y, x = np.where(later, p, q), np.where(later, q, p)
+            y, x = y[probe[y]], x[probe[y]]
+            room = given[y] < take
+            np.add.at(given, y, 1)
+            xs.append(key[x[room]])
+            ys.append(key[y[room]])
+    over = given > take
+    both = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
+    words = np.unique(word[over])
+    groups = [(_packed([c[a:b] for c in columns]), key[a:b][over[a:b]].tolist()) for a, b in zip(np.searchsorted(word, words), np.searchsorted(word, words, side="right"))]
+    x = pa.array(np.append(both[:, 0], np.zeros(len(groups), np.int64)), mask=np.arange(len(both) + len(groups)) >= len(both))
+    y = pa.array(np.append(both[:, 1], np.zeros(len(groups), np.int64)), mask=np.arange(len(both) + len(groups)) >= len(both))
+    blank = [None] * len(both)
+    return pa.RecordBatch.from_arrays([x, y, pa.array(blank + [g for g, _ in groups], pa.binary()), pa.array(blank + [k for _, k in groups], pa.list_(pa.int64()))], names=["x", "y", "entries", "more"])
+
+
+_FOUND = "x long, y long, entries binary, more array<long>"
 
 
 def _candidates(entries: DataFrame, take: int) -> DataFrame:
-    """x, y, more: pairs of set keys, y the later one, that pass the filters at a word; more if a set had over `take` at one word (y alone then has x null)."""
+    """_pairs() of the whole index (bucket, entries)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (word, n, key, at, parity, d, h, line, probe), _, _ in whole_groups(batches, 1):
-            fresh = np.ones(len(word), bool)  # of equal sets at a word the earliest comes first
-            fresh[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1])
-            word, n, key, at, parity, d, h, line, probe = (c[fresh] for c in (word, n, key, at, parity, d, h, line, probe))
-            n, at, bits = n.astype(np.int64), at.astype(np.int64), parity.view(np.uint64)
-            given = np.zeros(len(word), np.int64)
-            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            i = np.arange(len(word))
-            step = 0
-            while True:
-                step += 1
-                i = i[i + step < len(word)]
-                j = i + step
-                inside = (word[i] == word[j]) & (5 * n[i] >= 4 * n[j])  # sorted by n: once a set is too large, so are the next
-                i, j = i[inside], j[inside]
-                if not len(i):
-                    break
-                least = -(-4 * (n[i] + n[j]) // 9)
-                able = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= least
-                able &= np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * least
-                p, q = i[able], j[able]
-                if len(p):
-                    later = (d[p] > d[q]) | (d[p] == d[q]) & ((h[p] > h[q]) | (h[p] == h[q]) & (line[p] > line[q]))
-                    y, x = np.where(later, p, q), np.where(later, q, p)
-                    y, x = y[probe[y]], x[probe[y]]
-                    room = given[y] < take
-                    np.add.at(given, y, 1)
-                    xs.append(key[x[room]])
-                    ys.append(key[y[room]])
-            over = key[given > take]
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            columns = [pa.array(np.concatenate([x, np.zeros(len(over), np.int64)]), mask=np.arange(len(x) + len(over)) >= len(x)), pa.array(np.concatenate([y, over]))]
-            if len(columns[1]):
-                yield pa.RecordBatch.from_arrays(columns, names=["x", "y"])
+        bucket, blobs = None, []
+        for batch in batches:
+            for b, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != bucket and blobs:
+                    yield _pairs(blobs, None, take)
+                    blobs = []
+                bucket = b
+                blobs.append(blob)
+        if blobs:
+            yield _pairs(blobs, None, take)
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = entries.repartition(n, "word").sortWithinPartitions("word", "n", "key", "d", "h", "line")
-    return placed.select("word", "n", "key", "at", "parity", "d", "h", "line", "probe").mapInArrow(scan, "x long, y long").distinct()
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, _FOUND)
+
+
+def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
+    """_pairs() of the entries of single words (entries, more), searched for the sets `more`."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _pairs([blob], keys, take)
+
+    return groups.select("entries", "more").mapInArrow(scan, _FOUND)
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
@@ -200,26 +358,52 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _whole_sets(docs: DataFrame, keys: DataFrame, min_words: int, text: str) -> DataFrame:
-    """key, words: the whole word sets of the keys, as sorted arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(keys.select(F.col("key").alias("key"))))
+def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, min_words: int, text: str) -> DataFrame:
+    """key, n, w0 to w3 (a parity signature of 256 bits) and words (5 bytes each, ascending) of the whole sets of the keys."""
+    home = F.xxhash64("d", "h")
+    homes = first.join(keys, "key", "left_semi").select(home.alias("key")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast((_filter_of(keys), _filter_of(homes)))  # 2 * FILTER_BITS bits
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap, home_bits = shared.value
         for batch in batches:
-            for _, _, block in blocks(batch.column(2)):
+            # Only documents that hold the first line of a key need be looked at.
+            spots = _xxhash64_long(batch.column(0).to_numpy()) % np.int64(FILTER_BITS)
+            for _, _, block in blocks(batch.column(1).filter(pa.array(_has(home_bits, spots)))):
                 for _, _, s in _judged(block, min_words, None):
                     first = np.unique(s.key, return_index=True)[1]
                     spots = _xxhash64_long(s.key[first]) % np.int64(FILTER_BITS)
-                    hit = np.sort(first[bitmap[spots >> 3] >> (spots & 7).astype(np.uint8) & 1 == 1])
-                    if len(hit):
-                        pick = np.zeros(len(s.n), bool)
-                        pick[hit] = True
-                        offsets = np.concatenate([[0], np.cumsum(s.n[hit])]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.word[np.repeat(pick, s.n)].view(np.int64)))], names=["key", "words"])
+                    hit = first[_has(bitmap, spots)]
+                    if not len(hit):
+                        continue
+                    words = [s.word[s.at[k] : s.at[k + 1]] for k in hit]
+                    spread = [mix(w + np.uint64(1)) >> np.uint64(32) for w in words]
+                    wide = np.stack([np.packbits((np.bincount((w & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for w in spread]).view(np.int64)
+                    raw = [w.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for w in words]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array(s.n[hit].astype(np.int32)), *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(raw, pa.binary())], names=["key", "n", "w0", "w1", "w2", "w3", "words"])
+
+    found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(scan, "key long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
+    return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
+
 
-    found = _keyed(docs, text).mapInArrow(scan, "key long, words array<long>")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+def _verified(pairs: DataFrame) -> DataFrame:
+    """y of the pairs (y, a, b: words of either) whose similarity is 4/5 or more."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ints(raw: bytes) -> np.ndarray:
+            out = np.zeros((len(raw) // 5, 8), np.uint8)
+            out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            return out.reshape(-1).view(np.uint64)
+
+        for batch in batches:
+            good = []
+            for y, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                both = len(np.intersect1d(ints(a), ints(b), assume_unique=True))
+                if 5 * both >= 4 * (len(a) // 5 + len(b) // 5 - both):
+                    good.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["key"])
+
+    return pairs.select("y", "a", "b").mapInArrow(scan, "key long")
 
 
 def _xxhash64_long(x: np.ndarray) -> np.ndarray:
@@ -233,37 +417,68 @@ def _xxhash64_long(x: np.ndarray) -> np.ndarray:
     return (out ^ out >> np.uint64(32)).view(np.int64)
 
 
-def similar_later(docs: DataFrame, sets: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
-    """key: the sets that have an earlier similar set. sets: line_sets() of docs, computed once."""
-    entries = sets.select("n", "key", "parity", "d", "h", "line", F.explode(F.arrays_zip("words", "at")).alias("e")).select(F.col("e.words").alias("word"), "n", "key", F.col("e.at").alias("at"), "parity", "d", "h", "line")
-    probing, done = entries.withColumn("probe", F.lit(True)), None
+def _settled(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """key: the y of pairs (x, y) that have a similar x. Of each y FIRST_PAIRS are verified, and then all others of those that are left."""
+    # Two sets differ in at least as many words as their parity signatures differ in bits.
+    slim = lambda w, k: w.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"w{i}").alias(f"{k}{i}") for i in range(4)))
+    near = pairs.join(slim(whole, "x"), "x").join(slim(whole, "y"), "y")
+    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4)), F.lit(0))
+    total = F.col("nx") + F.col("ny")
+    near = near.where(differ <= total - 2 * F.ceil(4 * total / 9)).select("x", "y")
+    ranked = held(near.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("x"))))  # the candidates of one set, `take` a word
+    done, low, high = None, 0, FIRST_PAIRS
+    while True:
+        these = ranked.where((F.col("rank") > low) & (F.col("rank") <= high))
+        if done is not None:
+            these = these.join(done.withColumnRenamed("key", "y"), "y", "left_anti")
+        met = these.join(whole.select(F.col("key").alias("x"), F.col("words").alias("a")), "x").join(whole.select(F.col("key").alias("y"), F.col("words").alias("b")), "y")
+        new = _verified(met).distinct()
+        done = cut(new if done is None else done.unionByName(new))
+        low, high = high, 1 << 30
+        if not ranked.where(F.col("rank") > low).join(done.withColumnRenamed("key", "y"), "y", "left_anti").limit(1).count():
+            ranked.unpersist()
+            return done
+
+
+def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
+    """key: the sets that have an earlier similar set. entries: index_entries() of docs; first: key, d, h, line of the first line of each set."""
+    spark = docs.sparkSession
+    found, done = cut_small(_candidates(entries, take)), None
     while True:
-        found = cut(_candidates(probing, take))
-        pairs = found.where("x is not null")
-        keys = cut(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
-        whole = cut(_whole_sets(docs, keys, min_words, text))
-        met = pairs.join(whole.select(F.col("key").alias("x"), F.col("words").alias("a")), "x").join(whole.select(F.col("key").alias("y"), F.col("words").alias("b")), "y")
-        both = F.size(F.array_intersect("a", "b"))
-        new = met.where(5 * both >= 4 * (F.size("a") + F.size("b") - both)).select(F.col("y").alias("key")).distinct()
-        done = cut(new if done is None else done.unionByName(new).distinct())
-        pending = cut(found.where("x is null").select(F.col("y").alias("key")).distinct().join(done, "key", "left_anti"))
-        if not pending.limit(1).count():
+        pairs = found.where("x is not null").select("x", "y").distinct()
+        if done is not None:
+            pairs = pairs.join(done.withColumnRenamed("key", "y"), "y", "left_anti")
+        keys = held(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
+        keys.count()
+        let_go(spark)  # the index has been searched
+        new = _settled(pairs, cut_small(_whole_sets(docs, keys, first, min_words, text), "key"))
+        keys.unpersist()
+        done = new if done is None else cut(done.unionByName(new))
+        groups = found.where("entries is not null").select("entries", "more", F.xxhash64("entries").alias("g"))
+        left = groups.select("g", F.explode("more").alias("key")).join(done, "key", "left_anti").groupBy("g").agg(F.collect_list("key").alias("more"))  # sets of one word
+        if not left.limit(1).count():
             return done
         take *= 16
-        probing = entries.join(pending.withColumn("probe", F.lit(True)), "key", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+        found = cut_small(_more_candidates(groups.drop("more").join(left, "g"), take))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
     """docs with later similar lines cut out of `text`, and n_lines and n_removed.
 
     Lines are split at \\n. Lines of fewer than min_words words stay. Null texts stay null, with 0 lines;
     an empty text has 1 line. Rows of equal doc_id and text are one document: each keeps the same lines.
     Null ids come first. No rows: no rows. Other columns pass through whatever their names.
     """
-    sets = cut(line_sets(docs, rarity_table(docs, text), min_words, text))
-    gone = similar_later(docs, sets, min_words, text)
-    first = sets.groupBy("key").agg(F.min(F.struct("d", "h", "line")).alias("f"))
-    stay = first.join(gone, "key", "left_anti").groupBy(F.col("f.d").alias("__d"), F.col("f.h").alias("__h")).agg(F.collect_list("f.line").alias("__stay"))  # lines of one document
+    classes = rarity_table(docs, text)
+    sets = held(line_sets(docs, classes, min_words, text))
+    partners = _partners(sets)
+    let_go(docs.sparkSession)
+    first = held(sets.where("key is not null").groupBy("key").agg(F.min(F.struct("d", "line", "h")).alias("f")).select("key", "f.*"))
+    buckets = max(1, docs.count() // BUCKET_DOCS)
+    gone = similar_later(docs, index_entries(docs, classes, partners, buckets, min_words, text), first, min_words, text, take)
+    sets.unpersist()
+    let_go(docs.sparkSession)
+    stay = first.join(gone, "key", "left_anti").groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("line").alias("__stay"))  # lines of one document
     names = docs.columns
     inner = docs.toDF(*(f"c{k}" for k in range(len(names))))
     text_at, id_at = names.index(text), names.index("doc_id")

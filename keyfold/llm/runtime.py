@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a small side table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
 #: Bytes of one Arrow batch sent to a Python worker; a single longer text makes a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -37,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, to be computed once and kept on the executors' disks until unpersist(); what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage, which may take long by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut_small(df: DataFrame, *keys: str) -> DataFrame:
+    """cut() of a result much smaller than what it was made from, in an eighth of the shuffle's partitions."""
+    n = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return cut(df.repartition(n, *keys))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder and read again."""
     spark = df.sparkSession

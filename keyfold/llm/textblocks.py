@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _M = 0x9E3779B97F4A7C15 | 1
 _MI = pow(_M, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)

@@ -33,7 +33,7 @@ def read_flat_tokens(spark: SparkSession, path: str, width: int = 2, block_token
     """file, block, tokens: the blocks of raw token files, of `width` bytes a token in little-endian order."""
     size = block_tokens * width
     raw = spark.read.format("binaryFile").load(path).where(F.when(F.col("length") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("file too large: "), F.col("path"))).cast("boolean")).otherwise(F.col("length") > 0))
-    cuts = raw.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"sequence(0, (length - 1) div {size})")).cast("int").alias("block"))
+    cuts = raw.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"transform(sequence(0, (length - 1) div {size}), b -> cast(b as int))")).alias("block"))
     return cuts.select("file", "block", F.expr(f"substring(content, cast(block as int) * {size} + 1, {size})").alias("tokens"))
 
 
