@@ -36,7 +36,7 @@ CELLS = 1 << 22
 PARTNER_BITS = 1 << 26
 _CHUNK = 1 << 16
 #: Candidates of a set at one word in the first search; each further search gives 16 times as many.
-TAKE = 16
+TAKE = 2
 #: Bits of the filter that picks the sets to be verified; a full one only lets more through.
 FILTER_BITS = 1 << 23
 #: Pairs of a set that are verified at first.
@@ -155,6 +155,13 @@ def _has(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1
 
 
+def _places(bitmap: np.ndarray) -> np.ndarray:
+    """The places of the set bits of a bitmap with few of them."""
+    at = np.flatnonzero(bitmap)
+    row, bit = np.nonzero(np.unpackbits(bitmap[at], bitorder="little").reshape(-1, 8))
+    return (at[row] * 8 + bit).astype(np.uint32)
+
+
 def _distinct(s: LineSets, *order: np.ndarray) -> np.ndarray:
     """The first line, by `order` (the last being the first key), of each set of a run."""
     rows = np.lexsort((*order, s.key))
@@ -186,7 +193,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, min_words: int = MIN_WORDS,
         for c in range(PARTNER_BITS // 8 // _CHUNK):
             part = slice(c * _CHUNK, (c + 1) * _CHUNK)
             if once[part].any():
-                spots = [np.flatnonzero(np.unpackbits(b[part], bitorder="little")).astype(np.uint32).tobytes() for b in (once, twice)]
+                spots = [_places(b[part]).tobytes() for b in (once, twice)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in spots)], names=names)
 
     return _keyed(docs, text).mapInArrow(scan, "key long, d long, line int, h long, chunk int, once binary, twice binary")
@@ -278,11 +285,19 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
     """
     columns = [np.concatenate(c) for c in zip(*map(_unpacked, blobs))]
     word, n, at, low, high, key, d, line = columns
-    order = np.lexsort((line, d, key, n, word))
+    order = np.lexsort((key, word << np.uint64(24) | np.minimum(n, (1 << 24) - 1).view(np.uint64)))  # words have 40 bits
     columns = [c[order] for c in columns]
-    fresh = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[5][1:] != columns[5][:-1]))  # of equal sets the earliest comes first
-    columns = [c[fresh] for c in columns]
     word, n, at, low, high, key, d, line = columns
+    fresh = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))
+    if not fresh.all():  # sets of several runs: their earliest line counts
+        of = np.cumsum(fresh) - 1
+        many = np.flatnonzero(np.bincount(of)[of] > 1)
+        many = many[np.lexsort((line[many], d[many], of[many]))]
+        many = many[np.append(True, of[many][1:] != of[many][:-1])]
+        first = np.flatnonzero(fresh)[of[many]]
+        d[first], line[first] = d[many], line[many]
+        columns = [c[fresh] for c in columns]
+        word, n, at, low, high, key, d, line = columns
     probe = np.ones(len(key), bool) if keys is None else np.isin(key, np.array(keys, np.int64))
     given = np.zeros(len(word), np.int64)
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
