@@ -17,6 +17,11 @@ from keyfold.llm.runtime import written
 MIX_BLOCK_WORDS = 512
 
 
+def fewer_files(df: DataFrame) -> DataFrame:
+    """df in a quarter of the shuffle's partitions, 12 at least: a stage leaves texts of a few hundred bytes to a few KB, and its files should not be small."""
+    return df.coalesce(max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the cutoffs of their language and source reject go."""
     return quality_rules.filter_documents(docs)
@@ -25,17 +30,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go, and with them documents that have no word left; n_chars is counted anew."""
     done = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return fewer_files(done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints of 5-word shingles a chain of links of at most 3 bits connects."""
-    return simhash.drop_near_duplicates(docs, radius=3, shingle=5)
+    return fewer_files(simhash.drop_near_duplicates(docs, radius=3, shingle=5))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares; a document's taken parts, once for each pass that takes them."""
-    return mixing.mixed_documents(docs, block_words=MIX_BLOCK_WORDS)
+    return fewer_files(mixing.mixed_documents(docs, block_words=MIX_BLOCK_WORDS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.runtime import cut
+from keyfold.llm.runtime import cut_small
 
 ROUNDS = 60
 
@@ -32,10 +32,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of an edge (a, b) the least node of its component. Self-loops count as nodes; null ends are left out."""
     whole = edges.select("a", "b").where("a is not null and b is not null")
-    pairs = cut(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = cut_small(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(ROUNDS):
-        pairs = cut(_small_star(_large_star(pairs)))
+        pairs = cut_small(_small_star(_large_star(pairs)))
         # A star forest stays as it is: no node is both an end and a root, and the next round changes nothing.
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == now or pairs.select("b").distinct().join(pairs.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0 and pairs.groupBy("a").count().where("count > 1").limit(1).count() == 0:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, cut, cut_small, held, let_go
+from keyfold.llm.runtime import bounded_batches, cut_small, held, let_go
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
@@ -36,7 +36,7 @@ CELLS = 1 << 22
 PARTNER_BITS = 1 << 26
 _CHUNK = 1 << 16
 #: Candidates of a set at one word in the first search; each further search gives 16 times as many.
-TAKE = 2
+TAKE = 16
 #: Bits of the filter that picks the sets to be verified; a full one only lets more through.
 FILTER_BITS = 1 << 23
 #: Pairs of a set that are verified at first.
@@ -448,7 +448,7 @@ def _settled(pairs: DataFrame, whole: DataFrame) -> DataFrame:
             these = these.join(done.withColumnRenamed("key", "y"), "y", "left_anti")
         met = these.join(whole.select(F.col("key").alias("x"), F.col("words").alias("a")), "x").join(whole.select(F.col("key").alias("y"), F.col("words").alias("b")), "y")
         new = _verified(met).distinct()
-        done = cut(new if done is None else done.unionByName(new))
+        done = cut_small(new if done is None else done.unionByName(new))
         low, high = high, 1 << 30
         if not ranked.where(F.col("rank") > low).join(done.withColumnRenamed("key", "y"), "y", "left_anti").limit(1).count():
             ranked.unpersist()
@@ -466,9 +466,9 @@ def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, min_wor
         keys = held(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
         keys.count()
         let_go(spark)  # the index has been searched
-        new = _settled(pairs, cut_small(_whole_sets(docs, keys, first, min_words, text), "key"))
+        new = _settled(pairs, cut_small(_whole_sets(docs, keys, first, min_words, text)))
         keys.unpersist()
-        done = new if done is None else cut(done.unionByName(new))
+        done = new if done is None else cut_small(done.unionByName(new))
         groups = found.where("entries is not null").select("entries", "more", F.xxhash64("entries").alias("g"))
         left = groups.select("g", F.explode("more").alias("key")).join(done, "key", "left_anti").groupBy("g").agg(F.collect_list("key").alias("more"))  # sets of one word
         if not left.limit(1).count():

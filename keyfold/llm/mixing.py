@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut
+from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut_small
 from keyfold.llm.textblocks import blocks, mix
 
 WEIGHTS = (1, 2, 3)
@@ -119,7 +119,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
         self.block_words, self.shard_slots, self.seed, self.spark = block_words, shard_slots, seed, docs.sparkSession
-        sized = cut(with_sizes(docs))
+        sized = cut_small(with_sizes(docs))
         by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
         if len(by_source) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -136,7 +136,7 @@ class Mix:
         before = sums.select("source_no", "chunk", (F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("n")).alias("before"))
         within = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "row_hash")
         run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        self.layout = cut(placed.withColumn("run", run).join(before, ["source_no", "chunk"]).withColumn("offset", F.col("before") + F.col("run")).drop("chunk", "run", "before"))
+        self.layout = cut_small(placed.withColumn("run", run).join(before, ["source_no", "chunk"]).withColumn("offset", F.col("before") + F.col("run")).drop("chunk", "run", "before"))
 
     def slot_rows(self) -> DataFrame:
         """shard, slot, source_no, pass, block: what every slot of the mix takes."""

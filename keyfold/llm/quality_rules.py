@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut, numbered
+from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut, cut_small, numbered
 from keyfold.llm.textblocks import TextBlock, blocks
 
 MIN_WORDS = 20
@@ -123,7 +123,7 @@ def cutoffs(features: DataFrame, least: int = LEAST, reach: int = REACH, slack:
     names = list(slack)
     ppm = ratios()
     binned = features.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("ratio"), bin_of(ppm[n]).cast("int").alias("bin")) for n in names))).alias("x"))
-    sketch = cut(binned.select("lang", "source", "x.ratio", "x.bin").where("bin is not null").groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")))
+    sketch = cut_small(binned.select("lang", "source", "x.ratio", "x.bin").where("bin is not null").groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")))
 
     def quartiles(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))

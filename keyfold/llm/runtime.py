@@ -50,10 +50,10 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut_small(df: DataFrame, *keys: str) -> DataFrame:
-    """cut() of a result much smaller than what it was made from, in an eighth of the shuffle's partitions."""
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut() of a result much smaller than what it was made from, in an eighth of the shuffle's partitions: fewer, larger files."""
     n = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return cut(df.repartition(n, *keys))
+    return cut(df.repartition(n))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyfold.llm.graph import components
-from keyfold.llm.runtime import bounded_batches, cut, numbered, whole_groups
+from keyfold.llm.runtime import bounded_batches, cut_small, numbered, whole_groups
 
 SEED = 42
 #: Fingerprints of an upper node beyond which it is split.
@@ -165,7 +165,7 @@ def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     nodes = exploded.select(F.col("x.node").alias("node"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("pattern"), "fp")
     out = None
     while True:
-        large = cut(nodes.groupBy("node", "pattern").count().where(F.col("count") > most).select("node", "pattern"))
+        large = cut_small(nodes.groupBy("node", "pattern").count().where(F.col("count") > most).select("node", "pattern"))
         last = not large.limit(1).count()
         small = nodes if last else nodes.join(large, ["node", "pattern"], "left_anti")
         found = _linked(small, radius)
@@ -193,10 +193,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_colum
     each get their row. No rows: no rows.
     """
     keep = keep or [id_column]
-    prints = cut(with_fingerprints(docs, keep, text, shingle))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_column).alias("least")))
+    prints = cut_small(with_fingerprints(docs, keep, text, shingle))
+    fps = cut_small(prints.groupBy("fp").agg(F.min(id_column).alias("least")))
     found = components(links(fps.select("fp"), radius, most))
-    found = cut(found)
+    found = cut_small(found)
     reached = found.join(fps, found["node"] == fps["fp"]).select("node", "root", "least")
     least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     of = reached.join(least, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("__linked"))
