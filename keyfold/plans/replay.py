@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyfold.plans.catalog import COMMANDS
+from keyfold.plans.checkpoints import cut
 from keyfold.plans.keyspace import payload_of, value_of
 from keyfold.plans.machine import Cell, Machine, Refused, score_text
 
@@ -103,13 +104,13 @@ def clusters(log: DataFrame) -> DataFrame:
     pairs = keyed.where(F.size("keys") > 1).select(F.explode("keys").alias("a"), F.array_min("keys").alias("b"))
     in_txn = keyed.where("txn_id is not null").select("txn_id", F.explode("keys").alias("a"))
     pairs = pairs.unionByName(in_txn.join(in_txn.groupBy("txn_id").agg(F.min("a").alias("b")), "txn_id").select("a", "b"))
-    edges = pairs.distinct().checkpoint()
+    edges = cut(pairs.distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster")).checkpoint()
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cluster")))
     for _ in range(ROUNDS):
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
         hop = labels.select(F.col("a").alias("cluster"), F.col("cluster").alias("root"))
-        new = labels.join(near, "a").join(hop, "cluster", "left").select("a", F.least("cluster", "near", F.coalesce("root", "cluster")).alias("new"), F.col("cluster").alias("old")).checkpoint()
+        new = cut(labels.join(near, "a").join(hop, "cluster", "left").select("a", F.least("cluster", "near", F.coalesce("root", "cluster")).alias("new"), F.col("cluster").alias("old")))
         if not new.where("new <> old").limit(1).count():
             return labels.select(F.col("a").alias("key"), "cluster")
         labels = new.select("a", F.col("new").alias("cluster"))

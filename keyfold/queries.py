@@ -13,6 +13,9 @@ from keyfold.functions.glob import glob
 from keyfold.functions.numbers import format_score
 from keyfold.functions.ranges import next_cursor, page
 from keyfold.operators import hashes, keys, limiter, lists, messages, sets, strings, zsets
+from keyfold.plans.catalog import catalog
+from keyfold.plans.keyspace import Keyspace
+from keyfold.plans.replay import final_state, normalised, replies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -626,3 +629,70 @@ def e_evict_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH c AS ({_C}) SELECT count(*) AS keys, count(exp) AS volatile_keys, sum(bytes)::BIGINT AS memory_bytes FROM c WHERE exp IS NULL OR exp > {NOW_MS + 40_000_000}")
 def i_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.sample(_cached(spark, sf_dir), NOW_MS + 40_000_000)
+
+
+# ---- logs
+
+
+def _command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command for each event, of a family that its type chooses; the keys are the users'."""
+    e = events(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("seq")))
+    user, k = F.col("key").cast("string"), F.col("k").cast("string")
+    kinds = {
+        "view": ("INCRBY", [F.concat(F.lit("c:"), user), k]),
+        "click": ("SADD", [F.concat(F.lit("s:"), user), F.concat(F.lit("m"), k)]),
+        "purchase": ("HSET", [F.concat(F.lit("h:"), user), F.concat(F.lit("f"), F.col("k") % 5), F.col("event_id").cast("string")]),
+        "signup": ("RPUSH", [F.concat(F.lit("l:"), user), k]),
+    }
+    cmd, args = F.lit("ZADD"), F.array(F.concat(F.lit("z:"), user), k, F.concat(F.lit("m"), F.col("event_id") % 7))
+    for kind, (name, parts) in kinds.items():
+        cmd, args = F.when(F.col("event_type") == kind, name).otherwise(cmd), F.when(F.col("event_type") == kind, F.array(*parts)).otherwise(args)
+    # Keys of different users never meet, so an order within each user is an order of the log.
+    return e.select((F.col("n") * 1_000_000 + F.col("key")).cast("long").alias("seq"), "ts_ms", cmd.alias("cmd"), args.cast("array<binary>").alias("args"), F.lit(None).cast("long").alias("txn_id"))
+
+
+def _elements(space: Keyspace) -> DataFrame:
+    """key, element and value of all types, as text."""
+    none = F.lit("")
+    parts = [
+        space.strings.select("key", none.alias("element"), F.col("value").cast("string").alias("value")),
+        space.hashes.select("key", F.col("field").alias("element"), F.col("value").cast("string").alias("value")),
+        space.lists.select("key", F.col("pos").cast("string").alias("element"), F.col("value").cast("string").alias("value")),
+        space.sets.select("key", F.col("member").alias("element"), none.alias("value")),
+        space.zsets.select("key", F.col("member").alias("element"), format_score(F.col("score")).alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_STATE = f"""WITH e AS ({_E})
+SELECT 'c:' || user_id AS key, '' AS element, sum(k)::BIGINT::VARCHAR AS value FROM e WHERE event_type = 'view' GROUP BY user_id
+UNION ALL SELECT DISTINCT 's:' || user_id, 'm' || k, '' FROM e WHERE event_type = 'click'
+UNION ALL SELECT 'h:' || user_id, 'f' || (k % 5), arg_max(event_id, (us, event_id))::VARCHAR FROM e WHERE event_type = 'purchase' GROUP BY ALL
+UNION ALL SELECT 'l:' || user_id, (row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1)::VARCHAR, k::VARCHAR FROM e WHERE event_type = 'signup'
+UNION ALL SELECT 'z:' || user_id, 'm' || (event_id % 7), arg_max(k, (us, event_id))::VARCHAR FROM e WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup') GROUP BY ALL"""
+
+
+@query(_STATE)
+def a_replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(Keyspace(final_state(_command_log(spark, sf_dir), NOW_MS), NOW_MS))
+
+
+@query(_STATE)
+def a_replay_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state out of the log of effects."""
+    return _elements(Keyspace(final_state(normalised(_command_log(spark, sf_dir)), NOW_MS), NOW_MS))
+
+
+@query(f"""SELECT CASE event_type WHEN 'view' THEN 'INCRBY' WHEN 'click' THEN 'SADD' WHEN 'purchase' THEN 'HSET' WHEN 'signup' THEN 'RPUSH' ELSE 'ZADD' END AS cmd, count(*) AS calls, 0::BIGINT AS errors FROM events GROUP BY 1""")
+def i_command_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and errors of each command."""
+    log = _command_log(spark, sf_dir)
+    return log.join(replies(log), "seq").groupBy("cmd").agg(F.count("*").alias("calls"), F.count("error").alias("errors"))
+
+
+@query()
+def i_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(spark)
