@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of 5-word shingles a chain of links of at most 3 bits connects."""
-    return fewer_files(simhash.drop_near_duplicates(docs, radius=3, shingle=5))
+    """One document of each group that a chain of pairs connects whose 5-word shingles have a Jaccard similarity of 0.8 or more; pairs are found within simhash.WIDE bits."""
+    return fewer_files(simhash.drop_similar(docs, shingle=5))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ before, and a node passes on links as a spanning forest, not as pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,44 +30,62 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyfold.llm.graph import components
-from keyfold.llm.runtime import bounded_batches, cut_small, numbered, whole_groups
+from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut_small, numbered, whole_groups
 
 SEED = 42
 #: Fingerprints of an upper node beyond which it is split.
 MOST = 512
 #: Radius -> blocks of the upper nodes.
 BLOCKS = {0: 1, 1: 3, 2: 4, 3: 6, 4: 7}
+#: Radius at which pairs of Jaccard similarity 4/5 are looked for: such pairs differ in 10 bits on average.
+WIDE = 13
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64 bits: each set if over half of the shingles' XXH64 have it. A-Z count as a-z; fewer words than a shingle: the whole sequence; no word: 0."""
+def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 of each run of `shingle` words. A-Z count as a-z; fewer words than a shingle: the whole sequence; no word: none."""
     words = text.lower().split()  # bytes: A-Z and 0x20, 0x09-0x0D only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
-    total = np.zeros(64, np.int64)
     ends = ends[shingle - 1 :].tolist()
-    for at in range(0, len(starts), 1 << 16):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(starts), bitorder="little").tobytes(), "little")
+    parts = [np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64) for at in range(0, len(starts), 1 << 16)]
+    return np.concatenate(parts)
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
-    """The columns `keep` and the fingerprint of each text as a signed long; a null text has no word."""
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits: each set if over half of the hashes have it; no hash: 0."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """fingerprint_of() the shingles of a text."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A hash of the set of the hashes."""
+    return xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
+
+
+def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, name: str = "fp", sets: bool = False) -> DataFrame:
+    """The columns `keep` and the fingerprint of each text as a signed long, and with `sets` also set_key() as `key`; a null text has no word."""
     bounded_batches(docs.sparkSession)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ([name, "key"] if sets else [name])])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.binary()), b"")
-            found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*keep, name])
+            found = [(fingerprint_of(h), set_key(h) if sets else 0) for h in (shingle_hashes(t.as_py(), shingle) for t in texts)]
+            found = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, k].copy()) for k in range(1 + sets))], names=schema.names)
 
     return numbered(docs, [*keep, text]).mapInArrow(scan, schema)
 
@@ -81,9 +101,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(free: list[int], radius: int) -> list[tuple[int, list[int]]]:
-    """(mask, bits left) of the nodes that between them hold every pair within the radius over the free bits."""
-    n = min(BLOCKS[radius], len(free))
+def _masks(free: list[int], radius: int, parted: int | None = None) -> list[tuple[int, list[int]]]:
+    """(mask, bits left) of the nodes that between them hold every pair within the radius over the free bits, parted in so many blocks (default: BLOCKS)."""
+    n = min(BLOCKS[radius] if parted is None else parted, len(free))
     if n <= radius:
         return [(0, free)]
     parts = [[int(x) for x in p] for p in np.array_split(np.array(free), n)]
@@ -204,17 +224,124 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_colum
     return prints.join(table, "fp").select(*keep, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, text: str = "text", most: int = MOST) -> DataFrame:
-    """One row of each near-duplicate group, with docs' own columns: that of the smallest (doc_id, row hash), null ids last; of equal rows one."""
+def _close(codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the codes within the radius, in parts; a million comparisons at a time."""
+    step = max(1, (1 << 20) // len(codes))
+    for at in range(0, len(codes), step):
+        i, j = np.nonzero(np.bitwise_count(codes[at : at + step, None] ^ codes[None, at:]) <= radius)
+        i, j = i[j > i], j[j > i]
+        yield codes[at + i], codes[at + j]
+
+
+def _parted(n: int, radius: int) -> int:
+    """Blocks of the upper nodes for n fingerprints: more blocks mean more rows and fewer comparisons. At most `radius`: one node of all."""
+
+    def cost(blocks: int) -> float:
+        if blocks <= radius:
+            return n * n / 2 * 5e-9
+        nodes, patterns = comb(blocks, radius), 2 ** (64 * (blocks - radius) / blocks)
+        return nodes * (n * 3e-6 + n * n / 2 / patterns * 5e-9)  # rough seconds a row and a comparison
+
+    return min(range(radius, radius + 4), key=cost)
+
+
+def close_pairs(fps: DataFrame, radius: int = WIDE) -> DataFrame:
+    """a, b: every pair of distinct fingerprints `fp` within the radius, once.
+
+    The upper nodes are those of links(). At a wide radius no pattern of a run prunes anything, so each
+    node compares all its fingerprints, in blocks, and is not split. A pair is given by the first node it meets in.
+    """
+    masks = [mask for mask, _ in _masks(list(range(64)), radius, _parted(fps.count(), radius))]
+    node = lambda k, mask: F.struct(F.lit(k).alias("node"), F.lit(_signed(mask)).cast("long").alias("mask"))
+    exploded = fps.select("fp", F.explode(F.array(*(node(k, mask) for k, mask in enumerate(masks)))).alias("x"))
+    nodes = exploded.select(F.col("x.node").alias("node"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("pattern"), "fp")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (of, _, fp), starts, ends in whole_groups(batches, 2):
+            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                for a, b in _close(fp[s:e].view(np.uint64), radius):
+                    for mask in masks[: of[s]]:
+                        new = (a ^ b) & np.uint64(mask) != 0
+                        a, b = a[new], b[new]
+                        if not len(a):
+                            break
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(n, "node", "pattern").sortWithinPartitions("node", "pattern").mapInArrow(scan, "a long, b long")
+
+
+def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """key and shingles (8 bytes each, distinct) of docs (key, text), one row a key."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1).cast(pa.binary()), b"")
+            raw = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["key", "shingles"])
+
+    return docs.select("key", text).mapInArrow(scan, "key long, shingles binary").dropDuplicates(["key"])
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """a, b: the pairs (x, y, p, q: shingles of either) whose Jaccard similarity is 4/5 or more."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for p, q in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (p, q))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(5 * both >= 4 * (len(p) + len(q) - both))
+            good = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return pairs.select("x", "y", "p", "q").mapInArrow(scan, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, radius: int, shingle: int, text: str, keep: list[str]) -> DataFrame:
+    """`keep` of each row and group: the same for rows that a chain of similar pairs connects.
+
+    Similar: of equal shingle sets, or within the radius and of Jaccard similarity 4/5 or more, which is
+    counted on the whole sets of 64-bit shingle hashes. docs: `keep`, which tells texts apart, and text.
+    """
+    prints = cut_small(with_fingerprints(docs, keep, text, shingle, sets=True))
+    units = cut_small(prints.select("fp", "key").distinct())
+    x, y = units.toDF("a", "x"), units.toDF("b", "y")
+    met = close_pairs(units.select("fp").distinct(), radius).join(x, "a").join(y, "b").select("x", "y")
+    met = met.unionByName(x.join(y, F.col("a") == F.col("b")).select("x", "y")).where("x <> y")  # sets of one fingerprint too
+    pairs = cut_small(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    one = cut_small(prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*keep)).alias("k")).select("key", *(F.col("k")[c].alias(c) for c in keep)))
+    both = [docs[c].eqNullSafe(one[c]) for c in keep]
+    sets = cut_small(_sets(docs.join(broadcast_if_small(one), reduce(Column.__and__, both)).select("key", text), text, shingle))
+    found = _similar(pairs.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y"))
+    roots = cut_small(components(found)).toDF("key", "root")
+    return prints.join(roots, "key", "left").select(*keep, F.coalesce("root", "key").alias("group"))
+
+
+def _first_of_each(docs: DataFrame, text: str, grouped: Callable[[DataFrame, str, str, list[str]], tuple[DataFrame, list[Column]]]) -> DataFrame:
+    """One row of each group, with docs' own columns: that of the smallest (doc_id, row hash), null ids last; of equal rows one."""
     names = docs.columns
     inner = docs.toDF(*(f"c{k}" for k in range(len(names))))
     id_column, text_column = f"c{names.index('doc_id')}", f"c{names.index(text)}"
     keyed = inner.withColumns({"__row": F.xxhash64(*inner.columns), "__text": F.xxhash64(F.col(text_column), F.lit(1))})
-    groups = near_duplicates(keyed, radius, shingle, id_column, text_column, [id_column, "__row", "__text"], most)
-    # A group is known by its smallest id, but rows without ids may make groups of their own: the fingerprint tells these apart.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    groups, group = grouped(keyed, id_column, text_column, [id_column, "__row", "__text"])
     best = F.min(F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("d"), F.col("__row").alias("r"), F.col("__text").alias("t")))
     keep = groups.groupBy(*group).agg(best.alias("b")).select(F.col("b.r").alias("__row"), F.col("b.t").alias("__text"))
     met = keyed.join(keep, ["__row", "__text"])
     one = F.row_number().over(Window.partitionBy("__row", "__text").orderBy(id_column))
     return met.withColumn("__n", one).where("__n = 1").select(*inner.columns).toDF(*names)
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, text: str = "text", most: int = MOST) -> DataFrame:
+    """_first_of_each() group of near_duplicates()."""
+    # A group is known by its smallest id, but rows without ids may make groups of their own: the fingerprint tells these apart.
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    return _first_of_each(docs, text, lambda keyed, id_column, text_column, keep: (near_duplicates(keyed, radius, shingle, id_column, text_column, keep, most), group))
+
+
+def drop_similar(docs: DataFrame, radius: int = WIDE, shingle: int = 5, text: str = "text") -> DataFrame:
+    """_first_of_each() group of similar_groups()."""
+    return _first_of_each(docs, text, lambda keyed, id_column, text_column, keep: (similar_groups(keyed, radius, shingle, text_column, keep), [F.col("group")]))

@@ -423,6 +423,58 @@ def test_one_of_each_group_stays(docs, rows, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def slow_similar(texts, k=5):
+    """Pairs of texts with a shingle similarity of 4/5 or more."""
+    def grams(text):
+        w = words_of(text.lower())
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)}
+    sets = [grams(t) for t in texts]
+    return {(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def near_copies(n, seed=1):
+    """Texts of 60 to 300 words, each with a copy of a few changed words, so that similarities lie about 0.8."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(50_000)}"
+    texts = []
+    for _ in range(n):
+        w = [word() for _ in range(r.randrange(60, 300))]
+        texts.append(" ".join(w))
+        for _ in range(max(1, len(w) * r.randrange(1, 5) // 200)):
+            w[r.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_similar_texts_against_brute_force(spark):
+    texts = near_copies(100)
+    similar = slow_similar(texts)
+    codes = [slow_fingerprint(t, 5) for t in texts]
+    bits = {(i, j): (codes[i] ^ codes[j]).bit_count() for i, j in similar}
+    within = {p for p, n in bits.items() if n <= simhash.WIDE}
+    label = list(range(len(texts)))
+    for i, j in sorted(within):
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = simhash.drop_similar(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS)).collect()
+    assert {x.doc_id for x in got} == {i for i, k in enumerate(label) if i == k}
+    assert len(similar) > 50 and len(within) >= 0.9 * len(similar) and sum(n > 3 for n in bits.values()) > 0.8 * len(similar)
+
+
+@pytest.mark.parametrize("parted", [5, 6, 8])
+def test_close_pairs_against_brute_force(spark, parted, monkeypatch):
+    r = random.Random(parted)
+    codes = [r.getrandbits(64)]
+    while len(codes) < 150:
+        c = r.choice(codes)
+        for _ in range(r.randrange(1, 9)):
+            c ^= 1 << r.randrange(64)
+        codes = sorted({*codes, c})
+    monkeypatch.setattr(simhash, "_parted", lambda n, radius: parted)
+    df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    got = Counter(frozenset((x.a & (1 << 64) - 1, x.b & (1 << 64) - 1)) for x in simhash.close_pairs(df, 5).collect())
+    assert got == Counter(frozenset((a, b)) for k, a in enumerate(codes) for b in codes[:k] if (a ^ b).bit_count() <= 5)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1), (20, 20), *((k, k + 1) for k in range(100, 120))]
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
