@@ -45,7 +45,9 @@ FIRST_PAIRS = 4
 BUCKET_DOCS = 1_000
 _NULL_ID = -(1 << 63)
 _LINES = 1 << 18
-_WORD = np.uint64((1 << 40) - 1)
+#: What is cut off a word's 64-bit hash to make its token, which orders, counts and filters words. Sets are keyed and verified by whole hashes.
+_SHORT = np.uint64(24)
+_TOKEN = np.uint64((1 << 40) - 1)
 
 
 def _classes(counts: np.ndarray) -> np.ndarray:
@@ -61,20 +63,30 @@ def line_spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class LineSets:
-    """The word sets of a block's judged lines, at most _LINES of them: words of line k are at[k]:at[k + 1], in order of (class, word)."""
+    """The word sets of a block's judged lines, at most _LINES of them: words of line k are at[k]:at[k + 1], in order of (class, token, word)."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, classes: np.ndarray | None):
         count = last - first
         line = np.repeat(np.arange(len(first), dtype=np.uint64), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        h = words[at] & _WORD
-        key = line << np.uint64(46) | h
+        word = words[at]
+        token = word >> _SHORT
+        key = line << np.uint64(46) | token
         if classes is not None:
-            key |= classes[(h % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        self.word = key & _WORD
+            key |= classes[(token % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
+        order = np.argsort(key)
+        sorted_key, sorted_word = key[order], word[order]
+        same = sorted_key[1:] == sorted_key[:-1]
+        if (same & (sorted_word[1:] != sorted_word[:-1])).any():  # different words of one token in one line
+            order = np.lexsort((word, key))
+            sorted_key, sorted_word = key[order], word[order]
+            same = sorted_key[1:] == sorted_key[:-1]
+        new = np.concatenate([[True], ~same | (sorted_word[1:] != sorted_word[:-1])])
+        key, self.word = sorted_key[new], sorted_word[new]
+        self.token = key & _TOKEN
         self.rarity = key >> np.uint64(40) & np.uint64(63)
+        #: Whether a word is the first of its token in its line.
+        self.fresh = np.concatenate([[True], key[1:] != key[:-1]])
         self.n = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(first))
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         spread = mix(self.word + np.uint64(1))
@@ -88,7 +100,7 @@ def _judged(block: TextBlock, min_words: int, classes: np.ndarray | None) -> Ite
     """(text, line number, sets) for runs of judged lines."""
     texts, number, first, last = line_spans(block)
     lines = np.flatnonzero(last - first >= min_words)
-    words = block.word_hashes() >> np.uint64(24) if len(lines) else None
+    words = block.word_hashes() if len(lines) else None
     for a in range(0, len(lines), _LINES):
         k = lines[a : a + _LINES]
         yield texts[k], number[k], LineSets(words, first[k], last[k], classes)
@@ -106,7 +118,7 @@ def rarity_table(docs: DataFrame, text: str = "text") -> np.ndarray:
         held = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for _, _, block in blocks(batch.column(2)):
-                cells, n = np.unique(((block.word_hashes() >> np.uint64(24)) % np.uint64(CELLS)).astype(np.uint32), return_counts=True)
+                cells, n = np.unique(((block.word_hashes() >> _SHORT) % np.uint64(CELLS)).astype(np.uint32), return_counts=True)
                 held[cells] += n.astype(np.uint32)
         for c in range(CELLS // _CHUNK):
             part = held[c * _CHUNK : (c + 1) * _CHUNK]
@@ -136,10 +148,10 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 
 def _prefix(s: LineSets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in s.word, set) of the prefix words of the chosen sets; words of count 1 meet no other set, nor do sets of under 4 words."""
+    """(place in s.token, set) of the prefix tokens of the chosen sets; words of count 1 meet no other set, and sets of under 4 words only equal ones, which share a key."""
     at = np.arange(len(s.word)) - np.repeat(s.at[:-1], s.n)
     size = np.repeat(s.n, s.n)
-    use = np.flatnonzero((at <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & np.repeat(chosen, s.n))
+    use = np.flatnonzero((at <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & s.fresh & np.repeat(chosen, s.n))
     return use, np.repeat(np.arange(len(s.n)), s.n)[use]
 
 
@@ -185,7 +197,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, min_words: int = MIN_WORDS,
                     chosen = np.zeros(len(s.n), bool)
                     chosen[first] = True
                     use, of = _prefix(s, chosen)
-                    cells, n = np.unique(_cell(s.word[use], _bands(s.n[of])), return_counts=True)
+                    cells, n = np.unique(_cell(s.token[use], _bands(s.n[of])), return_counts=True)
                     _set(twice, cells[(n > 1) | _has(once, cells)])
                     _set(once, cells)
                     found = [s.key[first], d[first], number[first].astype(np.int32), h[first]]
@@ -220,7 +232,7 @@ def _partners(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-#: An entry of the index: word, size, place of the word, two halves of the parity signature, set, and its earliest line of a run.
+#: An entry of the index: token of a word, size, place of the word, two halves of the parity signature, set, and its earliest line of a run.
 _FIELDS = (("word", np.uint64), ("n", np.int64), ("at", np.int64), ("low", np.uint64), ("high", np.uint64), ("key", np.int64), ("d", np.int64), ("line", np.int64))
 
 
@@ -263,10 +275,10 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
                     chosen = np.zeros(len(s.n), bool)
                     chosen[_distinct(s, hashes[a + texts], number, d)] = True
                     use, of = _prefix(s, chosen)
-                    word, band = s.word[use], _bands(s.n[of])
+                    word, band = s.token[use], _bands(s.n[of])
                     some = _has(twice, _cell(word, band)) | _has(once, _cell(word, band + 1)) | _has(once, _cell(word, np.maximum(0, band - 1))) & (band > 0)
                     use, of = use[some], of[some]
-                    held.append([s.word[use], s.n[of].astype(np.int64), use - s.at[:-1][of], s.parity[0][of], s.parity[1][of], s.key[of], d[of], number[of].astype(np.int64)])
+                    held.append([s.token[use], s.n[of].astype(np.int64), use - s.at[:-1][of], s.parity[0][of], s.parity[1][of], s.key[of], d[of], number[of].astype(np.int64)])
                     count += len(use)
                     if count >= 250_000:
                         yield from flush()
@@ -285,7 +297,7 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
     """
     columns = [np.concatenate(c) for c in zip(*map(_unpacked, blobs))]
     word, n, at, low, high, key, d, line = columns
-    order = np.lexsort((key, word << np.uint64(24) | np.minimum(n, (1 << 24) - 1).view(np.uint64)))  # words have 40 bits
+    order = np.lexsort((key, word << np.uint64(24) | np.minimum(n, (1 << 24) - 1).view(np.uint64)))  # tokens have 40 bits
     columns = [c[order] for c in columns]
     word, n, at, low, high, key, d, line = columns
     fresh = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))
@@ -374,7 +386,7 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, min_words: int, text: str) -> DataFrame:
-    """key, n, w0 to w3 (a parity signature of 256 bits) and words (5 bytes each, ascending) of the whole sets of the keys."""
+    """key, n, w0 to w3 (a parity signature of 256 bits) and words (64-bit hashes, ascending) of the whole sets of the keys."""
     home = F.xxhash64("d", "h")
     homes = first.join(keys, "key", "left_semi").select(home.alias("key")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast((_filter_of(keys), _filter_of(homes)))  # 2 * FILTER_BITS bits
@@ -394,7 +406,7 @@ def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, min_words: i
                     words = [s.word[s.at[k] : s.at[k + 1]] for k in hit]
                     spread = [mix(w + np.uint64(1)) >> np.uint64(32) for w in words]
                     wide = np.stack([np.packbits((np.bincount((w & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for w in spread]).view(np.int64)
-                    raw = [w.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for w in words]
+                    raw = [w.tobytes() for w in words]
                     yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array(s.n[hit].astype(np.int32)), *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(raw, pa.binary())], names=["key", "n", "w0", "w1", "w2", "w3", "words"])
 
     found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(scan, "key long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
@@ -405,16 +417,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
     """y of the pairs (y, a, b: words of either) whose similarity is 4/5 or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ints(raw: bytes) -> np.ndarray:
-            out = np.zeros((len(raw) // 5, 8), np.uint8)
-            out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            return out.reshape(-1).view(np.uint64)
-
         for batch in batches:
             good = []
             for y, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                both = len(np.intersect1d(ints(a), ints(b), assume_unique=True))
-                if 5 * both >= 4 * (len(a) // 5 + len(b) // 5 - both):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 5 * both >= 4 * (len(a) + len(b) - both):
                     good.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["key"])
 

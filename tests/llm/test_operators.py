@@ -531,6 +531,13 @@ def test_lines_of_repeated_ids(spark):
     assert texts["a b c d"] == 1 and texts["q r s t"] == 2 and texts["other words stand here"] == 1  # the row without id comes first
 
 
+def test_words_of_one_token_differ(spark):
+    """The hashes of 10189477 and 12445445 share their first 40 bits."""
+    rows = [(1, "Visitor number 10189477", "en", "a"), (2, "Visitor number 12445445", "en", "a"), (3, "both 10189477 12445445 here", "en", "a"), (4, "here 12445445 both 10189477 10189477", "en", "a"), (5, "a b c d e f g 10189477", "en", "a"), (6, "a b c d e f g 12445445", "en", "a")]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: t if d != 4 else "" for d, t, *_ in rows} == {d: t for (d, *_), t in zip(rows, slow_lines(rows))}
+
+
 # ---- 9
 
 
