@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from keyfold.llm.runtime import bounded_batches, cut_small, held, let_go
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
-#: Words from which a line is judged; shorter ones stay.
+#: Words from which a line is judged, if nothing else is given; shorter ones stay.
 MIN_WORDS = 3
 CELLS = 1 << 22
 PARTNER_BITS = 1 << 26

@@ -186,7 +186,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 @query

@@ -133,6 +133,16 @@ def test_duplicate_queries(spark, folder):
     assert {x["doc_id"]: x["text"] for x in run(spark, folder, "op8_line_dedup")} == {d: t for (d, *_), t in zip(rows, slow_lines(rows_of(rows)))}
 
 
+def test_short_lines_are_judged(spark, tmp_path):
+    rows = [(1, "Home\nHome\n\nContact us\n中文没有空格的一行", "en", "a", 0), (2, "Home\nus Contact\n中文没有空格的一行\nAbout", "en", "a", 0), (3, "home\n \nHome us\nus us", "en", "b", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {d: t for (d, *_), t in zip(rows, slow_lines(rows_of(rows), min_words=1))}
+    assert expected[1] == "Home\n\nContact us\n中文没有空格的一行" and expected[2] == "About"
+    assert {x["doc_id"]: x["text"] for x in run(spark, [str(tmp_path)], "op8_line_dedup")} == expected
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == expected
+
+
 def test_mixing_query(spark, folder):
     taken = Counter()
     for d, _, _, t in mixed(rows_of(folder[1]), mixing.BLOCK_WORDS):
