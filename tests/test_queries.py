@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from keyfold import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,6 +45,12 @@ def test_same_as_sql(spark, duck, name):
     assert got == rows_of([d[0] for d in found.description], found.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_supplier_sets_are_whole(spark, duck):
+    found = duck.execute("SELECT DISTINCT l_suppkey::VARCHAR, l_partkey FROM lineitem").fetchall()
+    assert sorted(map(tuple, queries._supplier_parts(spark, SF).select("key", "member").collect())) == sorted(found)
+
+
 def test_sql_has_queries():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
