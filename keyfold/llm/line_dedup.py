@@ -1,24 +1,29 @@
 """Line dedup by an exact set-similarity join of lines.
 
-A line is its set of words. Lines of equal sets are merged first. The words of a set are put in one
-fixed order, rare ones first; two sets of Jaccard similarity 4/5 or more then share one of their first
-n - ceil(4n/5) + 1 words (prefix filter). Sets that meet at such a word pass on if their sizes allow it
-(length filter), if the words before and after it can still make up the overlap (positional filter),
-and if their 128-bit parity signatures differ in no more bits than the sets may differ in words. What
-is left is verified on the whole sets. A line goes if an earlier line, by (doc_id, line number, and for
-repeated ids a hash), has an equal set or one that is similar enough, whether that line stays or not.
-
-Rarity comes from counts of all words in a table of CELLS cells, which has a fixed size however large
-the corpus is; words that share a cell count together, which changes the order but not the result.
-A word of the prefix is left out where no other set of a fitting size has it in its prefix, which a
-second such table of counts tells. A set is known once it has one earlier match, so a search gives at
-most `take` candidates for each set and word, and only sets without a match that had more candidates
-are searched again, with more.
+A line is its set of words. Lines of equal sets are merged first; a set is known by two independent
+64-bit hashes of its words, 128 bits in all. The words of a set are put in one fixed order, rare ones
+first; two sets of Jaccard similarity 4/5 or more then share one of their first n - ceil(4n/5) + 1 words
+(prefix filter). Sets that meet at such a word pass on if their sizes allow it (length filter), if the
+words before and after it can still make up the overlap (positional filter), and if their 128-bit parity
+signatures differ in no more bits than the sets may differ in words. What is left is verified on the
+words themselves. A line goes if an earlier line, by (doc_id, line number, and for repeated ids a hash),
+has an equal set or one that is similar enough, whether that line stays or not.
+
+Rarity comes from counts of all words in a table of cells; words that share a cell count together, which
+changes the order but not the result. A word of the prefix is left out where no other set of a fitting
+size has it in its prefix, which a bitmap tells; a full bitmap leaves out less and the result is the
+same. The tables grow with the number of documents up to a fixed bound (see Tables).
+
+The sets of one word are compared in groups of at most about 2 * GROUP: a word of more entries is dealt
+to salts by set, and every two salts make a group of their own, so no task grows with one word. A set is
+known once it has one earlier match, so a search gives at most `take` candidates for each set and group,
+and only sets without a match that had more candidates are searched again, with more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +32,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, cut_small, held, let_go
+from keyfold.llm.runtime import apart, bounded_batches, cut_small, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
-#: Words from which a line is judged, if nothing else is given; shorter ones stay.
-MIN_WORDS = 3
-CELLS = 1 << 22
-PARTNER_BITS = 1 << 26
+#: Words from which a line is judged; shorter ones stay.
+MIN_WORDS = 1
+#: Entries of one word from which it is dealt to several groups.
+GROUP = 1 << 13
 _CHUNK = 1 << 16
-#: Candidates of a set at one word in the first search; each further search gives 16 times as many.
+#: Candidates of a set in one group in the first search; each further search gives 16 times as many.
 TAKE = 16
-#: Bits of the filter that picks the sets to be verified; a full one only lets more through.
-FILTER_BITS = 1 << 23
 #: Pairs of a set that are verified at first.
 FIRST_PAIRS = 4
 #: Documents for each bucket of the index of words.
 BUCKET_DOCS = 1_000
 _NULL_ID = -(1 << 63)
 _LINES = 1 << 18
-#: What is cut off a word's 64-bit hash to make its token, which orders, counts and filters words. Sets are keyed and verified by whole hashes.
+#: What is cut off a word's 64-bit hash to make its token, which orders, counts and groups words.
 _SHORT = np.uint64(24)
 _TOKEN = np.uint64((1 << 40) - 1)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Sizes of the shared tables, powers of two: cells of the word counts (a byte each where they are used, 4 while they are made), and bits of the bitmap of partners (two of them) and of the filters of sets (two)."""
+
+    cells: int
+    partner_bits: int
+    filter_bits: int
+
+    @staticmethod
+    def of(n_docs: int) -> Tables:
+        """16 cells, 256 and 32 bits a document; at most 64 MB for any one table, however many documents there are."""
+        size = lambda n, most: min(most, max(1 << 19, 1 << (n - 1).bit_length()))
+        n = max(1, n_docs)
+        return Tables(size(16 * n, 1 << 24), size(256 * n, 1 << 29), size(32 * n, 1 << 29))
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     """Half-octaves of counts: 0 for 1 (or none), at most 63."""
     return np.minimum(63, np.floor(2 * np.log2(np.maximum(1, counts)))).astype(np.uint8)
@@ -65,7 +84,8 @@ def line_spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 class LineSets:
     """The word sets of a block's judged lines, at most _LINES of them: words of line k are at[k]:at[k + 1], in order of (class, token, word)."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, classes: np.ndarray | None):
+    def __init__(self, block: TextBlock, first: np.ndarray, last: np.ndarray, classes: np.ndarray | None):
+        words, others = block.word_hashes(), block.word_hashes(1)
         count = last - first
         line = np.repeat(np.arange(len(first), dtype=np.uint64), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
@@ -73,7 +93,7 @@ class LineSets:
         token = word >> _SHORT
         key = line << np.uint64(46) | token
         if classes is not None:
-            key |= classes[(token % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
+            key |= classes[(token & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
         order = np.argsort(key)
         sorted_key, sorted_word = key[order], word[order]
         same = sorted_key[1:] == sorted_key[:-1]
@@ -82,28 +102,34 @@ class LineSets:
             sorted_key, sorted_word = key[order], word[order]
             same = sorted_key[1:] == sorted_key[:-1]
         new = np.concatenate([[True], ~same | (sorted_word[1:] != sorted_word[:-1])])
-        key, self.word = sorted_key[new], sorted_word[new]
+        key = sorted_key[new]
+        #: Where in the block each word of the sets stands.
+        self.place = at[order[new]]
         self.token = key & _TOKEN
         self.rarity = key >> np.uint64(40) & np.uint64(63)
         #: Whether a word is the first of its token in its line.
         self.fresh = np.concatenate([[True], key[1:] != key[:-1]])
         self.n = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(first))
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        spread = mix(self.word + np.uint64(1))
-        self.key = mix(np.add.reduceat(spread, self.at[:-1]) * np.uint64(0x9E3779B97F4A7C15) + self.n.astype(np.uint64)).view(np.int64)
-        bit = np.uint64(1) << (spread & np.uint64(63))
-        half = (spread >> np.uint64(6) & np.uint64(1)).astype(bool)
-        self.parity = [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), self.at[:-1]) for k in (False, True)]
+        spread, size = mix(sorted_word[new] + np.uint64(1)), self.n.astype(np.uint64)
+        self.key = mix(np.add.reduceat(spread, self.at[:-1]) * np.uint64(0x9E3779B97F4A7C15) + size).view(np.int64)
+        self.check = mix(np.add.reduceat(mix(others[self.place] + np.uint64(1)), self.at[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + size).view(np.int64)
+        self.spread = spread
+
+    def parity(self) -> list[np.ndarray]:
+        """128 bits of each set: those that an odd number of its words have, as two halves."""
+        bit = np.uint64(1) << (self.spread & np.uint64(63))
+        half = (self.spread >> np.uint64(6) & np.uint64(1)).astype(bool)
+        return [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), self.at[:-1]) for k in (False, True)]
 
 
 def _judged(block: TextBlock, min_words: int, classes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, LineSets]]:
     """(text, line number, sets) for runs of judged lines."""
     texts, number, first, last = line_spans(block)
-    lines = np.flatnonzero(last - first >= min_words)
-    words = block.word_hashes() if len(lines) else None
+    lines = np.flatnonzero(last - first >= max(1, min_words))
     for a in range(0, len(lines), _LINES):
         k = lines[a : a + _LINES]
-        yield texts[k], number[k], LineSets(words, first[k], last[k], classes)
+        yield texts[k], number[k], LineSets(block, first[k], last[k], classes)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -111,20 +137,17 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
 
 
-def rarity_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The class of every cell, over all words of docs; CELLS bytes."""
+def _sparse(held: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(chunk, places in it, counts) of an array of counts that has some."""
+    for c in range(len(held) // _CHUNK):
+        part = held[c * _CHUNK : (c + 1) * _CHUNK]
+        at = np.flatnonzero(part)
+        if len(at):
+            yield c, at.astype("<u2").tobytes(), part[at].tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CELLS, np.uint32)
-        for batch in batches:
-            for _, _, block in blocks(batch.column(2)):
-                cells, n = np.unique(((block.word_hashes() >> _SHORT) % np.uint64(CELLS)).astype(np.uint32), return_counts=True)
-                held[cells] += n.astype(np.uint32)
-        for c in range(CELLS // _CHUNK):
-            part = held[c * _CHUNK : (c + 1) * _CHUNK]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["chunk", "cells", "counts"])
+
+def _summed(parts: DataFrame, cells: int, made, kind: type) -> np.ndarray:
+    """made(sums) of all counts of parts (chunk, places, counts), an array of `cells` of a small kind."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -132,16 +155,30 @@ def rarity_table(docs: DataFrame, text: str = "text") -> np.ndarray:
             for chunk, at, n in zip(*(c.to_pylist() for c in batch.columns)):
                 sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint32)
         for chunk, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_classes(total).tobytes()], pa.binary())], names=["chunk", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([made(total).astype(kind).tobytes()], pa.binary())], names=["chunk", "made"])
 
-    parts = _keyed(docs, text).mapInArrow(count, "chunk int, cells binary, counts binary")
-    n = min(CELLS // _CHUNK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = np.zeros(CELLS, np.uint8)
-    for r in parts.repartition(n, "chunk").mapInArrow(add, "chunk int, classes binary").collect():  # CELLS bytes in all
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["classes"], np.uint8)
+    n = min(max(1, cells // _CHUNK), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros(cells, kind)
+    for r in parts.repartition(n, "chunk").mapInArrow(add, "chunk int, made binary").toLocalIterator():  # one small number a cell
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["made"], kind)
     return out
 
 
+def rarity_table(docs: DataFrame, tables: Tables, text: str = "text") -> np.ndarray:
+    """The class of every cell, over all words of docs; a byte a cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(tables.cells, np.uint32)
+        for batch in batches:
+            for _, _, block in blocks(batch.column(2)):
+                cells, n = np.unique((block.word_hashes() >> _SHORT) & np.uint64(tables.cells - 1), return_counts=True)
+                held[cells.astype(np.int64)] += n.astype(np.uint32)
+        for c, at, n in _sparse(held):
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at], pa.binary()), pa.array([n], pa.binary())], names=["chunk", "places", "counts"])
+
+    return _summed(_keyed(docs, text).mapInArrow(count, "chunk int, places binary, counts binary"), tables.cells, _classes, np.uint8)
+
+
 def _bands(n: np.ndarray) -> np.ndarray:
     """Bands of set sizes: sets of similarity 4/5 are in the same band or in neighbouring ones."""
     return np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)
@@ -149,14 +186,14 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 def _prefix(s: LineSets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in s.token, set) of the prefix tokens of the chosen sets; words of count 1 meet no other set, and sets of under 4 words only equal ones, which share a key."""
-    at = np.arange(len(s.word)) - np.repeat(s.at[:-1], s.n)
+    at = np.arange(len(s.token)) - np.repeat(s.at[:-1], s.n)
     size = np.repeat(s.n, s.n)
     use = np.flatnonzero((at <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & s.fresh & np.repeat(chosen, s.n))
     return use, np.repeat(np.arange(len(s.n)), s.n)[use]
 
 
-def _cell(word: np.ndarray, band: np.ndarray) -> np.ndarray:
-    return (mix(word * np.uint64(64) + band.astype(np.uint64)) % np.uint64(PARTNER_BITS)).astype(np.int64)
+def _cell(word: np.ndarray, band: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(word * np.uint64(64) + band.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _set(bitmap: np.ndarray, cells: np.ndarray) -> None:
@@ -176,18 +213,26 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
 
 def _distinct(s: LineSets, *order: np.ndarray) -> np.ndarray:
     """The first line, by `order` (the last being the first key), of each set of a run."""
-    rows = np.lexsort((*order, s.key))
-    return rows[np.concatenate([[True], s.key[rows][1:] != s.key[rows][:-1]])]
+    rows = np.lexsort((*order, s.check, s.key))
+    key, check = s.key[rows], s.check[rows]
+    return rows[np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])]
+
+
+_SETS = "key long, check long, d long, line int, h long, kind int, chunk int, once binary, twice binary"
 
 
-def line_sets(docs: DataFrame, classes: np.ndarray, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """key, d, line, h: lines of each set, the earliest of each batch at least; and, with key null, chunk, once, twice: places in two bitmaps of the words and bands that one set, and that more than one, has in its prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # CELLS bytes
+def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """Rows of three kinds. Kind 0: key, check, d, line, h, lines of each set, the earliest of each batch at least. Kind 1: chunk, once, twice, places in two bitmaps of the words and bands that one set, and that more than one, has in its prefix. Kind 2: chunk, once, twice, cells of such words and how many entries they have."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # a byte a cell
+    names = [c.split()[0] for c in _SETS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def side(kind: int, chunk: int, a: bytes, b: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), *(pa.array([x], k) for x, k in zip((kind, chunk, a, b), kinds[5:]))], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "d", "line", "h", "chunk", "once", "twice"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        once, twice = np.zeros(PARTNER_BITS // 8, np.uint8), np.zeros(PARTNER_BITS // 8, np.uint8)
+        size = tables.partner_bits // 8
+        once, twice, entries = np.zeros(size, np.uint8), np.zeros(size, np.uint8), np.zeros(tables.cells, np.uint32)
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, _, block in blocks(batch.column(2)):
@@ -197,22 +242,25 @@ def line_sets(docs: DataFrame, classes: np.ndarray, min_words: int = MIN_WORDS,
                     chosen = np.zeros(len(s.n), bool)
                     chosen[first] = True
                     use, of = _prefix(s, chosen)
-                    cells, n = np.unique(_cell(s.token[use], _bands(s.n[of])), return_counts=True)
+                    cells, n = np.unique(_cell(s.token[use], _bands(s.n[of]), tables.partner_bits), return_counts=True)
                     _set(twice, cells[(n > 1) | _has(once, cells)])
                     _set(once, cells)
-                    found = [s.key[first], d[first], number[first].astype(np.int32), h[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)] + [pa.nulls(len(first), k) for k in kinds[4:]], names=names)
-        for c in range(PARTNER_BITS // 8 // _CHUNK):
+                    cells, n = np.unique(s.token[use] & np.uint64(tables.cells - 1), return_counts=True)
+                    entries[cells.astype(np.int64)] += n.astype(np.uint32)
+                    found = [s.key[first], s.check[first], d[first], number[first].astype(np.int32), h[first], np.zeros(len(first), np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)] + [pa.nulls(len(first), k) for k in kinds[6:]], names=names)
+        for c in range(max(1, size // _CHUNK)):
             part = slice(c * _CHUNK, (c + 1) * _CHUNK)
             if once[part].any():
-                spots = [_places(b[part]).tobytes() for b in (once, twice)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in spots)], names=names)
+                yield side(1, c, *(_places(b[part]).tobytes() for b in (once, twice)))
+        for c, at, n in _sparse(entries):
+            yield side(2, c, at, n)
 
-    return _keyed(docs, text).mapInArrow(scan, "key long, d long, line int, h long, chunk int, once binary, twice binary")
+    return _keyed(docs, text).mapInArrow(scan, _SETS)
 
 
-def _partners(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two bitmaps of line_sets(), over all of docs; 2 * PARTNER_BITS bits."""
+def _partners(sets: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """The two bitmaps of line_sets(), over all of docs; 2 * partner_bits bits."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -225,15 +273,36 @@ def _partners(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for chunk, (once, twice) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["chunk", "once", "twice"])
 
-    n = min(PARTNER_BITS // 8 // _CHUNK, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = np.zeros((2, PARTNER_BITS // 8), np.uint8)
-    for r in sets.where("key is null").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(add, "chunk int, once binary, twice binary").toLocalIterator():  # 2 * PARTNER_BITS bits in all
+    size = tables.partner_bits // 8
+    n = min(max(1, size // _CHUNK), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros((2, max(size, _CHUNK)), np.uint8)
+    for r in sets.where("kind = 1").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(add, "chunk int, once binary, twice binary").toLocalIterator():  # 2 * partner_bits bits in all
         out[:, r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["once"], np.uint8), np.frombuffer(r["twice"], np.uint8)
     return out[0], out[1]
 
 
-#: An entry of the index: token of a word, size, place of the word, two halves of the parity signature, set, and its earliest line of a run.
-_FIELDS = (("word", np.uint64), ("n", np.int64), ("at", np.int64), ("low", np.uint64), ("high", np.uint64), ("key", np.int64), ("d", np.int64), ("line", np.int64))
+def _salts(sets: DataFrame, tables: Tables) -> np.ndarray:
+    """Of each cell the number of salts that its entries are dealt to: 1 up to GROUP entries."""
+    parts = sets.where("kind = 2").select("chunk", "once", "twice")
+    return np.maximum(1, _summed(parts, tables.cells, lambda n: np.minimum(-(-n // GROUP), (1 << 16) - 1), np.uint16))
+
+
+#: An entry of the index: its group (a token, or a token and two salts), size, 4 times the place of the word and its side of the group, two halves of the parity signature, set, and its earliest line of a run.
+_FIELDS = (("group", np.uint64), ("n", np.int64), ("at", np.int64), ("low", np.uint64), ("high", np.uint64), ("key", np.int64), ("check", np.int64), ("d", np.int64), ("line", np.int64))
+
+
+def _dealt(token: np.ndarray, key: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, group, side): the groups that each entry goes to. Side 0 meets all of its group, 1 and 2 each other."""
+    many = np.flatnonzero(salts > 1)
+    one = np.flatnonzero(salts == 1)
+    n = salts[many].astype(np.int64)
+    entry = np.repeat(many, n)
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    mine = np.repeat((mix(key[many].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), n)
+    a, b = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+    group = mix(mix(token[entry] + np.uint64(1)) + (a << np.uint64(32) | b)) | np.uint64(1 << 63)  # tokens have 40 bits
+    side = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+    return np.concatenate([one, entry]), np.concatenate([token[one], group]), np.concatenate([np.zeros(len(one), np.int64), side])
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -246,12 +315,12 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(planes[k].T).reshape(-1).view(kind) for k, (_, kind) in enumerate(_FIELDS)]
 
 
-def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarray, np.ndarray], buckets: int, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """bucket, entries: the index of prefix words, packed by bucket of the word. Words without a set of a fitting size to meet are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, *partners))  # CELLS bytes and 2 * PARTNER_BITS bits
+def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarray, np.ndarray], salts: np.ndarray, tables: Tables, buckets: int, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """bucket, entries: the index of prefix words, packed by bucket of the group. Words without a set of a fitting size to meet are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast((classes, *partners, salts))  # 3 bytes a cell and 2 * partner_bits bits
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, once, twice = shared.value
+        rare, once, twice, dealt = shared.value
         held: list[list[np.ndarray]] = []
         count = 0
 
@@ -275,10 +344,15 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
                     chosen = np.zeros(len(s.n), bool)
                     chosen[_distinct(s, hashes[a + texts], number, d)] = True
                     use, of = _prefix(s, chosen)
-                    word, band = s.token[use], _bands(s.n[of])
-                    some = _has(twice, _cell(word, band)) | _has(once, _cell(word, band + 1)) | _has(once, _cell(word, np.maximum(0, band - 1))) & (band > 0)
+                    token, band = s.token[use], _bands(s.n[of])
+                    there = lambda bits, b: _has(bits, _cell(token, b, tables.partner_bits))  # noqa: B023, E731
+                    some = there(twice, band) | there(once, band + 1) | there(once, np.maximum(0, band - 1)) & (band > 0)
                     use, of = use[some], of[some]
-                    held.append([s.token[use], s.n[of].astype(np.int64), use - s.at[:-1][of], s.parity[0][of], s.parity[1][of], s.key[of], d[of], number[of].astype(np.int64)])
+                    token = s.token[use]
+                    entry, group, side = _dealt(token, s.key[of], dealt[(token & np.uint64(len(dealt) - 1)).astype(np.int64)])
+                    use, of = use[entry], of[entry]
+                    low, high = s.parity()
+                    held.append([group, s.n[of].astype(np.int64), 4 * (use - s.at[:-1][of]) + side, low[of], high[of], s.key[of], s.check[of], d[of], number[of].astype(np.int64)])
                     count += len(use)
                     if count >= 250_000:
                         yield from flush()
@@ -290,17 +364,16 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
 
 
 def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBatch:
-    """Of the entries of some words: pairs (x, y) of set keys, y the later one, that pass the filters, at most `take` for each y and word.
+    """Of the entries of some groups: pairs (x, x2, y, y2) of sets (key and check), y the later one, that pass the filters, at most `take` for each y and group.
 
-    keys: the sets that search; None: all. Words at which a set had more come once again as a row of all
-    their entries and, in `more`, these sets.
+    keys: the sets that search; None: all. Groups in which a set had more come once again as a row of all
+    their entries and, in `more`, the keys of these sets.
     """
     columns = [np.concatenate(c) for c in zip(*map(_unpacked, blobs))]
-    word, n, at, low, high, key, d, line = columns
-    order = np.lexsort((key, word << np.uint64(24) | np.minimum(n, (1 << 24) - 1).view(np.uint64)))  # tokens have 40 bits
+    order = np.lexsort((columns[6], columns[5], columns[1], columns[0]))
     columns = [c[order] for c in columns]
-    word, n, at, low, high, key, d, line = columns
-    fresh = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))
+    group, n, at, low, high, key, check, d, line = columns
+    fresh = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
     if not fresh.all():  # sets of several runs: their earliest line counts
         of = np.cumsum(fresh) - 1
         many = np.flatnonzero(np.bincount(of)[of] > 1)
@@ -309,40 +382,48 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
         first = np.flatnonzero(fresh)[of[many]]
         d[first], line[first] = d[many], line[many]
         columns = [c[fresh] for c in columns]
-        word, n, at, low, high, key, d, line = columns
+    group, n, at, low, high, key, check, d, line = columns
+    side, at = at & 3, at >> 2
+    sided = bool(side.any())
     probe = np.ones(len(key), bool) if keys is None else np.isin(key, np.array(keys, np.int64))
-    given = np.zeros(len(word), np.int64)
+    given = np.zeros(len(group), np.int64)
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    i, step = np.arange(len(word)), 0
+    i, step = np.arange(len(group)), 0
     while len(i):
         step += 1
-        i = i[i + step < len(word)]
+        i = i[i + step < len(group)]
         j = i + step
-        inside = (word[i] == word[j]) & (5 * n[i] >= 4 * n[j])  # sorted by size: once a set is too large, so are the next
+        inside = (group[i] == group[j]) & (5 * n[i] >= 4 * n[j])  # sorted by size: once a set is too large, so are the next
         i, j = i[inside], j[inside]
         least = -(-4 * (n[i] + n[j]) // 9)
         able = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least
+        if sided:
+            able &= (side[i] == 0) | (side[i] != side[j])
         able &= np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= n[i] + n[j] - 2 * least
         p, q = i[able], j[able]
         if len(p):
-            later = (d[p] > d[q]) | (d[p] == d[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & (key[p] > key[q]))
+            later = (d[p] > d[q]) | (d[p] == d[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & ((key[p] > key[q]) | (key[p] == key[q]) & (check[p] > check[q])))
             y, x = np.where(later, p, q), np.where(later, q, p)
             y, x = y[probe[y]], x[probe[y]]
             room = given[y] < take
             np.add.at(given, y, 1)
-            xs.append(key[x[room]])
-            ys.append(key[y[room]])
+            xs.append(x[room])
+            ys.append(y[room])
     over = given > take
-    both = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-    words = np.unique(word[over])
-    groups = [(_packed([c[a:b] for c in columns]), key[a:b][over[a:b]].tolist()) for a, b in zip(np.searchsorted(word, words), np.searchsorted(word, words, side="right"))]
-    x = pa.array(np.append(both[:, 0], np.zeros(len(groups), np.int64)), mask=np.arange(len(both) + len(groups)) >= len(both))
-    y = pa.array(np.append(both[:, 1], np.zeros(len(groups), np.int64)), mask=np.arange(len(both) + len(groups)) >= len(both))
-    blank = [None] * len(both)
-    return pa.RecordBatch.from_arrays([x, y, pa.array(blank + [g for g, _ in groups], pa.binary()), pa.array(blank + [k for _, k in groups], pa.list_(pa.int64()))], names=["x", "y", "entries", "more"])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    order = np.lexsort((check[x], key[x], check[y], key[y]))
+    both = [key[x[order]], check[x[order]], key[y[order]], check[y[order]]]
+    if len(order):
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in both], axis=0))
+        both = [c[new] for c in both]
+    found = np.unique(group[over])
+    groups = [(_packed([c[a:b] for c in columns]), key[a:b][over[a:b]].tolist()) for a, b in zip(np.searchsorted(group, found), np.searchsorted(group, found, side="right"))]
+    blank = [None] * len(both[0])
+    padded = [pa.array(np.append(c, np.zeros(len(groups), np.int64)), mask=np.arange(len(c) + len(groups)) >= len(c)) for c in both]
+    return pa.RecordBatch.from_arrays([*padded, pa.array(blank + [g for g, _ in groups], pa.binary()), pa.array(blank + [k for _, k in groups], pa.list_(pa.int64()))], names=["x", "x2", "y", "y2", "entries", "more"])
 
 
-_FOUND = "x long, y long, entries binary, more array<long>"
+_FOUND = "x long, x2 long, y long, y2 long, entries binary, more array<long>"
 
 
 def _candidates(entries: DataFrame, take: int) -> DataFrame:
@@ -365,7 +446,7 @@ def _candidates(entries: DataFrame, take: int) -> DataFrame:
 
 
 def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
-    """_pairs() of the entries of single words (entries, more), searched for the sets `more`."""
+    """_pairs() of the entries of single groups (entries, more), searched for the sets `more`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,58 +456,60 @@ def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
     return groups.select("entries", "more").mapInArrow(scan, _FOUND)
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the places of all keys set."""
-    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    rows = keys.select((at + 1).alias("at")).groupBy((F.bitmap_bucket_number("at")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # FILTER_BITS bits in all
-    out = np.zeros(FILTER_BITS // 8 + (1 << 13), np.uint8)
-    for r in rows:
+def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with the places of all keys set."""
+    at = F.pmod(F.xxhash64("key"), F.lit(bits))
+    rows = keys.select((at + 1).alias("at")).groupBy((F.bitmap_bucket_number("at")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8 + (1 << 13), np.uint8)
+    for r in rows.toLocalIterator():  # `bits` bits in all
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, min_words: int, text: str) -> DataFrame:
-    """key, n, w0 to w3 (a parity signature of 256 bits) and words (64-bit hashes, ascending) of the whole sets of the keys."""
+def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, tables: Tables, min_words: int, text: str) -> DataFrame:
+    """key, check, n, w0 to w3 (a parity signature of 256 bits) and words (with spaces between them) of the whole sets of keys (key, check)."""
     home = F.xxhash64("d", "h")
-    homes = first.join(keys, "key", "left_semi").select(home.alias("key")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast((_filter_of(keys), _filter_of(homes)))  # 2 * FILTER_BITS bits
+    homes = first.join(keys, ["key", "check"], "left_semi").select(home.alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast((_filter_of(keys, tables.filter_bits), _filter_of(homes, tables.filter_bits)))  # 2 * filter_bits bits
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, home_bits = shared.value
+        at = lambda x: _xxhash64_long(x) & np.int64(tables.filter_bits - 1)
         for batch in batches:
             # Only documents that hold the first line of a key need be looked at.
-            spots = _xxhash64_long(batch.column(0).to_numpy()) % np.int64(FILTER_BITS)
-            for _, _, block in blocks(batch.column(1).filter(pa.array(_has(home_bits, spots)))):
+            for _, _, block in blocks(batch.column(1).filter(pa.array(_has(home_bits, at(batch.column(0).to_numpy()))))):
                 for _, _, s in _judged(block, min_words, None):
-                    first = np.unique(s.key, return_index=True)[1]
-                    spots = _xxhash64_long(s.key[first]) % np.int64(FILTER_BITS)
-                    hit = first[_has(bitmap, spots)]
+                    first = _distinct(s)
+                    hit = first[_has(bitmap, at(s.key[first]))]
                     if not len(hit):
                         continue
-                    words = [s.word[s.at[k] : s.at[k + 1]] for k in hit]
-                    spread = [mix(w + np.uint64(1)) >> np.uint64(32) for w in words]
-                    wide = np.stack([np.packbits((np.bincount((w & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)) for w in spread]).view(np.int64)
-                    raw = [w.tobytes() for w in words]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array(s.n[hit].astype(np.int32)), *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(raw, pa.binary())], names=["key", "n", "w0", "w1", "w2", "w3", "words"])
+                    wide, raw = [], []
+                    for k in hit:
+                        mine = slice(s.at[k], s.at[k + 1])
+                        spread = s.spread[mine] >> np.uint64(32) & np.uint64(255)
+                        wide.append(np.packbits((np.bincount(spread.astype(np.int64), minlength=256) & 1).astype(np.uint8)))
+                        raw.append(b" ".join([block.data[block.starts[w] : block.ends[w]].tobytes() for w in s.place[mine]]))
+                    wide = np.stack(wide).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array(s.check[hit]), pa.array(s.n[hit].astype(np.int32)), *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(raw, pa.binary())], names=["key", "check", "n", "w0", "w1", "w2", "w3", "words"])
 
-    found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(scan, "key long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
-    return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(scan, "key long, check long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
+    return found.join(keys, ["key", "check"], "left_semi").dropDuplicates(["key", "check"])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """y of the pairs (y, a, b: words of either) whose similarity is 4/5 or more."""
+    """key, check: y and y2 of the pairs (y, y2, a, b: words of either) whose similarity is 4/5 or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for y, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 5 * both >= 4 * (len(a) + len(b) - both):
-                    good.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["key"])
+            good = np.zeros(batch.num_rows, bool)
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = a.as_py().split(b" "), b.as_py().split(b" ")
+                both = len(set(a).intersection(b))
+                good[k] = 5 * both >= 4 * (len(a) + len(b) - both)
+            good = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["key", "check"])
 
-    return pairs.select("y", "a", "b").mapInArrow(scan, "key long")
+    return pairs.select("y", "y2", "a", "b").mapInArrow(scan, "key long, check long")
 
 
 def _xxhash64_long(x: np.ndarray) -> np.ndarray:
@@ -440,68 +523,66 @@ def _xxhash64_long(x: np.ndarray) -> np.ndarray:
     return (out ^ out >> np.uint64(32)).view(np.int64)
 
 
+_Y = ["y", "y2"]
+
+
+def _without(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    """pairs (y, y2, ...) whose y isn't among done (key, check)."""
+    return pairs if done is None else pairs.join(done.toDF(*_Y), _Y, "left_anti")
+
+
 def _settled(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """key: the y of pairs (x, y) that have a similar x. Of each y FIRST_PAIRS are verified, and then all others of those that are left."""
+    """key, check: the y of pairs (x, x2, y, y2) that have a similar x. Of each y FIRST_PAIRS are verified, and then all others of those that are left."""
     # Two sets differ in at least as many words as their parity signatures differ in bits.
-    slim = lambda w, k: w.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"w{i}").alias(f"{k}{i}") for i in range(4)))
-    near = pairs.join(slim(whole, "x"), "x").join(slim(whole, "y"), "y")
-    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4)), F.lit(0))
+    slim = lambda k: whole.select(F.col("key").alias(k), F.col("check").alias(f"{k}2"), F.col("n").alias(f"n{k}"), *(F.col(f"w{i}").alias(f"{k}w{i}") for i in range(4)))
+    near = pairs.join(slim("x"), ["x", "x2"]).join(slim("y"), _Y)
+    differ = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(4)), F.lit(0))
     total = F.col("nx") + F.col("ny")
-    near = near.where(differ <= total - 2 * F.ceil(4 * total / 9)).select("x", "y")
-    ranked = held(near.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("x"))))  # the candidates of one set, `take` a word
+    near = near.where(differ <= total - 2 * F.ceil(4 * total / 9)).select("x", "x2", "y", "y2")
+    ranked = written(near.withColumn("rank", F.row_number().over(Window.partitionBy("y", "y2").orderBy("x", "x2"))))  # the candidates of one set, `take` a group
     done, low, high = None, 0, FIRST_PAIRS
     while True:
-        these = ranked.where((F.col("rank") > low) & (F.col("rank") <= high))
-        if done is not None:
-            these = these.join(done.withColumnRenamed("key", "y"), "y", "left_anti")
-        met = these.join(whole.select(F.col("key").alias("x"), F.col("words").alias("a")), "x").join(whole.select(F.col("key").alias("y"), F.col("words").alias("b")), "y")
-        new = _verified(met).distinct()
+        these = _without(ranked.where((F.col("rank") > low) & (F.col("rank") <= high)), done)
+        words = lambda k, name: whole.select(F.col("key").alias(k), F.col("check").alias(f"{k}2"), F.col("words").alias(name))
+        new = _verified(these.join(words("x", "a"), ["x", "x2"]).join(words("y", "b"), _Y)).distinct()
         done = cut_small(new if done is None else done.unionByName(new))
         low, high = high, 1 << 30
-        if not ranked.where(F.col("rank") > low).join(done.withColumnRenamed("key", "y"), "y", "left_anti").limit(1).count():
-            ranked.unpersist()
+        if not _without(ranked.where(F.col("rank") > low), done).limit(1).count():
             return done
 
 
-def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
-    """key: the sets that have an earlier similar set. entries: index_entries() of docs; first: key, d, h, line of the first line of each set."""
-    spark = docs.sparkSession
-    found, done = cut_small(_candidates(entries, take)), None
+def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, tables: Tables, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
+    """key, check: the sets that have an earlier similar set. entries: index_entries() of docs; first: key, check, d, h, line of the first line of each set."""
+    found, done = written(_candidates(entries, take)), None
     while True:
-        pairs = found.where("x is not null").select("x", "y").distinct()
-        if done is not None:
-            pairs = pairs.join(done.withColumnRenamed("key", "y"), "y", "left_anti")
-        keys = held(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
-        keys.count()
-        let_go(spark)  # the index has been searched
-        new = _settled(pairs, cut_small(_whole_sets(docs, keys, first, min_words, text)))
-        keys.unpersist()
+        pairs = written(_without(found.where("x is not null").select("x", "x2", "y", "y2").distinct(), done))
+        keys = written(pairs.select(F.explode(F.array(F.struct(F.col("x").alias("key"), F.col("x2").alias("check")), F.struct(F.col("y").alias("key"), F.col("y2").alias("check")))).alias("k")).select("k.*").distinct())
+        new = _settled(pairs, written(_whole_sets(docs, keys, first, tables, min_words, text)))
         done = new if done is None else cut_small(done.unionByName(new))
         groups = found.where("entries is not null").select("entries", "more", F.xxhash64("entries").alias("g"))
-        left = groups.select("g", F.explode("more").alias("key")).join(done, "key", "left_anti").groupBy("g").agg(F.collect_list("key").alias("more"))  # sets of one word
+        left = groups.select("g", F.explode("more").alias("key")).join(done.select("key"), "key", "left_anti").groupBy("g").agg(F.collect_list("key").alias("more"))  # sets of one group
         if not left.limit(1).count():
             return done
         take *= 16
-        found = cut_small(_more_candidates(groups.drop("more").join(left, "g"), take))
+        found = written(_more_candidates(groups.drop("more").join(left, "g"), take))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
     """docs with later similar lines cut out of `text`, and n_lines and n_removed.
 
-    Lines are split at \\n. Lines of fewer than min_words words stay. Null texts stay null, with 0 lines;
-    an empty text has 1 line. Rows of equal doc_id and text are one document: each keeps the same lines.
-    Null ids come first. No rows: no rows. Other columns pass through whatever their names.
+    Lines are split at \\n. Lines of fewer than min_words words, and those without any, stay. Null texts
+    stay null, with 0 lines; an empty text has 1 line. Rows of equal doc_id and text are one document: each
+    keeps the same lines. Null ids come first. No rows: no rows. Very long texts are scanned whole, each in
+    a block of its own. Other columns pass through; one that has the name of a result gets underscores
+    behind it.
     """
-    classes = rarity_table(docs, text)
-    sets = held(line_sets(docs, classes, min_words, text))
-    partners = _partners(sets)
-    let_go(docs.sparkSession)
-    first = held(sets.where("key is not null").groupBy("key").agg(F.min(F.struct("d", "line", "h")).alias("f")).select("key", "f.*"))
-    buckets = max(1, docs.count() // BUCKET_DOCS)
-    gone = similar_later(docs, index_entries(docs, classes, partners, buckets, min_words, text), first, min_words, text, take)
-    sets.unpersist()
-    let_go(docs.sparkSession)
-    stay = first.join(gone, "key", "left_anti").groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("line").alias("__stay"))  # lines of one document
+    tables = Tables.of(n_docs := docs.count())
+    classes = rarity_table(docs, tables, text)
+    sets = written(line_sets(docs, classes, tables, min_words, text))
+    partners, salts = _partners(sets, tables), _salts(sets, tables)
+    first = written(sets.where("kind = 0").groupBy("key", "check").agg(F.min(F.struct("d", "line", "h")).alias("f")).select("key", "check", "f.*"))
+    gone = similar_later(docs, index_entries(docs, classes, partners, salts, tables, max(1, n_docs // BUCKET_DOCS), min_words, text), first, tables, min_words, text, take)
+    stay = first.join(gone, ["key", "check"], "left_anti").groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("line").alias("__stay"))  # lines of one document
     names = docs.columns
     inner = docs.toDF(*(f"c{k}" for k in range(len(names))))
     text_at, id_at = names.index(text), names.index("doc_id")
@@ -525,7 +606,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
                         n_lines.append(0)
                         n_removed.append(0)
                         continue
-                    keep = words[x:y] < min_words
+                    keep = words[x:y] < max(1, min_words)
                     keep[stays[a + k].as_py() or []] = True
                     n_lines.append(int(y - x))
                     n_removed.append(int((~keep).sum()))
@@ -537,4 +618,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
             columns[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
 
-    return met.mapInArrow(rewrite, schema).toDF(*names, "n_lines", "n_removed")
+    return met.mapInArrow(rewrite, schema).toDF(*apart(("n_lines", "n_removed"), names), "n_lines", "n_removed")

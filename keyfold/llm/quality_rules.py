@@ -1,16 +1,16 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
 Five ratios of every text go into mergeable quantile sketches, one for each (lang, source): a sketch
-counts values in bins of fixed borders (quarter-octaves of the value in millionths, so a quantile is
-known to about 20 %), and two sketches merge by adding counts. Adding is what a partial aggregation
+counts values in bins of fixed borders (sixteen an octave of the value in millionths, so a quantile is
+known to about 5 %), and two sketches merge by adding counts. Adding is what a partial aggregation
 does, so a source with a third of all rows is summed up within each task before anything is shuffled,
 and the result does not depend on the order of rows. A group of fewer than `least` texts takes the
 merged sketch of its language, and a language of fewer than that the merged sketch of all.
 
-The cutoff of a ratio is its third quartile in the group plus `reach` times the distance of its
-quartiles, and no less than the ratio's `slack`: a far outlier of its own language and source is
-rejected, an ordinary text of a group that is unlike other groups is not.
-The texts are then joined with their group's cutoffs and filtered.
+The cutoff of a ratio is the group's high quantile (9 of 10 texts) plus `reach` times its distance from
+the median: what an ordinary text of the group has, and some more. No fixed cutoff takes part; a small
+`guard` is added, so that a ratio which is 0 in nearly all texts of a group does not reject a text for
+a single occurrence. The texts are then joined with their group's cutoffs and filtered.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut, cut_small, numbered
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, looked_up, numbered
 from keyfold.llm.textblocks import TextBlock, blocks
 
 MIN_WORDS = 20
@@ -32,9 +32,11 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: Texts of a group from which its own sketch is used.
 LEAST = 100
-REACH = 4
-#: Ratio in millionths -> least value of its cutoff. In order: symbols a character; repeated words, repeated lines, words equal to the one before, and characters a word.
-SLACK = {"symbol_ppm": 50_000, "repeat_ppm": 250_000, "dup_line_ppm": 50_000, "echo_ppm": 200_000, "long_word_ppm": 12_000_000}
+REACH = 3
+#: The quantiles of a sketch, in tenths, that make its cutoff.
+MIDDLE, HIGH = 5, 9
+#: Ratio in millionths -> what is added to its cutoff. In order: symbols a character; repeated words, repeated lines, words equal to the one before, and characters a word.
+GUARD = {"symbol_ppm": 10_000, "repeat_ppm": 100_000, "dup_line_ppm": 20_000, "echo_ppm": 20_000, "long_word_ppm": 250_000}
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -101,84 +103,90 @@ def ratios() -> dict[str, Column]:
 
 
 def bin_of(v: Column) -> Column:
-    """The sketch bin of a whole number >= 0: 4 bins an octave, borders at 4, 5, 6 and 7 times powers of two; whole-number arithmetic only."""
-    bits = F.length(F.bin(v)) - 3
-    return F.when(v < 4, v).otherwise(F.expr("4") * bits + F.call_function("shiftright", v, bits.cast("int")))
+    """The sketch bin of a whole number >= 0: 16 bins an octave, borders at 16 to 31 times powers of two; whole-number arithmetic only."""
+    bits = F.length(F.bin(v)) - 5
+    return F.when(v < 16, v).otherwise(F.lit(16) * bits + F.call_function("shiftright", v, bits.cast("int")))
 
 
 def bin_top(b: Column) -> Column:
     """The largest value of a bin."""
-    # bin = 4 * bits + m with m in 4..7
-    bits = F.floor(b / 4) - 1
-    m = b - 4 * bits
-    return F.when(b < 4, b).otherwise(F.call_function("shiftleft", m + 1, bits.cast("int")) - 1)
+    # bin = 16 * bits + m with m in 16..31
+    bits = F.floor(b / 16) - 1
+    m = b - 16 * bits
+    return F.when(b < 16, b).otherwise(F.call_function("shiftleft", m + 1, bits.cast("int")) - 1)
 
 
-def cutoffs(features: DataFrame, least: int = LEAST, reach: int = REACH, slack: dict[str, int] | None = None) -> DataFrame:
-    """lang, source, and the cutoff of each ratio. features: lang, source and FEATURES of all texts.
+def cutoffs(features: DataFrame, least: int = LEAST, reach: int = REACH, guard: dict[str, int] | None = None) -> DataFrame:
+    """lang, source, __n (its texts) and cut_<ratio>, the cutoff of each ratio. features: lang, source and FEATURES of all texts.
 
     Texts that the base rules reject are sketched too, and null is a group like any other.
     """
-    slack = SLACK if slack is None else slack
-    names = list(slack)
+    guard = GUARD if guard is None else guard
+    names = list(guard)
     ppm = ratios()
-    binned = features.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("ratio"), bin_of(ppm[n]).cast("int").alias("bin")) for n in names))).alias("x"))
-    sketch = cut_small(binned.select("lang", "source", "x.ratio", "x.bin").where("bin is not null").groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")))
+    # A text without words has no ratios; bin -1 counts it for __n alone.
+    binned = features.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("ratio"), F.coalesce(bin_of(ppm[n]), F.lit(-1)).cast("int").alias("bin")) for n in names))).alias("x"))
+    sketch = cut_small(binned.select("lang", "source", "x.ratio", "x.bin").groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")))
 
-    def quartiles(keys: list[str]) -> DataFrame:
-        merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+    def quantiles(keys: list[str]) -> DataFrame:
+        """keys, ratio, all and cut."""
+        merged = sketch.where("bin >= 0").groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "ratio")
         run = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
-        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin")))
-        q = run.groupBy(*keys, "ratio").agg(at(1).alias("b1"), at(3).alias("b3"), F.max("all").alias("all"))
-        floor = F.create_map(*(F.lit(y) for x in slack.items() for y in x))
-        low, high = bin_top(F.col("b1")), bin_top(F.col("b3"))
-        return q.select(*keys, "ratio", "all", F.greatest(floor[F.col("ratio")].cast("long"), high + reach * (high - low)).alias("cut"))
-
-    groups = sketch.select("lang", "source").distinct()
-    ratio_rows = groups.crossJoin(features.sparkSession.createDataFrame([(n,) for n in names], "ratio string"))
-    own, by_lang, overall = quartiles(["lang", "source"]), quartiles(["lang"]), quartiles([])
-    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    o, lg = own.alias("o"), by_lang.alias("l")
-    x = ratio_rows.alias("g")
+        at = lambda q: F.min(F.when(F.col("upto") * 10 >= F.col("all") * q, F.col("bin")))
+        q = run.groupBy(*keys, "ratio").agg(at(MIDDLE).alias("b5"), at(HIGH).alias("b9"), F.max("all").alias("all"))
+        extra = F.create_map(*(F.lit(y) for x in guard.items() for y in x))
+        middle, high = bin_top(F.col("b5")), bin_top(F.col("b9"))
+        return q.select(*keys, "ratio", "all", (high + reach * (high - middle) + extra[F.col("ratio")]).cast("long").alias("cut"))
+
+    groups = sketch.where(F.col("ratio") == names[0]).groupBy("lang", "source").agg(F.sum("n").alias("__n"))
+    x = groups.withColumn("ratio", F.explode(F.array(*map(F.lit, names)))).alias("g")
+    o, lg, everything = quantiles(["lang", "source"]).alias("o"), quantiles(["lang"]).alias("l"), quantiles([]).alias("a")
     col = F.col
     x = x.join(o, col("g.lang").eqNullSafe(col("o.lang")) & col("g.source").eqNullSafe(col("o.source")) & (col("g.ratio") == col("o.ratio")), "left")
     x = x.join(lg, col("g.lang").eqNullSafe(col("l.lang")) & (col("g.ratio") == col("l.ratio")), "left")
-    x = x.join(F.broadcast(overall.alias("a")), col("g.ratio") == col("a.ratio"), "left")  # one row a ratio
+    x = x.join(F.broadcast(everything), col("g.ratio") == col("a.ratio"), "left")  # one row a ratio
     chosen = F.when(col("o.all") >= least, col("o.cut")).when(col("l.all") >= least, col("l.cut")).otherwise(col("a.cut"))
-    return x.groupBy(col("g.lang").alias("lang"), col("g.source").alias("source")).agg(*(F.max(F.when(col("g.ratio") == n, chosen)).alias(f"cut_{n}") for n in names))
+    return x.groupBy(col("g.lang").alias("lang"), col("g.source").alias("source")).agg(F.max("g.__n").alias("__n"), *(F.max(F.when(col("g.ratio") == n, chosen)).alias(f"cut_{n}") for n in names))
 
 
 def judged(features: DataFrame, limits: DataFrame) -> DataFrame:
-    """features with base_failed and kept: neither base-failed nor above a cutoff of its group."""
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(c for c in limits.columns if c.startswith("cut_")))
-    joined = features.join(broadcast_if_small(limits), features["lang"].eqNullSafe(limits["__lang"]) & features["source"].eqNullSafe(limits["__source"]), "left")
-    ppm = ratios()
+    """features with base_failed and kept: neither base-failed nor above a cutoff of its group. limits: cutoffs()."""
     names = [c.removeprefix("cut_") for c in limits.columns if c.startswith("cut_")]
+    joined = looked_up(features, limits, ["lang", "source"], F.xxhash64(*features.columns))
+    ppm = ratios()
     over = F.lit(False)
     for n in names:
         over = over | F.coalesce(ppm[n] > F.col(f"cut_{n}"), F.lit(False))
     out = joined.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~over).drop("__lang", "__source", *(f"cut_{n}" for n in names))
+    return out.withColumn("kept", ~F.col("base_failed") & ~over).drop(*(f"cut_{n}" for n in names))
+
+
+def _inner(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, list[str]]:
+    """lang, source, the columns `keep` under names that nothing here uses, and the text; and these names."""
+    names = [f"__{k}" for k in range(len(keep))]
+    return docs.select("lang", "source", *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col(f"`{text}`").alias("__text")), names
 
 
 def judge_documents(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
     """`keep` (default doc_id) of every document, its features, base_failed and kept.
 
     docs: doc_id, text, lang, source. Null text: no words, so base_failed. Null lang or source: a group
-    like any other. Repeated rows are judged one by one and count each time. No rows: no rows.
-    Other columns of docs are not read unless named in `keep`.
+    like any other. Repeated rows are judged one by one and count each time. No rows: no rows. Very long
+    texts are scanned whole, each in a block of its own. Other columns of docs are not read unless named
+    in `keep`; one that has the name of a result gets underscores behind it.
     """
     keep = keep or ["doc_id"]
     limits = cut(cutoffs(with_features(docs, ["lang", "source"]), **options))
-    both = [*keep, *(c for c in ("lang", "source") if c not in keep)]
-    return judged(with_features(docs, both), limits).select(*keep, *FEATURES, "base_failed", "kept")
+    inner, names = _inner(docs, keep, "text")
+    results = [*FEATURES, "base_failed", "kept"]
+    done = judged(with_features(inner, ["lang", "source", *names], "__text"), limits)
+    return done.select(*(F.col(n).alias(c) for n, c in zip(names, apart(results, keep))), *results)
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with docs' own columns."""
     limits = cut(cutoffs(with_features(docs, ["lang", "source"]), **options))
-    renamed = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("lang", "source")}
-    inner = docs.select(*(F.col(f"`{c}`").alias(renamed.get(c, c)) for c in docs.columns))
-    kept = judged(with_features(inner, inner.columns, renamed["text"]), limits).where("kept")
-    return kept.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
+    inner, names = _inner(docs, docs.columns, "text")
+    kept = judged(with_features(inner, ["lang", "source", *names], "__text"), limits).where("kept")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

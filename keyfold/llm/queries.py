@@ -114,11 +114,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bin(v: str) -> str:
-    return f"CASE WHEN {v} < 4 THEN {v} ELSE 4 * (length(bin({v})) - 3) + ({v} >> (length(bin({v})) - 3)::INTEGER) END"
+    return f"CASE WHEN {v} < 16 THEN {v} ELSE 16 * (length(bin({v})) - 5) + ({v} >> (length(bin({v})) - 5)::INTEGER) END"
 
 
 def _top(b: str) -> str:
-    return f"CASE WHEN {b} < 4 THEN {b} ELSE ((({b} - 4 * ({b} // 4 - 1)) + 1) << ({b} // 4 - 1)::INTEGER) - 1 END"
+    return f"CASE WHEN {b} < 16 THEN {b} ELSE ((({b} - 16 * ({b} // 16 - 1)) + 1) << ({b} // 16 - 1)::INTEGER) - 1 END"
 
 
 ORACLE["op5_quality_rules"] = f"""
@@ -147,26 +147,26 @@ WITH words AS (
   FROM f
 ), v AS (
   SELECT lang, source, ratio, {_bin('x')} AS b FROM (
-    {" UNION ALL ".join(f"SELECT lang, source, '{n}' AS ratio, {n} AS x FROM p" for n in quality_rules.SLACK)}
+    {" UNION ALL ".join(f"SELECT lang, source, '{n}' AS ratio, {n} AS x FROM p" for n in quality_rules.GUARD)}
   ) WHERE x IS NOT NULL
-), own AS (SELECT lang, source, ratio, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3, count(*) AS n FROM v GROUP BY lang, source, ratio),
-by_lang AS (SELECT lang, ratio, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3, count(*) AS n FROM v GROUP BY lang, ratio),
-overall AS (SELECT ratio, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3 FROM v GROUP BY ratio),
+), own AS (SELECT lang, source, ratio, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9, count(*) AS n FROM v GROUP BY lang, source, ratio),
+by_lang AS (SELECT lang, ratio, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9, count(*) AS n FROM v GROUP BY lang, ratio),
+overall AS (SELECT ratio, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9 FROM v GROUP BY ratio),
 chosen AS (
-  SELECT o.lang, o.source, o.ratio, s.least,
-         CASE WHEN o.n >= {quality_rules.LEAST} THEN o.b1 WHEN l.n >= {quality_rules.LEAST} THEN l.b1 ELSE a.b1 END AS b1,
-         CASE WHEN o.n >= {quality_rules.LEAST} THEN o.b3 WHEN l.n >= {quality_rules.LEAST} THEN l.b3 ELSE a.b3 END AS b3
+  SELECT o.lang, o.source, o.ratio, s.guard,
+         CASE WHEN o.n >= {quality_rules.LEAST} THEN o.b5 WHEN l.n >= {quality_rules.LEAST} THEN l.b5 ELSE a.b5 END AS b5,
+         CASE WHEN o.n >= {quality_rules.LEAST} THEN o.b9 WHEN l.n >= {quality_rules.LEAST} THEN l.b9 ELSE a.b9 END AS b9
   FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN overall a ON a.ratio = o.ratio
-  JOIN (VALUES {", ".join(f"('{n}', {least})" for n, least in quality_rules.SLACK.items())}) s(ratio, least) ON s.ratio = o.ratio
+  JOIN (VALUES {", ".join(f"('{n}', {guard})" for n, guard in quality_rules.GUARD.items())}) s(ratio, guard) ON s.ratio = o.ratio
 ), cuts AS (
-  SELECT lang, source, ratio, greatest(least, {_top('b3')} + {quality_rules.REACH} * ({_top('b3')} - {_top('b1')})) AS cut FROM chosen
+  SELECT lang, source, ratio, {_top('b9')} + {quality_rules.REACH} * ({_top('b9')} - {_top('b5')}) + guard AS cut FROM chosen
 ), wide AS (
-  SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{n}' THEN cut END) AS cut_{n}" for n in quality_rules.SLACK)} FROM cuts GROUP BY lang, source
+  SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{n}' THEN cut END) AS cut_{n}" for n in quality_rules.GUARD)} FROM cuts GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_echo_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-         AND NOT ({" OR ".join(f"coalesce({n} > cut_{n}, false)" for n in quality_rules.SLACK)}) AS kept
+         AND NOT ({" OR ".join(f"coalesce({n} > cut_{n}, false)" for n in quality_rules.GUARD)}) AS kept
 FROM p LEFT JOIN wide w ON w.lang IS NOT DISTINCT FROM p.lang AND w.source IS NOT DISTINCT FROM p.source
 """
 

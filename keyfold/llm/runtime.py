@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a small side table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: A key with more than one row in this many is a hot one; there can be no more hot keys than this.
+HOT_KEYS = 10_000
 #: Bytes of one Arrow batch sent to a Python worker; a single longer text makes a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -33,21 +35,26 @@ def shared_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of the actions inside once each is done; later uses of the same plan would make them anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is None:  # a version without it
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder; survives lost executors."""
     shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def held(df: DataFrame) -> DataFrame:
-    """df, to be computed once and kept on the executors' disks until unpersist(); what a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
-def let_go(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage, which may take long by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def cut_small(df: DataFrame) -> DataFrame:
@@ -61,7 +68,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -70,6 +78,35 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """rows with the columns of the table's row of the same keys, null where there is none; null is a key like any other.
+
+    table: keys, each once; `__n`, about how many rows have them; and the columns to be added. Hot keys
+    are fewer than HOT_KEYS by their definition and are broadcast; their rows go on with `spread` in
+    place of their key, so no task gets more than a small share of all rows, however they are spread.
+    """
+    values = [c for c in table.columns if c not in keys and c != "__n"]
+    total = table.agg(F.sum("__n")).first()[0] or 0
+    renamed = lambda t, mark: t.select(*(F.col(c).alias(f"{mark}{c}") for c in keys), F.struct(*values).alias(f"{mark}v"))
+    hot = F.broadcast(renamed(table.where(F.col("__n") * HOT_KEYS > total), "__h"))  # fewer than HOT_KEYS rows
+    cold = renamed(table.where(F.col("__n") * HOT_KEYS <= total), "__c").withColumn("__cs", F.lit(0).cast("long"))
+    met = rows.join(hot, [rows[k].eqNullSafe(hot[f"__h{k}"]) for k in keys], "left").withColumn("__s", F.when(F.col("__hv").isNull(), F.lit(0).cast("long")).otherwise(spread.bitwiseOR(1)))
+    met = met.join(cold, [*(met[k].eqNullSafe(cold[f"__c{k}"]) for k in keys), met["__s"] == cold["__cs"]], "left")
+    found = F.coalesce("__hv", "__cv")
+    return met.select(*rows.columns, *(found[v].alias(v) for v in values))
+
+
+def apart(taken: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from those taken and from one another."""
+    used, out = set(taken), []
+    for n in names:
+        while n in used:
+            n += "_"
+        used.add(n)
+        out.append(n)
+    return out
+
+
 def whole_groups(batches, n_keys: int):
     """Tuples of numpy columns out of record batches sorted by their first n_keys columns, cut only between groups of equal keys.
 

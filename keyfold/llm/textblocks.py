@@ -1,9 +1,10 @@
 """Words, lines and hashes of many texts at once, from the UTF-8 buffers of Arrow string columns.
 
 A word is a longest run of bytes other than 0x20 and 0x09-0x0D. None of these bytes is part of a
-longer UTF-8 sequence, so the bytes can be scanned without decoding them. Hashes of byte ranges are
-polynomials modulo 2^64: with running sums of byte * M^i, the hash of any range is a difference of
-two sums times M^-start, so that all words and all lines of a block cost one pass.
+longer UTF-8 sequence, so the bytes can be scanned without decoding them. A byte range is hashed by
+eights: each run of eight bytes, read as one number, goes through two rounds of a mixing bijection with
+its place between them, and the results are added. Ranges of at most eight bytes and equal length
+never collide; for longer ones no structure of the text survives the mixing, so only chance is left.
 """
 
 from __future__ import annotations
@@ -15,22 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_M = 0x9E3779B97F4A7C15 | 1
-_MI = pow(_M, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M^0..M^(n-1) and M^-0..M^-(n-1), kept between blocks."""
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_M, _MI)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: Odd constants of two independent hashes: for the number, its place, and the length.
+_LANES = tuple(tuple(np.uint64(x) for x in row) for row in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,7 +49,7 @@ class TextBlock:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.word_at = np.searchsorted(self.starts, offsets)
-        self._sums: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     @property
     def n_words(self) -> np.ndarray:
@@ -76,16 +66,32 @@ class TextBlock:
         sums = np.concatenate([[0], np.cumsum(values, dtype=kind)])
         return np.diff(sums[self.word_at])
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges [starts, ends)."""
-        powers, inverse = _grown(len(self.data) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-    def word_hashes(self) -> np.ndarray:
-        return self.hashes(self.starts, self.ends)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """64-bit hashes of the byte ranges [starts, ends); lanes 0 and 1 are independent of each other."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        if self._eights is None:  # the eight bytes from every place on, as one little-endian number
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+        number, place, length = _LANES[lane]
+        size = ends - starts
+        runs = np.maximum(1, (size + 7) >> 3)
+        many = len(starts) != int(runs.sum())
+        if many:
+            first = np.cumsum(runs) - runs
+            turn = np.arange(first[-1] + runs[-1]) - np.repeat(first, runs)
+            at = np.repeat(starts, runs) + 8 * turn
+            left = np.minimum(8, np.repeat(size, runs) - 8 * turn)
+        else:
+            turn, at, left = np.zeros(len(starts), np.int64), starts, size
+        x = mix((self._eights[at] & _KEEP[left]) + number)
+        x = mix(x + (turn.astype(np.uint64) + np.uint64(1)) * place)
+        if many:
+            x = np.add.reduceat(x, first)
+        return mix(x + size.astype(np.uint64) * length)
+
+    def word_hashes(self, lane: int = 0) -> np.ndarray:
+        return self.hashes(self.starts, self.ends, lane)
 
     def text_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
