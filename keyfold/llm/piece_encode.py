@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import bounded_batches, numbered
+from keyfold.llm.runtime import apart, bounded_batches, numbered
 
 SPACE = "\u2581"
 #: Entries of each table of known parts and pairs; a full one is emptied.
@@ -86,6 +86,8 @@ class PieceModel:
             if k == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError(f"{path}: a piece with a space after another character")
         self.side_by_side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
         self._machine = ahocorasick.Automaton()
@@ -96,14 +98,12 @@ class PieceModel:
         self._pairs: dict[int, bool] = {}
         self._parts: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
-        self._shown = [p.replace(SPACE, " ") for p in self.pieces]
-        for i, k in enumerate(kinds):
-            if k in (CONTROL,):
-                self._shown[i] = ""
-        for b, i in enumerate(self.bytes[:128]):
-            self._shown[i] = chr(b)
-        self._high = np.zeros(len(self.pieces), bool)
-        self._high[self.bytes[128:]] = True
+        #: Text of each id but bytes; the unknown piece has the model's own, " ⁇ " unless it says otherwise.
+        surface = trainer.get(44, b" \xe2\x81\x87 ").decode()
+        self._shown = ["" if k == CONTROL else surface if k == UNKNOWN else p.replace(SPACE, " ") for p, k in zip(self.pieces, kinds)]
+        self._byte = np.zeros(len(self.pieces), bool)
+        self._byte[self.bytes] = True
+        self._control = np.array([k == CONTROL for k in kinds])
 
     def merged(self, text: str) -> list[int]:
         """Ids that the merges give for a short text of known characters: the best score first, the leftmost of equals."""
@@ -217,24 +217,38 @@ class PieceModel:
         return b"".join([get(w) or new(w) for w in text.split(" ")])
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces with their spaces, runs of byte pieces as UTF-8 (U+FFFD for each wrong byte), less the leading space."""
+        """The text of ids, as the library decodes them: pieces with their spaces, runs of byte pieces as UTF-8, U+FFFD for each byte that is part of no character, less the space before the first piece that isn't a control piece."""
         shown = self._shown
-        if len(ids) and self._high[ids].any():
-            out, run = [], bytearray()
-            for i in ids.tolist():
-                b = self.byte_of.get(i)
-                if b is not None:
-                    run.append(b)
-                    continue
-                if run:
-                    out.append(run.decode(errors="replace"))
-                    run.clear()
-                out.append(shown[i])
-            out.append(run.decode(errors="replace"))
-            text = "".join(out)
+        ids = ids[np.argmin(self._control[ids]) :] if len(ids) and not self._control[ids].all() else ids[:0]
+        if len(ids) and self.pieces[ids[0]].startswith(SPACE):
+            head, ids = self.pieces[ids[0]][1:].replace(SPACE, " "), ids[1:]
         else:
-            text = "".join([shown[i] for i in ids.tolist()])
-        return text[1:] if len(ids) and self.pieces[ids[0]].startswith(SPACE) else text
+            head = ""
+        if not self._byte[ids].any():
+            return head + "".join([shown[i] for i in ids.tolist()])
+        out, run = [head], bytearray()
+        for i in ids.tolist():
+            b = self.byte_of.get(i)
+            if b is not None:
+                run.append(b)
+                continue
+            if run:
+                out.append(_utf8(bytes(run)))
+                run.clear()
+            out.append(shown[i])
+        out.append(_utf8(bytes(run)))
+        return "".join(out)
+
+
+def _utf8(data: bytes) -> str:
+    """Text of bytes; each byte that is part of no character is a U+FFFD of its own."""
+    out = []
+    while True:
+        try:
+            return "".join([*out, data.decode()])
+        except UnicodeDecodeError as e:
+            out.append(data[: e.start].decode() + "\ufffd")
+            data = data[e.start + 1 :]
 
 
 _models: dict[str, PieceModel] = {}
@@ -250,13 +264,14 @@ def model(path: str) -> PieceModel:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = False) -> DataFrame:
     """`keep` (default: all columns but the text) of each row and `ids`, array<int>, the encoding of its whole text; with decode also `decoded`.
 
-    Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded one by one.
-    path: the model file, the same on every executor. Nothing is shuffled.
+    Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded one by one,
+    very long texts whole. No rows: no rows. path: the model file, the same on every executor. Nothing is
+    shuffled. A kept column that has the name of a result gets underscores behind it.
     """
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     extra = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode
-    schema = T.StructType([docs.schema[c] for c in keep] + extra)
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, apart([f.name for f in extra], keep))] + extra)
     names = [f.name for f in schema]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +290,15 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
 
 
 def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: all columns but the ids) of each row and `decoded`; null ids: an empty text."""
+    """`keep` (default: all columns but the ids) of each row and `decoded`; null ids: an empty text. A kept column of that name gets underscores behind it."""
     bounded_batches(coded.sparkSession)
     keep = [c for c in coded.columns if c != ids] if keep is None else keep
-    schema = T.StructType([coded.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
+    schema = T.StructType([T.StructField(n, coded.schema[c].dataType) for c, n in zip(keep, apart(["decoded"], keep))] + [T.StructField("decoded", T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             texts = [m.decode(np.array(x.as_py() or [], np.int64)) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return numbered(coded, [*keep, ids]).mapInArrow(decode, schema)

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import bounded_batches, numbered
+from keyfold.llm.runtime import apart, bounded_batches, numbered
 
 MAX_RULES = 1_000_000
 
 
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+
+
 def host_and_path(url: str | None) -> tuple[str, str]:
     """Host: after the first :// up to /, ?, # or the end, A-Z lower-cased; path: then up to ?, # or the end; without :// both are empty."""
     if url is None or (at := url.find("://")) < 0:
@@ -28,11 +31,7 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     for mark in "?#":
         rest = rest.partition(mark)[0]
     host, slash, path = rest.partition("/")
-    if not host.isascii():
-        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    else:
-        host = host.lower()
-    return host, slash + path
+    return host.translate(_LOWER), slash + path
 
 
 class UrlTrie:
@@ -46,7 +45,7 @@ class UrlTrie:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"no verdict: {verdict}")
             node = self.root
-            for label in reversed(host.lower().split(".")) if host else []:
+            for label in reversed(host.translate(_LOWER).split(".")) if host else []:
                 node = node[0].setdefault(label, [{}, {}, {}, None])
             *whole, tail = path.split("/")
             for segment in whole:
@@ -73,7 +72,7 @@ class UrlTrie:
         """(rule, verdict) of the longest rule that fits, or None."""
         node, best, segments = self.root, None, path.split("/")
         nodes = [node]
-        for label in reversed(host.split(".")):
+        for label in reversed(host.split(".")) if host else []:
             if (node := node[0].get(label)) is None:
                 break
             nodes.append(node)
@@ -86,19 +85,22 @@ class UrlTrie:
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow", keep: list[str] | None = None) -> DataFrame:
     """`keep` (default page_id) of every row, with host, path, rule and verdict (`default` where no rule fits).
 
-    A null url, or one without ://, has an empty host and path, which only a rule of empty host could
-    fit. Repeated rows are judged one by one. Nothing is shuffled and only `keep` and url are read.
+    A null or empty url, or one without ://, has an empty host and path, which a rule of empty host, one
+    for all hosts, fits if its path is empty too. Very long urls are judged whole. Repeated rows are judged
+    one by one. No rows: no rows. Nothing is shuffled and only `keep` and url are read; a kept column that
+    has the name of a result gets underscores behind it.
     """
     bounded_batches(pages.sparkSession)
     keep = keep or ["page_id"]
+    results = ("host", "path", "rule", "verdict")
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(list(rules)))
-    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")])
+    schema = T.StructType([T.StructField(n, pages.schema[c].dataType) for c, n in zip(keep, apart(results, keep))] + [T.StructField(c, T.StringType()) for c in results])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = trie.value.match
         for batch in batches:
             parts = [host_and_path(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
-            found = [match(h, p) if h else None for h, p in parts]
+            found = [match(h, p) for h, p in parts]
             columns = [[h for h, _ in parts], [p for _, p in parts], [f and f[0] for f in found], [f[1] if f else default for f in found]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=schema.names)
 

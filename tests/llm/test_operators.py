@@ -360,6 +360,20 @@ def test_encoding_is_the_librarys(library, text):
     assert ids.tolist() == library.encode(text) and m.decode(ids) == library.decode(library.encode(text))
 
 
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(0, 2), st.integers(3, 258), st.integers(0, 31_999)), max_size=12))
+def test_decoding_is_the_librarys(library, ids):
+    """Any ids: control and unknown pieces, bytes that are no character, pieces in any order."""
+    assert piece_encode.model(MODEL).decode(np.array(ids, np.int64)) == library.decode(ids)
+
+
+def test_encoding_of_clashing_columns(spark, library):
+    df = spark.createDataFrame([(1, "a text", 5, "x"), (2, None, None, None)], "doc_id long, text string, ids int, decoded string")
+    coded = piece_encode.encode_documents(df, MODEL, decode=True)
+    assert coded.columns == ["doc_id", "ids_", "decoded_", "ids", "decoded"]
+    assert {(x.doc_id, x.ids_, x.decoded_, tuple(x.ids), x.decoded) for x in coded.collect()} == {(1, 5, "x", tuple(library.encode("a text")), "a text"), (2, None, None, (), "")}
+
+
 def test_encoding_of_whole_tables(docs, rows, none, library):
     coded = piece_encode.encode_documents(docs.select("doc_id", "text"), MODEL, decode=True)
     got = Counter((x.doc_id, tuple(x.ids), x.decoded) for x in coded.collect())
@@ -572,7 +586,7 @@ def slow_url(rules, url):
     rest = re.match(r"[^?#]*", url.split("://", 1)[1], re.S)[0]
     host, slash, path = rest.partition("/")
     host, path = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in host), slash + path
-    fits = [(h.count(".") + 1, len(p), v == "block", v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(h.count(".") + 1 if h else 0, len(p), v == "block", v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best and best[4], best[3] if best else "allow"
 
@@ -592,6 +606,13 @@ def test_urls_against_brute_force(spark):
         url_filter.UrlTrie([("maybe", "x", "/")])
 
 
+def test_urls_odd_cases(spark):
+    rules = [("block", "", ""), ("allow", "ÉX.org", "/"), ("allow", "Net", "/")]
+    df = spark.createDataFrame([(1, None, "h"), (2, "", "h"), (3, "http://éx.org/", "h"), (4, "http://Éx.ORG/" + "a/" * 200_000, "h"), (5, "http://x.net/", "h")], "page_id long, url string, host string")
+    got = {x.page_id: (x.rule, x.verdict, x.host_) for x in url_filter.judge_urls(df, rules, keep=["page_id", "host"]).collect()}
+    assert got == {1: ("", "block", "h"), 2: ("", "block", "h"), 3: ("", "block", "h"), 4: ("ÉX.org/", "allow", "h"), 5: ("Net/", "allow", "h")}
+
+
 # ---- 10
 
 
