@@ -2,9 +2,10 @@
 
 The texts of a source, laid end to end in a fixed order, are cut into blocks of `block_words` words. A
 mix is a row of slots, each of which takes one block of one source; a shard is a run of `shard_slots`
-slots. How many slots of each source a shard has is a multinomial draw, conditioned on the sources'
-totals (a multivariate hypergeometric one), so that the totals meet the targets: shards are halved
-from the whole down, each half drawn from a seed of its own, and any shard finds its counts by itself.
+slots. How many slots of each source a shard has is a multinomial draw, conditioned on the sources' totals (a
+multivariate hypergeometric one), so that the totals meet the targets: shards are halved from the whole
+down, source by source, each half drawn from a seed of its own, and any shard finds its counts by
+itself. One law and one way of drawing serve all sizes.
 The j-th slot of a source takes block P(j mod n) of its n blocks, where P is a pseudorandom
 permutation keyed by the source and by j div n: every block is taken once before any is taken twice.
 Slots and blocks are then joined by (source, block).
@@ -15,7 +16,9 @@ source with a third of all rows is no single task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, broadcast_if_small, cut_small
+from keyfold.llm.runtime import bounded_batches, looked_up, written
 from keyfold.llm.textblocks import blocks, mix
 
 WEIGHTS = (1, 2, 3)
@@ -38,6 +41,8 @@ SEED = 7
 MAX_SOURCES = 100_000
 #: Rows of a chunk of the running sums, about.
 CHUNK_ROWS = 2_048
+#: Chunks of a group of the running sums.
+GROUP_CHUNKS = 65_536
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING) -> list[float]:
@@ -76,27 +81,89 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _stirling(k: int) -> float:
+    """log(k!) less Stirling's formula."""
+    if k == 0:
+        return 0.0
+    if k < 16:
+        return math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * k * k)) / (k * k)) / (k * k)) / k
+
+
+def _deviance(k: int, mean: float) -> float:
+    """k log(k / mean) + mean - k, precise where k is near the mean, too."""
+    if abs(k - mean) < 0.1 * (k + mean):
+        v = (k - mean) / (k + mean)
+        out, term, j = (k - mean) * v, 2 * k * v, 1
+        while True:
+            term *= v * v
+            more = out + term / (2 * j + 1)
+            if more == out:
+                return out
+            out, j = more, j + 1
+    return (k * math.log(k / mean) if k else 0.0) + mean - k
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the probability of x successes in n at p in (0, 1), by deviances, which keep their precision however large n is."""
+    y = n - x
+    if x == 0:
+        return n * math.log1p(-p)
+    if y == 0:
+        return n * math.log(p)
+    return _stirling(n) - _stirling(x) - _stirling(y) - _deviance(x, n * p) - _deviance(y, n * (1 - p)) - 0.5 * math.log(2 * math.pi * x * (y / n))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of `drawn` out of good + bad are good. Rejection from a flat top with exponential tails, which lies above any log-concave law; a few tries at any size."""
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    total = good + bad
+    p = drawn / total
+    whole = _log_binomial(drawn, total, p)
+    log_p = lambda x: _log_binomial(x, good, p) + _log_binomial(drawn - x, bad, p) - whole
+    mode = min(max((drawn + 1) * (good + 1) // (total + 2), low), high)
+    top = log_p(mode)
+    height = math.exp(top)
+    flat = 1 + height / 2
+    while True:
+        u, v, w, sign = rng.random(4)
+        if u <= flat / (1 + flat):
+            far, hat = v * flat / height, 0.0
+        else:
+            e = -math.log1p(-v)
+            far, hat = (flat + e) / height, -e
+        x = mode + int(far + 0.5) * (1 if sign < 0.5 else -1)
+        if low <= x <= high and math.log(w or 5e-324) + hat <= log_p(x) - top:
+            return x
+
+
+@lru_cache(maxsize=4_096)
+def _half(counts: tuple[int, ...], slots: int, seed: int, lo: int, hi: int) -> tuple[int, ...]:
+    """How many of each source's slots are among the first `slots` of all."""
+    rng = np.random.default_rng([seed, lo, hi])
+    rest, out = sum(counts), []
+    for n in counts:
+        rest -= n
+        k = hypergeometric(rng, n, rest, slots)
+        slots -= k
+        out.append(k)
+    return tuple(out)
+
+
 def shard_counts(shard: int, totals: np.ndarray, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For one shard, the first slot number of each source and its number of slots."""
-    counts, first = totals.astype(np.int64), np.zeros(len(totals), np.int64)
-    lo, hi = 0, -(-int(counts.sum()) // shard_slots)
+    counts, first = tuple(int(n) for n in totals), np.zeros(len(totals), np.int64)
+    lo, hi = 0, -(-sum(counts) // shard_slots)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        slots = (mid - lo) * shard_slots
-        rng = np.random.default_rng([seed, lo, hi])
-        if counts.sum() < 1_000_000_000:  # what numpy's exact draw takes
-            half = rng.multivariate_hypergeometric(counts, slots, method="marginals")
-        else:
-            half = np.minimum(rng.multinomial(slots, counts / counts.sum()), counts)
-            for k in np.argsort(half - counts):  # what was cut off goes to those with room
-                if not (short := slots - half.sum()):
-                    break
-                half[k] += min(short, counts[k] - half[k])
+        half = _half(counts, (mid - lo) * shard_slots, seed, lo, hi)
         if shard < mid:
             counts, hi = half, mid
         else:
-            counts, first, lo = counts - half, first + half, mid
-    return first, counts
+            counts, first, lo = tuple(a - b for a, b in zip(counts, half)), first + np.array(half, np.int64), mid
+    return first, np.array(counts, np.int64)
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,7 +186,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
         self.block_words, self.shard_slots, self.seed, self.spark = block_words, shard_slots, seed, docs.sparkSession
-        sized = cut_small(with_sizes(docs))
+        sized = written(with_sizes(docs))
         by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
         if len(by_source) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -128,15 +195,21 @@ class Mix:
         self.n_blocks = np.array([-(-n // block_words) for n in self.sizes], np.int64)
         exact = [t / s * b if s else 0 for t, s, b in zip(self.targets, self.sizes, self.n_blocks)]
         self.slots = np.array([min(round(x), ceiling * int(b)) for x, b in zip(exact, self.n_blocks)], np.int64)
-        numbered = self.spark.createDataFrame([(k, r["source"], r["n"], t) for k, (r, t) in enumerate(zip(by_source, self.targets))], "source_no int, named string, source_size long, target double")
-        placed = sized.join(broadcast_if_small(numbered), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+        numbered = self.spark.createDataFrame([(k, r["source"], r["n"], t, r["rows"]) for k, (r, t) in enumerate(zip(by_source, self.targets))], "source_no int, named string, source_size long, target double, rows long")
+        by_rows = numbered.withColumnsRenamed({"named": "source", "rows": "__n"})
+        placed = looked_up(sized, by_rows, ["source"], F.xxhash64("doc_id", "row_hash"))
         chunks = max(1, -(-sum(r["rows"] for r in by_source) // CHUNK_ROWS))
         placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(chunks)).cast("int"))
         sums = placed.groupBy("source_no", "chunk").agg(F.sum("size").alias("n"))
-        before = sums.select("source_no", "chunk", (F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("n")).alias("before"))
+        # Running sums over a source's chunks, in two steps: within groups of chunks and over the groups.
+        sums = sums.withColumn("group", F.expr(f"chunk div {GROUP_CHUNKS}"))
+        inside = F.sum("n").over(Window.partitionBy("source_no", "group").orderBy("chunk")) - F.col("n")
+        groups = sums.groupBy("source_no", "group").agg(F.sum("n").alias("g"))
+        groups = groups.select("source_no", "group", (F.sum("g").over(Window.partitionBy("source_no").orderBy("group")) - F.col("g")).alias("base"))
+        before = sums.withColumn("inside", inside).join(groups, ["source_no", "group"]).select("source_no", "chunk", (F.col("base") + F.col("inside")).alias("before"))
         within = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "row_hash")
         run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        self.layout = cut_small(placed.withColumn("run", run).join(before, ["source_no", "chunk"]).withColumn("offset", F.col("before") + F.col("run")).drop("chunk", "run", "before"))
+        self.layout = written(placed.withColumn("run", run).join(before, ["source_no", "chunk"]).withColumn("offset", F.col("before") + F.col("run")).drop("chunk", "run", "before"))
 
     def slot_rows(self) -> DataFrame:
         """shard, slot, source_no, pass, block: what every slot of the mix takes."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import bounded_batches, cut, numbered
+from keyfold.llm.runtime import apart, bounded_batches, cut, numbered
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 BUCKETS = 1 << 14
@@ -80,9 +80,9 @@ def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, keep: list[str], text: str = "text", seed: int = SEED) -> DataFrame:
-    """`keep`, which begins with doc_id, n_words, log_weight and sample_key of every row; a null text has no n-grams and weight 0."""
+    """`keep`, which begins with doc_id, as k0, k1, ..., and n_words, log_weight and sample_key of every row; a null text has no n-grams and weight 0."""
     buckets = len(ratios)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in ("n_words", "log_weight", "sample_key")])
+    schema = T.StructType([T.StructField(f"k{k}", docs.schema[c].dataType) for k, c in enumerate(keep)] + [T.StructField(n, T.LongType()) for n in ("n_words", "log_weight", "sample_key")])
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # one number a cell
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     labels: doc_id, quality (1: good). share: of the documents that are sampled; default: the labelled
     share of good ones and two standard errors. Documents whose key equals the k-th largest are all kept.
     No labels of good quality: all weights are 0 and, unless share is given, all are kept. A null text
-    has weight 0; null ids share one Gumbel number; repeated rows share their fate. No rows: no rows.
+    has weight 0; null ids share one Gumbel number; repeated rows share their fate; very long texts are
+    scanned whole. No rows: no rows. A kept column that has the name of a result gets underscores behind it.
     """
     keep = keep or ["doc_id"]
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
@@ -131,8 +132,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     if share is None:
         n, mean = labels.agg(F.count("quality"), F.avg((F.col("quality") == 1).cast("double"))).first()
         share = min(1.0, mean + 2 * math.sqrt(mean * (1 - mean) / n)) if n and mean else 1.0
-    rows = cut(scored(docs, fit(docs, good, buckets=buckets), ["doc_id", *(c for c in keep if c != "doc_id")], seed=seed))
+    rows = cut(scored(docs, fit(docs, good, buckets=buckets), ["doc_id", *keep], seed=seed))
     total = rows.count()
     least = kth_largest(rows, "sample_key", min(total, math.ceil(share * total)))
     out = rows.withColumn("kept", F.lit(least is not None) & (F.col("sample_key") >= F.lit(least or 0)))
-    return out.select(*keep, "n_words", (F.col("log_weight") / UNIT).alias("log_weight"), (F.col("sample_key") / UNIT).alias("sample_key"), "kept")
+    results = ("n_words", "log_weight", "sample_key", "kept")
+    return out.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(apart(results, keep), 1)), "n_words", (F.col("log_weight") / UNIT).alias("log_weight"), (F.col("sample_key") / UNIT).alias("sample_key"), "kept")

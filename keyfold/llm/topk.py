@@ -1,11 +1,13 @@
 """Exact top-k by inner product with Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are cut into blocks of about BLOCK_ROWS rows, and every block is indexed: for each dimension the rows in
-descending order of that component. A query reads all lists side by side (a list from its other end
-where the query's component is negative), scores every row it meets for the first time by looking up
-its whole vector, and stops when the sum over dimensions of component times the last value read is
-below the k-th best score so far: no row not yet met can reach it. Equal bounds go on, as such a row
-may win its tie. Depth doubles from round to round so that a round is a few array operations.
+Candidates are cut into blocks of about BLOCK_ROWS rows, and every block is indexed once: for each
+dimension the rows in descending order of that component. A query reads all lists side by side (a list
+from its other end where the query's component is negative), scores every row it meets for the first
+time by looking up its whole vector, and stops when the sum over dimensions of component times the last
+value read is below the k-th best score so far: no row not yet met can reach it. Equal bounds go on, as
+such a row may win its tie. Depth doubles from round to round so that a round is a few array operations.
+A query first searches one block of the longest vectors; the k-th score found there goes with it to all
+others as a bound, so that a block without better rows is left early.
 
 Queries are a stated set and meet all candidates, block by block: the rows shuffled are queries times
 candidate blocks and candidates times query blocks, never a pair of rows.
@@ -19,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches
+from keyfold.llm.runtime import bounded_batches, written
 
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 QUERY_ROWS = 512
 FIRST_DEPTH = 32
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -48,8 +51,9 @@ class BlockIndex:
         self.lists = np.take_along_axis(matrix, self.order, axis=0)
         self.exact = float(np.abs(matrix).max(initial=0))
 
-    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k best (score, id) among `best` and this block, best first: larger score, then smaller id. Row `own` takes no part."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) of this block, best first: larger score, then smaller id. Rows of the id `own` take no part, and rows that score below `floor` need not be found."""
+        best: list[tuple[int, int]] = []
         n, dims = self.matrix.shape
         met = np.zeros(n, bool)
         met[self.ids == own] = True
@@ -83,17 +87,17 @@ class BlockIndex:
                 best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
             if depth >= n or len(used) == 0:
                 return best
-            if len(best) == k and whole:
+            bound = max([best[-1][0]] * (len(best) == k) + [floor] * (floor is not None), default=None)
+            if bound is not None and whole:
                 edge = np.where(down, self.lists[depth - 1, used], self.lists[n - depth, used])
-                if float(edge @ query[used]) < best[-1][0]:
+                if float(edge @ query[used]) < bound:
                     return best
             done, depth = depth, depth * 2
 
 
-def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """dims, block and the rows of each of n blocks, chosen by a hash of the id: array<struct<id, v>> in order of ids."""
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    return rows.groupBy(F.size("v").alias("dims"), block.alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(f"{name}_rows"))
+def _blocks(rows: DataFrame, block: Column, name: str, *more: str) -> DataFrame:
+    """dims, block and the rows of each block: array<struct<id, v, more>>, in order of ids."""
+    return rows.groupBy("dims", block.cast("int").alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("id", "v", *more))).alias(f"{name}_rows"))
 
 
 def _arrays(rows: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,32 +105,51 @@ def _arrays(rows: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.field(0).to_numpy(zero_copy_only=False).astype(np.int64), rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dims)
 
 
+def _searched(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id and score: the k best of each block for each of its queries (id, v, floor). pairs: dims, index_block, index_rows, query_rows."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, block = None, None
+        for batch in batches:
+            for at, (d, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if of != (d, b):  # rows of one block come one after the other
+                    of, block = (d, b), BlockIndex(*_arrays(batch.column(2)[at].values, d))
+                asked = batch.column(3)[at].values
+                found = [(int(q), i, s) for q, v, f in zip(*_arrays(asked, d), asked.field(2).to_pylist()) for s, i in block.search(v, int(q), k, f)]
+                q, i, s = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    return pairs.select("dims", "index_block", "index_rows", "query_rows").sortWithinPartitions("dims", "index_block").mapInArrow(search, "query_id long, vec_id long, score long")
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    """found with rank: the k best of each query; no more than k of a query leave a task."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row its k best other rows by integer inner product.
 
     Vectors that are null or hold null or non-finite components, and rows without id, take no part.
-    Rows with the same id count once, with the smallest vector; vectors of unlike length never meet.
-    Ties go to the smaller id; fewer than k candidates give fewer rows. Scores beyond a long are cut to
-    its ends. No rows: no rows.
+    Repeated ids: each row is a candidate, for queries of other ids, and the rows of one query id ask
+    together. Vectors of unlike length never meet; very long ones are searched like others. Ties go to
+    the smaller id; fewer than k candidates give fewer rows. Scores beyond a long are cut to its ends. No
+    rows: no rows. Other columns are not read, whatever their names.
     """
     bounded_batches(vectors.sparkSession)
-    total = vectors.count()
-    n, m = max(1, -(-total // BLOCK_ROWS)), max(1, -(-vectors.where(is_query).count() // QUERY_ROWS))
     clean = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and v is not null")
-    clean = clean.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    index = _blocks(clean.select("id", "v"), n, "index")
-    queries = _blocks(clean.where("q").select("id", "v"), m, "query").withColumn("index_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = index.join(queries, ["dims", "index_block"]).select("dims", "index_rows", "query_rows")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, d in enumerate(batch.column(0).to_pylist()):
-                block = BlockIndex(*_arrays(batch.column(1)[at].values, d))
-                found = [(int(q), i, s) for q, v in zip(*_arrays(batch.column(2)[at].values, d)) for s, i in block.search(v, int(q), k, [])]
-                q, i, s = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), F.col("vec_id"), F.col("score"))
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("best"))  # k rows from each block
-    return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    clean = written(clean.withColumns({"dims": F.size("v"), "square": F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)}))
+    total, asked = clean.agg(F.count("*"), F.count_if("q")).first()
+    n, m = max(1, -(-total // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
+    index = _blocks(clean, F.pmod(F.xxhash64("id", "v"), F.lit(n)), "index")
+    queries = written(clean.where("q").select("dims", "id", "v", F.lit(None).cast("long").alias("floor")))
+    block_of = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(m))
+    # The bound: the longest vectors of each length are one more block, searched first.
+    longest = clean.withColumn("r", F.row_number().over(Window.partitionBy("dims").orderBy(F.col("square").desc(), "id"))).where(F.col("r") <= BLOCK_ROWS)
+    first = _blocks(longest, F.lit(0), "index").join(_blocks(queries, block_of, "query", "floor"), "dims")
+    floors = _first_k(_searched(first.repartition("dims", "query_block"), k), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    bounded = queries.drop("floor").join(floors, "id", "left")
+    spread = _blocks(bounded, block_of, "query", "floor").withColumn("index_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    found = _searched(index.join(spread, ["dims", "index_block"]), k)
+    return _first_k(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

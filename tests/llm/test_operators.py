@@ -173,25 +173,27 @@ def test_formatting_runs_no_python(spark):
 # ---- 3
 
 
-def test_topk_against_brute_force(spark):
+@pytest.mark.parametrize("block", [37, 2048])
+def test_topk_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "QUERY_ROWS", block)
     r = random.Random(2)
-    rows = [(i, [r.choice([-1.5, 0.0, 0.25, r.random() - 0.5]) for _ in range(6)]) for i in range(300)] + [(i, [1.0] * 6) for i in range(300, 320)] + [(400, None), (402, [float("nan")] * 6), (404, [None] * 6), (406, [float("inf")] + [0.0] * 5), (None, [0.0] * 6), (408, [0.5] * 3), (410, [0.25] * 3), (412, []), (3, rows_3 := [0.0] * 6)]
+    rows = [(i, [r.choice([-1.5, 0.0, 0.25, r.random() - 0.5]) for _ in range(6)]) for i in range(300)] + [(i, [1.0] * 6) for i in range(300, 320)] + [(400, None), (402, [float("nan")] * 6), (404, [None] * 6), (406, [float("inf")] + [0.0] * 5), (None, [0.0] * 6), (408, [0.5] * 3), (410, [0.25] * 3), (412, []), (3, rows_3 := [0.0] * 6), (4, [0.25] * 6), (5, [1.0] * 6), (5, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = defaultdict(list)
     for x in topk.exact_top_k(df, F.col("vec_id") % 2 == 0, k=5).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.score, x.vec_id))
         assert x["rank"] == len(got[x.query_id])
-    vectors = {}
+    vectors = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             q = [int(np.floor(np.float64(np.float32(x)) * 256)) for x in v]
-            vectors[i] = min(vectors.get(i, q), q)
+            vectors.append((i, q))
     expected = {}
-    for q, v in vectors.items():
-        if q % 2 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v))[:5]
-            if best:
-                expected[q] = [(-s, i) for s, i in best]
+    for q in {i for i, _ in vectors if i % 2 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for own, v in vectors if own == q for i, w in vectors if i != q and len(w) == len(v))[:5]
+        if best:
+            expected[q] = [(-s, i) for s, i in best]
     assert got == expected and rows_3
 
 
@@ -201,10 +203,21 @@ def test_topk_stops_early_and_takes_large_numbers():
     index = topk.BlockIndex(np.arange(2000), m)
     for q in np.floor(r.normal(size=(20, 4)) * 50):
         best = sorted(zip((-(m @ q)).astype(int), range(2000)))[:5]
-        assert index.search(q, -1, 5, []) == [(-s, i) for s, i in best]
+        assert index.search(q, -1, 5) == [(-s, i) for s, i in best]
+        assert [x for x in index.search(q, -1, 5, -best[2][0]) if x[0] >= -best[2][0]] == [(-s, i) for s, i in best if s <= best[2][0]]
     big = topk.BlockIndex(np.arange(3), np.array([[2.0**60], [1.0], [-(2.0**60)]]))
-    assert big.search(np.array([8.0]), -1, 3, []) == [((1 << 63) - 1, 0), (8, 1), (-(1 << 63), 2)]
-    assert topk.BlockIndex(np.arange(3), np.ones((3, 2))).search(np.zeros(2), 1, 5, []) == [(0, 0), (0, 2)]
+    assert big.search(np.array([8.0]), -1, 3) == [((1 << 63) - 1, 0), (8, 1), (-(1 << 63), 2)]
+    assert topk.BlockIndex(np.arange(3), np.ones((3, 2))).search(np.zeros(2), 1, 5) == [(0, 0), (0, 2)]
+
+
+def test_topk_of_very_long_vectors(spark):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(12, 20_000)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<float>, id int")
+    whole = np.floor(m.astype(np.float64) * 256)
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.exact_top_k(df, F.col("vec_id") == 0, k=3).collect()}
+    best = sorted(((-int(whole[0] @ whole[i]), i) for i in range(1, 12)))[:3]
+    assert got == {(0, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
 
 
 def test_topk_of_nothing(spark):
@@ -485,33 +498,66 @@ def near_copies(n, seed=1):
     return texts
 
 
-def test_similar_texts_against_brute_force(spark):
+def connected(n, pairs):
+    label = list(range(n))
+    for i, j in sorted(pairs):
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("group", [8, 4096])
+def test_similar_texts_against_brute_force(spark, group, monkeypatch):
+    """No text is grouped without a chain of similar ones, and hardly a similar pair is missed."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     texts = near_copies(100)
     similar = slow_similar(texts)
-    codes = [slow_fingerprint(t, 5) for t in texts]
-    bits = {(i, j): (codes[i] ^ codes[j]).bit_count() for i, j in similar}
-    within = {p for p, n in bits.items() if n <= simhash.WIDE}
-    label = list(range(len(texts)))
-    for i, j in sorted(within):
-        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    got = simhash.drop_similar(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS)).collect()
-    assert {x.doc_id for x in got} == {i for i, k in enumerate(label) if i == k}
-    assert len(similar) > 50 and len(within) >= 0.9 * len(similar) and sum(n > 3 for n in bits.values()) > 0.8 * len(similar)
-
-
-@pytest.mark.parametrize("parted", [5, 6, 8])
-def test_close_pairs_against_brute_force(spark, parted, monkeypatch):
-    r = random.Random(parted)
-    codes = [r.getrandbits(64)]
-    while len(codes) < 150:
-        c = r.choice(codes)
-        for _ in range(r.randrange(1, 9)):
-            c ^= 1 << r.randrange(64)
-        codes = sorted({*codes, c})
-    monkeypatch.setattr(simhash, "_parted", lambda n, radius: parted)
-    df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
-    got = Counter(frozenset((x.a & (1 << 64) - 1, x.b & (1 << 64) - 1)) for x in simhash.close_pairs(df, 5).collect())
-    assert got == Counter(frozenset((a, b)) for k, a in enumerate(codes) for b in codes[:k] if (a ^ b).bit_count() <= 5)
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: bytes(x.group) for x in simhash.similar_groups(df, 5, "text", ["doc_id"]).collect()}
+    label = connected(len(texts), similar)
+    assert all(label[i] == label[j] for i in got for j in got if got[i] == got[j])
+    assert len(similar) > 50 and sum(got[i] == got[j] for i, j in similar) >= 0.97 * len(similar)
+    kept = {x.doc_id for x in simhash.drop_similar(df).collect()}
+    assert kept == {min(k for k in got if got[k] == g) for g in got.values()}
+
+
+@pytest.mark.parametrize("group", [16, 4096])
+def test_cluster_of_near_copies(spark, group, monkeypatch):
+    """A third of all texts are copies of one with changed words, each like the first, but not all like each other; others are chains."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    r = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(200)] = f"x{r.randrange(10_000)}"
+        texts.append(" ".join(w))
+    chain = [f"c{k}" for k in range(150)]
+    for k in range(30):
+        texts.append(" ".join(chain))
+        chain[5 * k : 5 * k + 3] = [f"d{k}", f"e{k}", f"f{k}"]
+    texts += [" ".join(f"u{r.randrange(3_000)}" for _ in range(100)) for _ in range(90)]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)] + [(500, None, None, None), (501, " ", None, None), (None, texts[0], None, None)], DOCS)
+    label = connected(len(texts), slow_similar(texts))
+    kept = {x.doc_id for x in simhash.drop_similar(df).collect()}
+    assert kept == {i for i, k in enumerate(label) if i == k} | {500}
+
+
+def test_wide_fingerprints_against_brute_force():
+    import pyarrow as pa
+
+    texts = ["", "One", "a B c d e f", "x " * 700 + "y", "e f a b"]
+    (_, _, block), = textblocks.blocks(pa.array(texts))
+    hashes, at = simhash.block_shingles(block, 5)
+    found = simhash.wide_fingerprints(hashes, at)
+    assert np.diff(at).tolist() == [0, 1, 2, 697, 1]
+    for k in range(len(texts)):
+        for lane, seed in enumerate(simhash._SEEDS):
+            h = [int(x) for x in textblocks.mix(hashes[at[k] : at[k + 1]] ^ seed)]
+            assert int(found[k, lane]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    (_, _, other), = textblocks.blocks(pa.array(["ONE", "A b C D E f", "x " * 5, "b a c d e"]))
+    again, _ = simhash.block_shingles(other, 5)
+    assert again[0] == hashes[0] and again[1] == hashes[1] and again[3] == hashes[3] and again[4] not in hashes
 
 
 def test_components(spark):
@@ -629,12 +675,63 @@ def test_targets():
         assert len(free) <= 1
 
 
+def slow_permuted(i, n, key):
+    """Four Feistel rounds in plain numbers, walked until the place is below n."""
+    top = (1 << 64) - 1
+
+    def spread(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & top
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & top
+        return h ^ h >> 33
+
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    while True:
+        a, b = divmod(i, 1 << half)
+        for r in range(1, 5):
+            a, b = b, a ^ spread(b + (4 * key + r) * 0x9E3779B97F4A7C15 & top) % (1 << half)
+        i = a << half | b
+        if i < n:
+            return i
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
 def test_permutation(n):
     p = mixing.permuted(np.arange(n), n, 5)
+    assert p.tolist() == [slow_permuted(i, n, 5) for i in range(n)]
     assert sorted(p) == list(range(n)) and (n < 100 or (p != mixing.permuted(np.arange(n), n, 6)).any())
 
 
+@pytest.mark.parametrize("good,bad,drawn", [(7, 5, 4), (1, 30, 12), (400, 600, 300), (50, 0, 20), (0, 9, 3), (3, 4, 7), (30, 2, 31)])
+def test_draws_have_the_hypergeometric_law(good, bad, drawn):
+    from math import comb
+
+    n, rng = 20_000, np.random.default_rng(1)
+    draws = Counter(mixing.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+    law = {x: comb(good, x) * comb(bad, drawn - x) / comb(good + bad, drawn) for x in range(max(0, drawn - bad), min(good, drawn) + 1)}
+    assert draws.keys() <= law.keys() and all(abs(draws[x] - n * p) < 5 * (n * p * (1 - p)) ** 0.5 + 1 for x, p in law.items())
+
+
+@pytest.mark.parametrize("scale", [10**3, 10**8, 10**9, 10**11, 10**14])
+def test_draws_of_large_numbers(scale):
+    """One law at every size, far beyond 10^9 slots, too."""
+    good, bad, drawn = 3 * scale, 7 * scale, 4 * scale
+    rng = np.random.default_rng(2)
+    sd = (drawn * 0.3 * 0.7 * 0.6) ** 0.5
+    z = np.sort([(mixing.hypergeometric(rng, good, bad, drawn) - drawn * 0.3) / sd for _ in range(4_000)])
+    cdf = np.array([0.5 * (1 + __import__("math").erf(v / 2**0.5)) for v in z])
+    assert np.abs(cdf - (np.arange(4_000) + 0.5) / 4_000).max() < 0.03 + 0.5 / sd
+    totals = np.array([scale, 5 * scale, 17, 0, 3 * scale])
+    n = -(-int(totals.sum()) // 16)
+    for shard in (0, n // 7, n - 2):
+        first, counts = mixing.shard_counts(shard, totals, 16, 3)
+        after, last = mixing.shard_counts(shard + 1, totals, 16, 3)
+        assert counts.sum() == 16 and (first + counts == after).all() and (counts >= 0).all() and (after + last <= totals).all()
+
+
 def test_shards_add_up():
     totals = np.array([1000, 3, 0, 517])
     parts = [mixing.shard_counts(k, totals, 100, 1) for k in range(16)]
