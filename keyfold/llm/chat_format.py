@@ -1,7 +1,8 @@
 r"""Chat formatting by schema fingerprint, in DataFrame functions only.
 
-Records come as JSON in many layouts. The fingerprint of a record is the hash of its nested field
-paths (values and scalar types left out), so that all records of one layout share it. A registry maps
+Records come in many layouts, as JSON or as one struct type that has the fields of all, null where a
+record lacks them. The fingerprint of a record is the hash of its nested field paths (values and scalar
+types left out), the same for either form, so that all records of one layout share it. A registry maps
 fingerprints to declarative mappings, each of which turns its layout into canonical turns
 array<struct<role, text>>. Turns are then written by a template:
 
@@ -19,6 +20,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters of a JSON text beyond which the parser gives up; longer records must come as structs.
+JSON_CHARS = 20_000_000
 
 OPEN, CLOSE = "<turn>", "</turn>"
 END = CLOSE + "\n"
@@ -57,25 +62,51 @@ MAPPINGS = (
 )
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field names of a JSON record in a fixed order, as text without the types of values; null if it is no JSON.
+def _paths_of(value: Column, kind: T.DataType) -> Column:
+    """The fields that a value of a native type has, as field_paths() writes them."""
+    if isinstance(kind, T.StructType):
+        parts = [F.when(value[f.name].isNotNull(), F.concat(F.lit(f"{f.name}: "), _paths_of(value[f.name], f.dataType))) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *parts), F.lit(">"))
+    if isinstance(kind, T.ArrayType):
+        inner = F.lit("_")
+        if isinstance(kind.elementType, T.StructType):
+            inner = F.lit("OBJECT<" + ", ".join(f"{n}: _" for n in sorted(kind.elementType.names)) + ">")
+        return F.concat(F.lit("ARRAY<"), F.when(F.size(value) > 0, inner).otherwise(F.lit("_")), F.lit(">"))
+    return F.lit("_")
+
+
+def field_paths(record: Column, kind: T.DataType = T.StringType()) -> Column:
+    """The nested field names of a record in a fixed order, as text without the types of values; null if it is no JSON.
 
     Field names are sorted, and scalar types give way to `_`, so a null, a number and a text in the same
-    place make no difference. An empty array says nothing about its elements and differs from a filled one.
+    place make no difference in JSON. An empty array says nothing about its elements and differs from a
+    filled one. kind: a struct type for native records, of which null fields count as missing.
     """
+    if isinstance(kind, T.StructType):
+        return F.when(record.isNotNull(), _paths_of(record, kind))
     schema = F.schema_of_variant(F.try_parse_json(record))
     return F.regexp_replace(schema, r"(^|[:<] ?)(VOID|STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|BINARY|VARIANT|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+,\d+\))(?=$|[,>])", "$1_")
 
 
-def fingerprint(record: Column) -> Column:
+def fingerprint(record: Column, kind: T.DataType = T.StringType()) -> Column:
     """64-bit hash of the nested field paths; null if it is no JSON."""
-    paths = field_paths(record)
+    paths = field_paths(record, kind)
     return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
-def turns_of(record: Column, mapping: Mapping) -> Column:
+def _at(record: Column, kind: T.DataType, path: str) -> tuple[Column, T.DataType] | None:
+    """What a path such as $.a.b names in a native record, and its type; None if the type has no such place."""
+    for name in path.removeprefix("$.").split("."):
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return None
+        record, kind = record[name], kind[name].dataType
+    return record, kind
+
+
+def turns_of(record: Column, mapping: Mapping, kind: T.DataType = T.StringType()) -> Column:
     """Canonical turns of a record that has the layout of the mapping."""
     names = dict(mapping.roles)
+    native = isinstance(kind, T.StructType)
 
     def canonical(role: Column) -> Column:
         out = role
@@ -83,12 +114,24 @@ def turns_of(record: Column, mapping: Mapping) -> Column:
             out = F.when(role == old, new).otherwise(out)
         return out
 
-    v = F.try_parse_json(record)
+    v = None if native else F.try_parse_json(record)
     if mapping.turns is not None:
-        kind = f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"
-        rows = F.try_variant_get(v, mapping.turns, kind)
+        if native:
+            found = _at(record, kind, mapping.turns)
+            if found is None or not {mapping.role, mapping.text} <= set(getattr(getattr(found[1], "elementType", None), "names", ())):
+                return F.lit(None).cast(TURNS)
+            rows = found[0]
+        else:
+            rows = F.try_variant_get(v, mapping.turns, f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
         return F.transform(rows, lambda m: F.struct(F.coalesce(canonical(m[mapping.role]), F.lit("")).alias("role"), F.coalesce(m[mapping.text], F.lit("")).alias("text")))
-    parts = [F.struct(F.lit(role).alias("role"), F.try_variant_get(v, path, "string").alias("text")) for role, path in mapping.fields]
+
+    def text_at(path: str) -> Column:
+        if not native:
+            return F.try_variant_get(v, path, "string")
+        found = _at(record, kind, path)
+        return F.lit(None).cast("string") if found is None else found[0].cast("string")
+
+    parts = [F.struct(F.lit(role).alias("role"), text_at(path).alias("text")) for role, path in mapping.fields]
     empty = [F.lit(path in mapping.optional) for _, path in mapping.fields]
     rows = F.arrays_zip(F.array(*parts).alias("t"), F.array(*empty).alias("o"))
     kept = F.filter(rows, lambda x: x["t"]["text"].isNotNull() & ~(x["o"] & (x["t"]["text"] == "")))
@@ -100,18 +143,25 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
 
     The registry is a fixed argument, so choosing by fingerprint is one CASE expression and needs no
     join or shuffle. An element of an array that lacks a field, or a null field, gives an empty text.
-    A null record, or one that isn't JSON, has null in all three. Nothing is dropped.
+    A null record, or a text that isn't JSON, has null in all three. Nothing is dropped: a JSON text that
+    is too long for the parser (JSON_CHARS) fails the query, and has to come as a struct, where only the
+    length of a string (2 GiB) is a limit. No rows: no rows. Other columns pass through; the record's
+    column may have any name but those of the results.
     """
+    kind = records.schema[record].dataType
     known = records.sparkSession.createDataFrame([(m.name, m.sample) for m in mappings], "name string, sample string")
     prints = {r["name"]: r["f"] for r in known.select("name", fingerprint(F.col("sample")).alias("f")).collect()}
     if len(set(prints.values())) < len(prints):
         raise ValueError("two mappings of one layout")
-    out = records.withColumn("fingerprint", fingerprint(F.col(record)))
+    mark = fingerprint(F.col(record), kind)
+    if not isinstance(kind, T.StructType):
+        mark = F.when(mark.isNull() & (F.length(record) > JSON_CHARS), F.raise_error(F.lit("record too long for the JSON parser: pass it as a struct")).cast("long")).otherwise(mark)
+    out = records.withColumn("fingerprint", mark)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         here = F.col("fingerprint") == F.lit(prints[m.name])
         layout = F.when(here, m.name).otherwise(layout)
-        turns = F.when(here, turns_of(F.col(record), m).cast(TURNS)).otherwise(turns)
+        turns = F.when(here, turns_of(F.col(record), m, kind).cast(TURNS)).otherwise(turns)
     return out.withColumns({"layout": layout, "turns": turns})
 
 
@@ -159,11 +209,12 @@ def format_chats(records: DataFrame, record: str = "record", mappings: tuple[Map
 
 
 def as_records(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """key and record: one JSON record of the messages layout for each key, its rows ordered by `order`, role and text, null first.
+    """key and record: one struct of the messages layout for each key, its rows ordered by `order`, role and text, null first.
 
-    Null roles and texts count as empty. Repeated rows are turns of their own. A null key is a key.
+    Null roles and texts count as empty. Repeated rows are turns of their own. A null key is a key. No
+    rows: no rows. Very long texts pass whole. Other columns are not read.
     """
     turn = F.struct(F.col(order).alias("o"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     ordered = F.sort_array(F.collect_list(turn))
     messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return rows.groupBy(key).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return rows.groupBy(key).agg(F.struct(messages.alias("messages")).alias("record"))

@@ -35,11 +35,41 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def varied(records: DataFrame) -> DataFrame:
+    """Records of the messages layout in the layouts that sources use: by conv_id, where one of them can hold the conversation."""
+    m, k = F.col("record.messages"), F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    roles = F.transform(m, lambda x: x["role"])
+    said = lambda i: F.get(m, F.lit(i))["content"]
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    triple = (roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))) & (said(0) != "")
+    asked = (roles == F.array(F.lit("user"), F.lit("user"), F.lit("assistant"))) & (said(1) != "")
+    layout = F.when(pair & (k < 3), F.element_at(F.array(*map(F.lit, ("prompt", "response", "instruction"))), (k + 1).cast("int")))
+    layout = layout.when(triple & (k < 2), "instruction_system").when(asked & (k < 2), "instruction_input")
+    layout = layout.when((k == 2) & ~F.exists(roles, lambda r: r.isin("human", "gpt")), "conversations").when(k == 3, "nested_chat").otherwise("messages")
+    named = records.withColumn("l", layout)
+    is_ = lambda *names: F.col("l").isin(*names)
+    renamed = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    last = F.element_at(m, -1)["content"]
+    fields = {
+        "messages": F.when(is_("messages"), m),
+        "conversations": F.when(is_("conversations"), F.transform(m, lambda x: F.struct(renamed(x["role"]).alias("from"), x["content"].alias("value")))),
+        "prompt": F.when(is_("prompt", "response"), said(0)),
+        "completion": F.when(is_("prompt"), last),
+        "response": F.when(is_("response"), last),
+        "system": F.when(is_("instruction_system"), said(0)),
+        "instruction": F.when(is_("instruction", "instruction_input"), said(0)).when(is_("instruction_system"), said(1)),
+        "input": F.when(is_("instruction_input"), said(1)),
+        "output": F.when(is_("instruction", "instruction_input", "instruction_system"), last),
+        "chat": F.when(is_("nested_chat"), F.struct(F.transform(m, lambda x: F.struct(x["role"].alias("speaker"), x["content"].alias("utterance"))).alias("turns"))),
+    }
+    return named.select("conv_id", F.struct(*(c.alias(n) for n, c in fields.items())).alias("record"))
+
+
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
-    done = chat_format.format_chats(chat_format.as_records(rows)).select("conv_id", "layout", "formatted", "loss_spans")
+    done = chat_format.format_chats(varied(chat_format.as_records(rows))).select("conv_id", "layout", "formatted", "loss_spans")
     back = done.withColumn("turns", chat_format.read_back(F.col("formatted")))
     masked = F.array_join(F.transform("loss_spans", lambda s: chat_format.unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -11,10 +11,12 @@ GROUP blocks and over the groups, so a very large file is no single task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +26,48 @@ from keyfold.llm.runtime import bounded_batches, cut
 
 BLOCK_TOKENS = 1 << 20
 GROUP = 1_024
-#: Bytes of a raw file that is read whole before it is cut into blocks; larger ones are refused.
+#: Bytes of a raw file that is read whole where its file system can't be read by ranges; larger ones are refused there.
 MAX_FILE_BYTES = 1 << 30
 _KINDS = {1: np.uint8, 2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)/*", "file:///", path))
+
+
 def read_flat_tokens(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, tokens: the blocks of raw token files, of `width` bytes a token in little-endian order."""
+    """file, block, tokens: the blocks of raw token files, of `width` bytes a token in little-endian order.
+
+    Files are listed without their contents, and each block is read by its range of bytes in a task of its
+    own, so a file may have any size. Only where the workers can't open the paths by themselves are files
+    read whole, up to MAX_FILE_BYTES. A file that ends within a token fails the query. Empty files have no block.
+    """
     size = block_tokens * width
-    raw = spark.read.format("binaryFile").load(path).where(F.when(F.col("length") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("file too large: "), F.col("path"))).cast("boolean")).otherwise(F.col("length") > 0))
-    cuts = raw.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"transform(sequence(0, (length - 1) div {size}), b -> cast(b as int))")).alias("block"))
-    return cuts.select("file", "block", F.expr(f"substring(content, cast(block as int) * {size} + 1, {size})").alias("tokens"))
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    files = files.withColumn("length", F.when(F.col("length") % width == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("ends within a token: "), F.col("path"))).cast("long")))
+    listed = files.select("path", "length")
+    numbers = F.explode(F.expr(f"transform(sequence(0, (length - 1) div {size}), b -> cast(b as int))")).alias("block")
+    some = listed.select("path").limit(1).collect()
+    try:
+        ranged = not some or _opened(some[0]["path"]) is not None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        ranged = False
+    if not ranged:
+        small = files.where(F.when(F.col("length") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("file too large: "), F.col("path"))).cast("boolean")).otherwise(True))
+        return small.select(F.col("path").alias("file"), "content", numbers).select("file", "block", F.expr(f"substring(content, cast(block as int) * {size} + 1, {size})").alias("tokens"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                system, inner = _opened(file)
+                with system.open_input_file(inner) as f:
+                    f.seek(block * size)
+                    data = f.read(size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["file", "block", "tokens"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select(F.col("path").alias("file"), numbers).repartition(n, "file", "block").mapInArrow(read, "file string, block int, tokens binary")
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, text: str = "text") -> DataFrame:

@@ -164,6 +164,32 @@ def test_layouts(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "record string")).count() == 0
 
 
+def test_struct_records_have_the_fingerprints_of_json(spark):
+    """Each layout as a struct with null for what it lacks; and a text that JSON's parser would give up on."""
+    rows = [(k, t, r, f"{r} {k}") for k in range(200) for t, r in enumerate([["user", "assistant"], ["system", "user", "assistant"], ["user", "user", "assistant"], ["user"], ["human", "gpt"]][k % 5])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(queries.varied(chat_format.as_records(df))).collect()
+    assert {x.layout for x in out} == {m.name for m in chat_format.MAPPINGS}
+    for x in out:
+        assert [(t.role, t.text) for t in x.turns] == [(r, t) for k, _, r, t in rows if k == x.conv_id]
+    samples = spark.createDataFrame([(m.name, m.sample) for m in chat_format.MAPPINGS], "name string, sample string")
+    prints = {x.name: x.f for x in samples.select("name", chat_format.fingerprint(F.col("sample")).alias("f")).collect()}
+    assert all(x.fingerprint == prints[x.layout] for x in out)
+
+
+def test_very_long_conversations(spark):
+    n = 2_100_000
+    text = F.concat(F.lit("\\</turn>"), F.repeat(F.lit("abcd efgh\n"), n), F.lit("\\"))
+    long = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("id") == 0, text).otherwise("x").alias("text"))
+    done = chat_format.format_chats(chat_format.as_records(long))
+    back = done.select("loss_spans", chat_format.read_back(F.col("formatted")).alias("t"))
+    (x,) = back.select((F.col("t")[0]["text"] == text).alias("same"), F.col("t")[1]["text"].alias("second"), F.col("loss_spans")[0]["length"].alias("masked")).collect()
+    assert (x.same, x.second, x.masked) == (True, "x", 10 * n + 12)
+    too_long = spark.range(1).select(F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("abcde"), 4_100_000), F.lit('","completion":""}')).alias("record"))
+    with pytest.raises(Exception, match="too long for the JSON parser"):
+        chat_format.format_chats(too_long).select("layout").collect()
+
+
 def test_formatting_runs_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat_format.format_chats(chat_format.as_records(df))._jdf.queryExecution().executedPlan().toString()
@@ -255,6 +281,27 @@ def test_separator_scan(spark, tmp_path, width, monkeypatch):
     blocks = token_scan.read_flat_tokens(spark, str(tmp_path), width, block_tokens=7)
     got = {(x.file, x.ordinal, x.start, x.n_tokens, x.ended) for x in token_scan.scan_separators(blocks, 9, width).collect()}
     assert got == scanned(files)
+    # a file system that the workers can't open by themselves
+    monkeypatch.setattr(token_scan, "_opened", lambda path: (_ for _ in ()).throw(OSError()))
+    again = token_scan.read_flat_tokens(spark, str(tmp_path), width, block_tokens=7)
+    assert sorted(again.collect()) == sorted(blocks.collect())
+    monkeypatch.undo()
+    if width > 1:
+        (tmp_path / "odd.bin").write_bytes(b"abcde")
+        with pytest.raises(Exception, match="ends within a token"):
+            token_scan.read_flat_tokens(spark, str(tmp_path / "odd.bin"), width).collect()
+
+
+def test_large_token_files(spark, tmp_path):
+    """A sparse file of over 4 GiB, read by ranges: its last blocks alone hold tokens other than 0."""
+    path = tmp_path / "large.bin"
+    with open(path, "wb") as f:
+        f.seek((1 << 32) + 10)
+        f.write(np.array([5, 9, 6, 7], "<u2").tobytes())
+    rows = token_scan.read_flat_tokens(spark, str(path), 2, block_tokens=1 << 24)
+    assert rows.select("block").count() == 129
+    last = rows.where("block = 128").collect()
+    assert [np.frombuffer(x.tokens, "<u2").tolist() for x in last] == [[0, 0, 0, 0, 0, 5, 9, 6, 7]]
 
 
 def test_token_counts(spark, docs, rows, none):
