@@ -29,12 +29,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go, and with them documents that have no word left; n_chars is counted anew."""
-    done = line_dedup.dedup_lines(docs, min_words=1).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    done = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return fewer_files(done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a chain of pairs connects whose 5-word shingles have a Jaccard similarity of 0.8 or more; pairs are found within simhash.WIDE bits."""
+    """One document of each group that a chain of pairs connects whose 5-word shingles have a Jaccard similarity of 0.8 or more, as simhash.similar_groups finds them."""
     return fewer_files(simhash.drop_similar(docs, shingle=5))
 
 
