@@ -70,6 +70,14 @@ def surely_allowed(attempts: DataFrame, limit: int, window_ms: int) -> DataFrame
     return attempts.withColumn("sure", n <= limit)
 
 
+def check_counts(configs: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Of each configured key (upkeep()) its limit, window and attempts (key, ts_ms) in the last window before the latest of them: an upper bound of what the limiter holds."""
+    last = attempts.groupBy("key").agg(F.max("ts_ms").alias("last_ms"))
+    reach = configs.join(last, "key", "left")
+    near = attempts.join(reach.select("key", "last_ms", "window_ms"), "key").where(F.col("ts_ms") > F.col("last_ms") - F.col("window_ms")).groupBy("key").agg(F.count("*").alias("n"))
+    return reach.join(near, "key", "left").select("key", "limit", "window_ms", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def upkeep(configs: DataFrame) -> DataFrame:
     """RLSET: the latest limit and window of each key (key, limit, window_s, seq)."""
     return configs.groupBy("key").agg(F.max_by(F.struct("limit", (F.col("window_s") * 1000).alias("window_ms")), "seq").alias("c")).select("key", "c.*")

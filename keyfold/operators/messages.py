@@ -29,9 +29,16 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """PUBLISH: seq, channel and receivers of each message, 0 if none."""
-    n = deliveries(messages, subscriptions).groupBy("seq").agg(F.count("*").alias("receivers"))
-    return messages.join(n, "seq", "left").select("seq", "channel", F.coalesce("receivers", F.lit(0)).alias("receivers"))
+    """PUBLISH: seq, channel and receivers of each message, 0 if none. Receivers are counted, not listed: a running sum of subscriptions that open and close on the channel."""
+    names = messages.select("channel").distinct()
+    exact = subscriptions.where("kind = 'exact'").join(names, F.col("pattern") == F.col("channel"), "left_semi").withColumn("channel", F.col("pattern"))
+    globs = names.join(subscriptions.where("kind = 'pattern'"), glob_column(F.col("channel"), F.col("pattern")))
+    spans = exact.select("channel", "from_seq", "to_seq").unionByName(globs.select("channel", "from_seq", "to_seq"))
+    steps = spans.select("channel", F.col("from_seq").alias("seq"), F.lit(1).alias("n")).unionByName(spans.where("to_seq is not null").select("channel", F.col("to_seq").alias("seq"), F.lit(-1).alias("n")))
+    steps = steps.where("seq is not null").groupBy("channel", "seq").agg(F.sum("n").alias("n")).withColumn("message", F.lit(False))
+    both = messages.select("channel", "seq", F.lit(0).cast("long").alias("n"), F.lit(True).alias("message")).unionByName(steps)
+    open_ = F.sum("n").over(Window.partitionBy("channel").orderBy("seq", "message").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("receivers", open_).where("message").select("seq", "channel", "receivers")
 
 
 def channels(subscriptions: DataFrame, pattern: str = "*") -> DataFrame:
@@ -56,15 +63,35 @@ def high_water(log: DataFrame) -> DataFrame:
     return log.groupBy("client").agg(F.max("id").alias("mark"))
 
 
-def commits(transactions: DataFrame, watches: DataFrame, writes: DataFrame) -> DataFrame:
-    """WATCH, MULTI, EXEC: transactions (txn_id, exec_seq) with `committed`.
+def commits(transactions: DataFrame, watches: DataFrame, writes: DataFrame, unwatched: DataFrame | None = None) -> DataFrame:
+    """WATCH, UNWATCH, MULTI, EXEC, DISCARD: transactions (txn_id, exec_seq) with `committed`.
 
     One fails if a key it watches (txn_id, key, watch_seq) was written (key, seq, txn_id or null) by
-    another between the watch and the EXEC.
+    another between the watch and the EXEC. unwatched (txn_id, key or null for all, seq) ends the
+    watches before it. A transaction with the column `discarded` true is never committed. Each watch
+    looks at the next writes of two writers after it, which windows over each key's writes give; no
+    watch meets all writes.
     """
-    w = writes.select(F.col("key"), F.col("seq"), F.col("txn_id").alias("writer"))
-    spoiled = watches.join(transactions, "txn_id").join(w, "key").where((F.col("seq") > F.col("watch_seq")) & (F.col("seq") < F.col("exec_seq")) & ~F.col("writer").eqNullSafe(F.col("txn_id"))).select("txn_id").distinct()
-    return transactions.join(spoiled.withColumn("spoiled", F.lit(True)), "txn_id", "left").withColumn("committed", F.col("spoiled").isNull()).drop("spoiled")
+    order = Window.partitionBy("key").orderBy("seq")
+    w = writes.select("key", "seq", F.struct(F.col("txn_id")).alias("writer"))
+    first = F.lag("writer").over(order)
+    runs = w.withColumn("run", F.sum((first.isNull() | ~first.eqNullSafe(F.col("writer"))).cast("int")).over(order))
+    starts = runs.groupBy("key", "run").agg(F.min("seq").alias("start")).select("key", (F.col("run") - 1).alias("run"), "start")
+    w = runs.join(starts, ["key", "run"], "left").select("key", "seq", F.struct("seq", "writer", "start").alias("write"))
+    held = watches
+    if unwatched is not None:
+        ends = unwatched.select("txn_id", F.col("key").alias("__k"), F.col("seq").alias("__s"))
+        held = held.join(ends, (held["txn_id"] == ends["txn_id"]) & (F.col("__k").isNull() | (F.col("__k") == held["key"])) & (F.col("__s") > held["watch_seq"]), "left_anti")
+    marks = held.select("key", F.col("watch_seq").alias("seq"), "txn_id")
+    both = w.select("key", "seq", "write", F.lit(None).cast(marks.schema["txn_id"].dataType).alias("txn_id"), F.lit(1).alias("mark")).unionByName(marks.select("key", "seq", F.lit(None).cast(w.schema["write"].dataType).alias("write"), "txn_id", F.lit(2).alias("mark")))
+    after = Window.partitionBy("key").orderBy("seq", "mark").rowsBetween(1, Window.unboundedFollowing)  # a write at the watch's own place comes before it
+    seen = both.withColumn("next", F.first("write", ignorenulls=True).over(after)).where("mark = 2 and next is not null")
+    own = F.col("next.writer.txn_id").eqNullSafe(F.col("txn_id"))
+    spoils = seen.select("txn_id", F.when(own, F.col("next.start")).otherwise(F.col("next.seq")).alias("at")).where("at is not null").groupBy("txn_id").agg(F.min("at").alias("at"))
+    out = transactions.join(spoils, "txn_id", "left").withColumn("committed", F.col("at").isNull() | (F.col("at") >= F.col("exec_seq")))
+    if "discarded" in transactions.columns:
+        out = out.withColumn("committed", F.col("committed") & ~F.coalesce("discarded", F.lit(False)))
+    return out.drop("at")
 
 
 def live_query(state: DataFrame, changes: DataFrame, pattern: str, at_seq: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,18 +70,20 @@ def move(sets: DataFrame, moves: DataFrame) -> DataFrame:
     return add(real.select(F.col("target").alias("key"), "member"), kept)
 
 
-def sample(sets: DataFrame, n: int, seed: int, order: str | None = None) -> DataFrame:
-    """SPOP, SRANDMEMBER n >= 0: n members of each set, chosen by a seeded hash, with rank; a rerun chooses the same.
+def _drawn(seed: int, *parts: str) -> Column:
+    """60 bits of a seeded digest of the parts, the same in every engine that knows MD5."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    order: an SQL expression to choose by instead of the hash.
-    """
-    chosen = F.expr(order) if order else F.xxhash64("key", "member", F.lit(seed))
-    return sets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(chosen, "member"))).where(F.col("rank") <= n)
+
+def sample(sets: DataFrame, n: int, seed: int) -> DataFrame:
+    """SPOP, SRANDMEMBER n >= 0: n members of each set, chosen by a seeded digest, with rank; a rerun chooses the same."""
+    return sets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(_drawn(seed, "key", "member"), "member"))).where(F.col("rank") <= n)
 
 
 def sample_with_repeats(sets: DataFrame, n: int, seed: int) -> DataFrame:
     """SRANDMEMBER -n: n draws (draw, member) from each set, where a member may come again."""
     ranked = sets.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy("member")) - 1).cast("long"))
     sizes = sets.groupBy("key").agg(F.count("*").alias("size"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("rank", F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.col("size")))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("rank", F.pmod(_drawn(seed, "key", "draw"), F.col("size")))
     return draws.join(ranked, ["key", "rank"]).select("key", "draw", "member")

@@ -17,6 +17,24 @@ def set_last(log: DataFrame, *extra: str) -> DataFrame:
     return log.groupBy("key").agg(F.max_by(F.struct("value", *extra), "seq").alias("w")).select("key", "w.*")
 
 
+def set_with_expiry(log: DataFrame) -> DataFrame:
+    """SET with EX, PX, EXAT, PXAT or KEEPTTL, SETEX, PSETEX: key, value and expires_at_ms after a log.
+
+    log: key, value, seq, ts_ms (which doesn't fall as seq grows), option (null: none) and amount.
+    Amounts that aren't above 0 are refused. KEEPTTL keeps the expiry of the write before it, unless the
+    key had expired by then. Two partial aggregates: a hot key is summed up before it is shuffled.
+    """
+    amount, option = F.col("amount"), F.upper("option")
+    at = F.when(option == "EX", F.col("ts_ms") + amount * 1000).when(option == "PX", F.col("ts_ms") + amount).when(option == "EXAT", amount * 1000).when(option == "PXAT", amount)
+    keeps = option.eqNullSafe("KEEPTTL")
+    fine = log.where(option.isNull() | keeps | (amount > 0)).select("key", "value", "seq", "ts_ms", keeps.alias("keeps"), at.alias("at"))
+    last = F.max_by(F.struct("value", "ts_ms", "keeps"), "seq").alias("l")
+    set_ = F.max_by(F.struct("at"), F.when(~F.col("keeps"), F.col("seq"))).alias("e")
+    done = fine.groupBy("key").agg(last, set_)
+    expires = F.when(F.col("l.keeps") & (F.col("l.ts_ms") >= F.col("e.at")), None).otherwise(F.col("e.at"))
+    return done.select("key", "l.value", expires.cast("long").alias("expires_at_ms"))
+
+
 def set_first(log: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """SETNX, SET NX: key, value, reply of each write; reply 1 for the first write of a key that doesn't exist yet."""
     first = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1

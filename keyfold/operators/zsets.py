@@ -42,11 +42,21 @@ def ranked(zsets: DataFrame, reverse: bool = False) -> DataFrame:
     return zsets.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy(*_order(reverse))) - 1).cast("long"))
 
 
+def both_ranks(zsets: DataFrame) -> DataFrame:
+    """ZRANK, ZREVRANK: elements with rank and revrank."""
+    sizes = zsets.groupBy("key").agg(F.count("*").alias("size"))
+    return ranked(zsets).join(sizes, "key").withColumn("revrank", F.col("size") - 1 - F.col("rank")).drop("size")
+
+
 def by_rank(zsets: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
-    """ZRANGE, ZREVRANGE: elements of the ranks start..stop, with rank. Without negative ranks only the first stop + 1 of each key are ever kept."""
+    """ZRANGE, ZREVRANGE: elements of the ranks start..stop, with rank. Where both are negative or neither is, only the first few of each key, from the one end or the other, are ever kept."""
     out = ranked(zsets, reverse)
     if start >= 0 and stop >= 0:
         return out.where((F.col("rank") <= stop) & (F.col("rank") >= start))
+    if start < 0 and stop < 0:
+        from_end = ranked(zsets, not reverse).where((F.col("rank") <= -start - 1) & (F.col("rank") >= -stop - 1))
+        sizes = zsets.groupBy("key").agg(F.count("*").alias("size"))
+        return from_end.join(sizes, "key").withColumn("rank", F.col("size") - 1 - F.col("rank")).drop("size")
     first, last = bounds(start, stop, F.count("*").over(Window.partitionBy("key")))
     return out.withColumns({"first": first, "last": last}).where((F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last"))).drop("first", "last")
 

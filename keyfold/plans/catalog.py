@@ -29,6 +29,9 @@ server: PING 0 0 0 r none, AUTH 0 0 0 r none, HELLO 0 0 0 r none, INFO 0 0 0 r n
 #: What a scope-limited client may never run.
 ADMIN = frozenset("AUTH HELLO CLIENT CONFIG CLUSTER MODULE SAVE BGSAVE REPLICAOF FLUSHDB KEYS SCAN DBSIZE INFO".split())
 
+#: What a peer may push into a replica.
+REPLAYABLE = frozenset("SET DEL UNLINK MSET INCR DECR INCRBY DECRBY EXPIRE PEXPIRE EXPIREAT PEXPIREAT PERSIST FLUSHDB RENAME HSET HDEL HSETNX LPUSH RPUSH LPOP RPOP LSET LREM LTRIM SADD SREM SMOVE SINTERSTORE SUNIONSTORE SDIFFSTORE ZADD ZREM ZINCRBY JSET JMERGE".split())
+
 
 def commands() -> dict[str, dict]:
     """name -> family, first, last, step, writes, fold, scope."""
@@ -56,5 +59,5 @@ def keys_of(name: str, args: list) -> list:
 
 def catalog(spark: SparkSession) -> DataFrame:
     """COMMAND: a row for each command."""
-    rows = [(n, c["family"], c["first"], c["last"], c["step"], c["writes"], c["fold"], c["scope"]) for n, c in COMMANDS.items()]
-    return spark.createDataFrame(rows, "name string, family string, first_key int, last_key int, step int, writes boolean, fold string, scope string")
+    rows = [(n, c["family"], c["first"], c["last"], c["step"], c["writes"], c["fold"], c["scope"], n in REPLAYABLE) for n, c in COMMANDS.items()]
+    return spark.createDataFrame(rows, "name string, family string, first_key int, last_key int, step int, writes boolean, fold string, scope string, replayable boolean")

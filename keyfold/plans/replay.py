@@ -28,6 +28,8 @@ from keyfold.plans.machine import Cell, Machine, Refused, score_text
 #: FLUSHDB commands that a log may have; their places are held on the driver.
 MAX_FLUSHES = 100_000
 ROUNDS = 50
+#: Clusters of commands without keys.
+KEYLESS = 4_096
 
 LOG = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ts_ms", T.LongType()), T.StructField("cmd", T.StringType()), T.StructField("args", T.ArrayType(T.BinaryType())), T.StructField("txn_id", T.LongType())])
 REPLIES = T.StructType([T.StructField("seq", T.LongType()), T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()), T.StructField("effect", T.ArrayType(T.BinaryType()))])
@@ -118,11 +120,11 @@ def clusters(log: DataFrame) -> DataFrame:
 
 
 def _placed(log: DataFrame) -> DataFrame:
-    """log with cluster: of its keys; '' for commands without keys."""
+    """log with cluster: of its keys; commands without keys hold no state and are spread over KEYLESS clusters."""
     keyed = _keyed(log)
     first = F.get("keys", F.lit(0))
     tied = clusters(log)
-    return keyed.withColumn("k", first).join(tied.withColumnRenamed("key", "k"), "k", "left").withColumn("cluster", F.coalesce("cluster", "k", F.lit(""))).select(*log.columns, "cluster")
+    return keyed.withColumn("k", first).join(tied.withColumnRenamed("key", "k"), "k", "left").withColumn("cluster", F.coalesce("cluster", "k", F.concat(F.lit("\0"), F.pmod(F.xxhash64("seq"), F.lit(KEYLESS))))).select(*log.columns, "cluster")
 
 
 def _flushes(log: DataFrame) -> list[int]:
@@ -211,3 +213,41 @@ def normalised(log: DataFrame) -> DataFrame:
     """The log of effects: seq, ts_ms, cmd and args of commands that changed something, safe to replay at any time."""
     done = replies(log).where("effect is not null").select("seq", "effect")
     return done.join(log.select("seq", "ts_ms"), "seq").select("seq", "ts_ms", F.get("effect", F.lit(0)).cast("string").alias("cmd"), F.slice("effect", F.lit(2), F.greatest(F.size("effect") - 1, F.lit(0))).alias("args"), F.lit(None).cast("long").alias("txn_id"))
+
+
+def command_stats(log: DataFrame, answers: DataFrame) -> DataFrame:
+    """cmd, calls, errors, and of GET hits and misses: log with what replies() gave for it."""
+    is_get = (F.col("cmd") == "GET") & F.col("error").isNull()
+    return log.select("seq", F.upper("cmd").alias("cmd")).join(answers, "seq").groupBy("cmd").agg(F.count("*").alias("calls"), F.count("error").alias("errors"), F.count_if(is_get & F.col("reply").isNotNull()).alias("hits"), F.count_if(is_get & F.col("reply").isNull()).alias("misses"))
+
+
+def rebuilt(state: DataFrame, ts_ms: int = 0) -> DataFrame:
+    """A log (seq, ts_ms, cmd, args, txn_id) that makes the state (key, kind, payload, expires_at_ms) anew: what a compacted log holds. Limiters' attempts are not kept, and empty collections but documents can't be said by commands."""
+    from keyfold.plans.keyspace import Keyspace
+
+    text = lambda c: F.col(c).cast("binary")
+    space = Keyspace(state.withColumn("expires_at_ms", F.lit(None).cast("long")), 0)
+
+    def gathered(rows: DataFrame, cmd: str, order: str, *parts) -> DataFrame:
+        items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.array(*parts).alias("p")))), lambda x: x["p"])  # the elements of one key
+        return rows.groupBy("key").agg(F.concat(F.array(F.col("key").cast("binary")), F.flatten(items)).alias("args")).select("key", F.lit(cmd).alias("cmd"), "args")
+
+    from keyfold.functions.numbers import format_score
+
+    parts = [
+        space.strings.select("key", F.lit("SET").alias("cmd"), F.array(text("key"), text("value")).alias("args")),
+        gathered(space.hashes, "HSET", "field", text("field"), text("value")),
+        gathered(space.lists, "RPUSH", "pos", text("value")),
+        gathered(space.sets, "SADD", "member", text("member")),
+        gathered(space.zsets, "ZADD", "member", format_score(F.col("score")).cast("binary"), text("member")),
+        space.documents.select("key", F.lit("JSET").alias("cmd"), F.array(text("key"), F.lit(b"$"), text("doc")).alias("args")),
+        space.limiters.select("key", F.lit("RLSET").alias("cmd"), F.array(text("key"), F.col("limit").cast("string").cast("binary"), F.expr("cast(cast(window_ms div 1000 as string) as binary)")).alias("args")),
+    ]
+    ends = state.where("expires_at_ms is not null").select("key", F.lit("PEXPIREAT").alias("cmd"), F.array(text("key"), F.col("expires_at_ms").cast("string").cast("binary")).alias("args"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("turn", F.lit(0)).unionByName(ends.withColumn("turn", F.lit(1)))
+    # Keys never meet, so an order within each key is an order of the log; places needn't follow one another.
+    place = F.xxhash64("key", "cmd").bitwiseAND(F.lit((1 << 61) - 1)) + F.col("turn") * F.lit(1 << 61)
+    return out.select(place.alias("seq"), F.lit(ts_ms).cast("long").alias("ts_ms"), "cmd", "args", F.lit(None).cast("long").alias("txn_id"))

@@ -12,10 +12,12 @@ from keyfold.functions.documents import read_path
 from keyfold.functions.glob import glob
 from keyfold.functions.numbers import format_score
 from keyfold.functions.ranges import next_cursor, page
-from keyfold.operators import hashes, keys, limiter, lists, messages, sets, strings, zsets
-from keyfold.plans.catalog import catalog
+from keyfold.operators import documents, hashes, keys, limiter, lists, messages, sets, strings, sync, zsets
+from keyfold.plans.catalog import COMMANDS, REPLAYABLE, catalog
+from keyfold.plans.checkpoints import shared_path
 from keyfold.plans.keyspace import Keyspace
-from keyfold.plans.replay import final_state, normalised, replies
+from keyfold.plans.replay import command_stats, final_state, normalised, rebuilt, replies
+from keyfold.sources import snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,11 +99,11 @@ def s_getrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "start", "end", F.col("part").cast("string").alias("part"))
 
 
-@query("""SELECT c_custkey // 10 AS pos, 'nation:' || (c_custkey % 40) AS key, n_name AS value
-FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 40 WHERE c_custkey % 10 = 0""")
+@query("""SELECT c_custkey AS pos, 'nation:' || (c_custkey % 40) AS key, n_name AS value
+FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 40""")
 def s_mget(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey")).alias("key"), F.col("n_name").alias("value"))
-    named = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.expr("c_custkey div 10").alias("pos"), F.concat(F.lit("nation:"), F.col("c_custkey") % 40).alias("key"))
+    named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("nation:"), F.col("c_custkey") % 40).alias("key"))
     return strings.get(stored, named)
 
 
@@ -165,9 +167,9 @@ def x_expire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.expire_at(log)
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT unnest([event_id, event_id, event_id + 1000000000]) AS id, event_id % 3 AS m FROM events) JOIN ({_X}) ON key = 'event:' || id WHERE m = 0 AND (exp IS NULL OR exp > {NOW_MS})")
+@query(f"SELECT count(*) AS n FROM (SELECT unnest([event_id, event_id, event_id + 1000000000]) AS id FROM events) JOIN ({_X}) ON key = 'event:' || id WHERE (exp IS NULL OR exp > {NOW_MS})")
 def k_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.explode(F.array(F.col("event_id"), F.col("event_id"), F.col("event_id") + 1_000_000_000)).alias("id"))
+    named = table(spark, sf_dir, "events").select(F.explode(F.array(F.col("event_id"), F.col("event_id"), F.col("event_id") + 1_000_000_000)).alias("id"))
     return keys.exists(_expiring(spark, sf_dir), named.select(F.concat(F.lit("event:"), F.col("id")).alias("key")), NOW_MS)
 
 
@@ -364,13 +366,28 @@ def t_sdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.difference(_supplier_parts(spark, sf_dir), ["1", "2", "3"])
 
 
-@query("""SELECT DISTINCT l_suppkey::VARCHAR AS key, l_partkey AS member FROM lineitem WHERE l_suppkey < 4 UNION ALL
-(SELECT '4', l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT '4', l_partkey FROM lineitem WHERE l_suppkey = 3)""")
+_STORED = """SELECT DISTINCT l_suppkey::VARCHAR AS key, l_partkey AS member FROM lineitem WHERE l_suppkey <> 4 UNION ALL
+(SELECT '4', l_partkey FROM lineitem WHERE l_suppkey = 1 {how} SELECT '4', l_partkey FROM lineitem WHERE l_suppkey = 3)"""
+
+
+@query(_STORED.format(how="INTERSECT"))
 def t_sinterstore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _supplier_parts(spark, sf_dir).where(F.col("key").cast("long") <= 4)  # the keyspace of the SQL
+    s = _supplier_parts(spark, sf_dir)
     return sets.store(s, "4", sets.intersection(s, ["1", "3"]))
 
 
+@query(_STORED.format(how="UNION"))
+def t_sunionstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _supplier_parts(spark, sf_dir)
+    return sets.store(s, "4", sets.union(s, ["1", "3"]))
+
+
+@query(_STORED.format(how="EXCEPT"))
+def t_sdiffstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _supplier_parts(spark, sf_dir)
+    return sets.store(s, "4", sets.difference(s, ["1", "3"]))
+
+
 @query("""SELECT DISTINCT key, member FROM (
   SELECT CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 'click' ELSE event_type END AS key, user_id AS member FROM events) WHERE NOT (key = 'signup' AND member % 3 = 0)""")
 def t_smove_srem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,12 +403,17 @@ def t_sscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.pages(_event_sets(spark, sf_dir), "member", 25)
 
 
-@query("""SELECT key, member, rank FROM (SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY (member * 7919 + 13) % 10007, member) AS rank FROM (SELECT DISTINCT event_type AS key, user_id AS member FROM events)) WHERE rank <= 10""")
+_DRAWN = "('0x' || substr(md5('1/' || {parts}), 1, 15))::BIGINT"
+
+
+@query(f"""SELECT key, member, rank FROM (SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY {_DRAWN.format(parts="key || '/' || member")}, member) AS rank FROM (SELECT DISTINCT event_type AS key, user_id AS member FROM events)) WHERE rank <= 10""")
 def t_spop_srand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.sample(_event_sets(spark, sf_dir), 10, seed=1, order="(member * 7919 + 13) % 10007")
+    return sets.sample(_event_sets(spark, sf_dir), 10, seed=1)
 
 
-@query()
+@query(f"""WITH s AS (SELECT DISTINCT event_type AS key, user_id AS member FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) - 1 AS rank FROM s),
+d AS (SELECT key, count(*) AS n, unnest(range(20))::INTEGER AS draw FROM s GROUP BY key)
+SELECT d.key, d.draw, r.member FROM d JOIN r ON r.key = d.key AND r.rank = {_DRAWN.format(parts="d.key || '/' || draw")} % n""")
 def t_srandmember_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.sample_with_repeats(_event_sets(spark, sf_dir), 20, seed=1)
 
@@ -431,9 +453,7 @@ def z_zcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.key, a.member, a.rank, b.rank AS revrank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank FROM ({_Z})) a JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS rank FROM ({_Z})) b ON a.key = b.key AND a.member = b.member")
 def z_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _segments(spark, sf_dir)
-    up = zsets.ranked(z)
-    return up.withColumn("revrank", F.count("*").over(Window.partitionBy("key")) - 1 - F.col("rank")).select("key", "member", "rank", "revrank")
+    return zsets.both_ranks(_segments(spark, sf_dir)).select("key", "member", "rank", "revrank")
 
 
 @query(f"SELECT n.key, n.member, z.score FROM (SELECT c_mktsegment AS key, lpad((c_custkey * 2)::VARCHAR, 8, '0') AS member FROM customer) n LEFT JOIN ({_Z}) z ON z.key = n.key AND z.member = n.member")
@@ -513,7 +533,21 @@ def j_jmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- limiter, messages, transactions
 
 
-@query()
+_STEP_MS = DAY_MS // 64
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts_ms, ts_ms - ts_ms % {_STEP_MS} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS r FROM ({_E})),
+w AS (
+  SELECT key, event_id, ts_ms, r, [{{'s': s, 'n': 1}}] AS b, 1::BIGINT AS allowed, 2::BIGINT AS remaining, 0::BIGINT AS retry_after_ms FROM e WHERE r = 1
+  UNION ALL
+  SELECT key, event_id, ts_ms, r,
+    CASE WHEN used >= 3 THEN live WHEN len(live) > 0 AND live[-1].s = s THEN list_append(live[:-2], {{'s': s, 'n': live[-1].n + 1}}) ELSE list_append(live, {{'s': s, 'n': 1}}) END,
+    CASE WHEN used >= 3 THEN 0 ELSE 1 END, CASE WHEN used >= 3 THEN 0 ELSE 2 - used END,
+    CASE WHEN used >= 3 THEN least(greatest(0, live[1].s + {_STEP_MS} + {DAY_MS} - ts_ms), {DAY_MS}) ELSE 0 END
+  FROM (SELECT *, coalesce(list_sum(list_transform(live, lambda x: x.n)), 0)::BIGINT AS used FROM (
+    SELECT e.*, list_filter(w.b, lambda x: x.s + {_STEP_MS} > greatest(0, e.ts_ms - {DAY_MS})) AS live FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1))
+)
+SELECT key, ts_ms, event_id, allowed, remaining, retry_after_ms FROM w""")
 def r_rlcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = limiter.checks(events(spark, sf_dir).select("key", "ts_ms", F.col("event_id").alias("seq")), limit=3, window_ms=DAY_MS)
     return out.withColumnRenamed("seq", "event_id")
@@ -693,6 +727,296 @@ def i_command_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.join(replies(log), "seq").groupBy("cmd").agg(F.count("*").alias("calls"), F.count("error").alias("errors"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(str((n, c["family"], c["first"], c["last"], c["step"], c["writes"], c["fold"], c["scope"], n in REPLAYABLE)) for n, c in COMMANDS.items()) + ") c(name, family, first_key, last_key, step, writes, fold, scope, replayable)")
 def i_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark)
+
+
+# ---- expiries set with a value, and more of the keyspace
+
+
+_OPT = f"""SELECT *, CASE event_type WHEN 'view' THEN 'EX' WHEN 'click' THEN 'PX' WHEN 'purchase' THEN 'EXAT' WHEN 'signup' THEN 'KEEPTTL' END AS opt,
+  CASE event_type WHEN 'view' THEN (k - 3) * 86400 WHEN 'click' THEN (k - 3) * 86400007 WHEN 'purchase' THEN ts_ms // 1000 + k * 3600 END AS amount FROM ({_E})"""
+
+
+@query(f"""SELECT key, value, CASE WHEN opt = 'KEEPTTL' AND last_ms >= kept.e THEN NULL ELSE kept.e END AS expires_at_ms FROM (
+  SELECT user_id AS key, arg_max(event_type, (us, event_id)) AS value, max(ts_ms) AS last_ms, arg_max({{'o': opt}}, (us, event_id)).o AS opt,
+    arg_max({{'e': CASE opt WHEN 'EX' THEN ts_ms + amount * 1000 WHEN 'PX' THEN ts_ms + amount WHEN 'EXAT' THEN amount * 1000 END}}, (us, event_id)) FILTER (WHERE opt IS NULL OR opt <> 'KEEPTTL') AS kept
+  FROM ({_OPT}) WHERE amount IS NULL OR amount > 0 GROUP BY user_id)""")
+def s_set_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET with EX, PX, EXAT, KEEPTTL or nothing; amounts of 0 and below are refused."""
+    kind, k = F.col("event_type"), F.col("k")
+    option = F.when(kind == "view", "EX").when(kind == "click", "PX").when(kind == "purchase", "EXAT").when(kind == "signup", "KEEPTTL")
+    amount = F.when(kind == "view", (k - 3) * 86_400).when(kind == "click", (k - 3) * 86_400_007).when(kind == "purchase", F.expr("ts_ms div 1000") + k * 3_600)
+    return strings.set_with_expiry(events(spark, sf_dir).select("key", "seq", "ts_ms", kind.alias("value"), option.alias("option"), amount.alias("amount")))
+
+
+@query(f"""SELECT user_id % 2 || ':' || user_id AS key, arg_max(event_type, (us, event_id)) AS value, max_by(ts_ms + k * CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 1 END, (us, event_id)) AS expires_at_ms FROM ({_E}) WHERE k > 0 GROUP BY user_id""")
+def s_setex_psetex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("key") % 2
+    log = events(spark, sf_dir).select(F.concat(even, F.lit(":"), F.col("key")).alias("key"), "seq", "ts_ms", F.col("event_type").alias("value"), F.when(even == 0, "EX").otherwise("PX").alias("option"), F.col("k").alias("amount"))
+    return strings.set_with_expiry(log)
+
+
+@query(f"SELECT user_id AS key, event_id, -sum(k) OVER (PARTITION BY user_id ORDER BY us, event_id)::BIGINT AS total FROM ({_E})")
+def s_decrby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings.increments(events(spark, sf_dir).select("key", "seq", "event_id", (-F.col("k")).alias("delta"))).select("key", "event_id", "total")
+
+
+@query(f"SELECT user_id AS key, arg_max({{'e': CASE WHEN event_type <> 'view' THEN ts_ms + k END}}, (us, event_id)).e AS expires_at_ms FROM ({_E}) GROUP BY user_id")
+def x_pexpireat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.when(F.col("event_type") == "view", "persist").otherwise("at_ms")
+    return keys.expire_at(events(spark, sf_dir).select("key", "seq", "ts_ms", unit.alias("unit"), (F.col("ts_ms") + F.col("k")).alias("amount")))
+
+
+@query(f"SELECT 'before' AS at, count(*) AS n FROM ({_X}) WHERE exp IS NULL OR exp > {NOW_MS} UNION ALL SELECT 'after', 0")
+def k_dbsize_flushdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _expiring(spark, sf_dir)
+    return keys.size(rows, NOW_MS).withColumn("at", F.lit("before")).unionByName(keys.size(keys.flush(rows), NOW_MS).withColumn("at", F.lit("after")))
+
+
+@query(f"""SELECT o_custkey AS key, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS pos, o_orderkey::VARCHAR AS value FROM orders
+UNION ALL SELECT user_id, (n + row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1)::BIGINT, event_type FROM ({_E}) JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = user_id""")
+def l_rpushx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = lists.indexed(_orders_list(spark, sf_dir)).select("key", F.col("index").alias("pos"), "value")
+    return lists.push_existing(there, events(spark, sf_dir).select("key", "seq", F.col("event_type").alias("value"), F.lit("right").alias("side")))
+
+
+@query(f"""WITH f AS (SELECT user_id, event_type, arg_max(k, (us, event_id)) AS k FROM ({_E}) GROUP BY ALL)
+SELECT user_id AS key, '{{"t":{{' || string_agg('"' || event_type || '":{{"k":' || k || '}}', ',' ORDER BY event_type) || '}}}}' AS doc, 0::BIGINT AS errors FROM f GROUP BY user_id""")
+def j_jset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values set at paths whose objects are made on the way."""
+    path = F.concat(F.lit("$.t."), F.col("event_type"), F.lit(".k"))
+    return documents.fold(events(spark, sf_dir).select("key", "seq", path.alias("path"), F.col("k").cast("string").alias("value")))
+
+
+@query(f"""WITH f AS (SELECT user_id, event_type, arg_max(k, (us, event_id)) AS k FROM ({_E}) GROUP BY ALL), l AS (SELECT user_id, arg_max(event_id, (us, event_id)) AS id FROM ({_E}) GROUP BY user_id)
+SELECT user_id AS key, '{{"a":{{' || coalesce(string_agg('"' || event_type || '":{{"k":' || k || '}}', ',' ORDER BY event_type) FILTER (WHERE k >= 10), '') || '}},"last":' || any_value(id) || '}}' AS doc, 0::BIGINT AS errors
+FROM f JOIN l USING (user_id) GROUP BY user_id""")
+def j_jmerge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested merge patches, in which null removes a field."""
+    inner = F.when(F.col("k") >= 10, F.concat(F.lit('{"k":'), F.col("k"), F.lit("}"))).otherwise("null")
+    patch = F.concat(F.lit('{"a":{"'), F.col("event_type"), F.lit('":'), inner, F.lit('},"last":'), F.col("event_id"), F.lit("}"))
+    return documents.fold(events(spark, sf_dir).select("key", "seq", F.lit(None).cast("string").alias("path"), patch.alias("value")))
+
+
+@query(f"""WITH c AS (SELECT user_id AS key, arg_max(k + 1, (us, event_id)) AS "limit", arg_max((k + 1) * 3600, (us, event_id)) * 1000 AS window_ms FROM ({_E}) GROUP BY user_id), m AS (SELECT user_id, max(ts_ms) AS t FROM ({_E}) GROUP BY user_id)
+SELECT key, "limit", window_ms, count(*) AS n FROM c JOIN m ON m.user_id = key JOIN ({_E}) e ON e.user_id = key AND e.ts_ms > t - window_ms GROUP BY ALL""")
+def r_rlset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last configuration of each limiter, and the attempts within its window."""
+    e = events(spark, sf_dir)
+    configs = limiter.upkeep(e.select("key", "seq", (F.col("k") + 1).alias("limit"), ((F.col("k") + 1) * 3_600).alias("window_s")))
+    return limiter.check_counts(configs, e.select("key", "ts_ms"))
+
+
+# ---- snapshots, tokens, notices
+
+
+@query(f"SELECT 'user:' || user_id AS key, 'string' AS kind, max(event_type) AS value, CASE WHEN user_id % 3 > 0 THEN {NOW_MS} + (user_id % 5 - 2) * {DAY_MS} END AS expires_at_ms, 77::BIGINT AS seq, {NOW_MS // 1000} AS saved_s FROM events WHERE user_id % 3 = 0 OR user_id % 5 > 2 GROUP BY user_id")
+def k_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAVE, LASTSAVE and loading: what had expired is in no snapshot."""
+    user = F.col("user_id")
+    expires = F.when(user % 3 > 0, F.lit(NOW_MS) + (user % 5 - 2) * DAY_MS)
+    state = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_type").alias("v")).select(F.concat(F.lit("user:"), user).alias("key"), F.lit("string").alias("kind"), F.col("v").cast("binary").alias("payload"), expires.cast("long").alias("expires_at_ms"))
+    path = shared_path(spark, "snapshot")
+    snapshot.save(state, path, 77, NOW_MS)
+    rows, seq = snapshot.load(spark, path, NOW_MS)
+    return rows.select("key", "kind", F.col("payload").cast("string").alias("value"), "expires_at_ms", F.lit(seq).cast("long").alias("seq"), F.lit(snapshot.last_save(spark, path)).cast("long").alias("saved_s"))
+
+
+GRANTS = [("a", "secret", "user:1*,user:2?", 200), ("b", "secret", "user:?", None), ("late", "secret", "*", 100), ("forged", "other", "*", None), ("none", "secret", "", None)]
+
+
+@query("SELECT client, 'user:' || user_id AS key FROM (SELECT DISTINCT user_id FROM events), (VALUES ('a', 'user:1%'), ('a', 'user:2_'), ('b', 'user:_')) g(client, p) WHERE 'user:' || user_id LIKE p GROUP BY ALL")
+def y_token_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clients see whose scopes come from signed tokens; forged, ended and empty ones grant nothing."""
+    scopes = []
+    for client, secret, names, end in GRANTS:
+        try:
+            scopes += [(client, p) for p in messages.verify_token("secret", messages.sign_token(secret, names.split(","), end), 150)]
+        except ValueError:
+            continue
+    names = table(spark, sf_dir, "events").select(F.concat(F.lit("user:"), F.col("user_id")).alias("key")).distinct()
+    return messages.visible(names, spark.createDataFrame(scopes, "client string, pattern string"))
+
+
+@query(f"SELECT DISTINCT 'change' AS kind, 99::BIGINT AS seq, pattern AS key, NULL::VARCHAR AS value FROM ({_S}) WHERE kind = 'pattern'")
+def q_flush_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.flush_notices(_subscriptions(spark).where("kind = 'pattern'").select("pattern").distinct(), 99)
+
+
+@query(f"""WITH w AS (SELECT event_id AS seq, 'user:' || user_id AS key FROM events), p(conn_id, kind, pattern) AS (VALUES (1, 'exact', 'user:7'), (1, 'pattern', 'user:?'), (2, 'pattern', 'user:1*'), (3, 'exact', 'nobody'))
+SELECT DISTINCT seq, key, conn_id FROM w JOIN p ON CASE WHEN kind = 'exact' THEN key = pattern ELSE {_GLOB.format(text="key", pattern="pattern")} END""")
+def n_watch_notify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writes = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"))
+    watchers = [(1, "exact", "user:7"), (1, "pattern", "user:?"), (2, "pattern", "user:1*"), (3, "exact", "nobody")]
+    return sync.notified(writes, spark.createDataFrame(watchers, "conn_id int, kind string, pattern string"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS conn, o_orderpriority AS pattern, o_orderkey AS seq, o_orderstatus = 'O' AS on_, o_orderstatus = 'P' AS all_ FROM orders),
+c AS (SELECT conn, max(seq) AS cleared FROM r WHERE all_ GROUP BY conn), l AS (SELECT conn, pattern, arg_max({'on': on_, 'seq': seq}, seq) AS x FROM r WHERE NOT all_ GROUP BY ALL)
+SELECT l.conn AS conn_id, pattern FROM l LEFT JOIN c ON c.conn = l.conn WHERE x.on AND (cleared IS NULL OR cleared < x.seq)""")
+def q_qunsub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live queries that are left: requests that start one, end one, or end all of a connection."""
+    o = table(spark, sf_dir, "orders")
+    pattern = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    return sync.subscribed(o.select(F.col("o_custkey").alias("conn_id"), pattern.alias("pattern"), (F.col("o_orderstatus") == "O").alias("on"), F.col("o_orderkey").alias("seq")))
+
+
+_WATCHED = """WITH t AS (SELECT o_orderkey AS txn_id, o_custkey AS key, o_orderkey AS watch_seq, o_orderkey + 200 AS exec_seq, o_orderstatus = 'P' AS discarded, o_orderpriority LIKE '1%' AS unwatched FROM orders)
+SELECT t.txn_id, t.exec_seq, t.discarded, NOT t.discarded AND (t.unwatched OR NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = t.key AND o.o_orderkey + 100 > t.watch_seq AND o.o_orderkey + 100 < t.exec_seq AND o.o_orderkey <> t.txn_id)) AS committed FROM t"""
+
+
+@query(_WATCHED)
+def w_discard_unwatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of which some are discarded and some give up their watches before EXEC."""
+    o = table(spark, sf_dir, "orders")
+    id_ = F.col("o_orderkey")
+    txns = o.select(id_.alias("txn_id"), (id_ + 200).alias("exec_seq"), (F.col("o_orderstatus") == "P").alias("discarded"))
+    watches = o.select(id_.alias("txn_id"), F.col("o_custkey").alias("key"), id_.alias("watch_seq"))
+    writes = o.select(F.col("o_custkey").alias("key"), (id_ + 100).alias("seq"), id_.alias("txn_id"))
+    ended = o.where("o_orderpriority LIKE '1%'").select(id_.alias("txn_id"), F.when(id_ % 2 == 0, F.col("o_custkey")).alias("key"), (id_ + 150).alias("seq"))
+    return messages.commits(txns, watches, writes, ended)
+
+
+# ---- replicas and clients
+
+
+def _typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of keys of five types: nations, customers, orders of customers, users of event types, segments."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey")).alias("key"), F.col("n_name").alias("value"))
+    prefixed = lambda df, p: df.withColumn("key", F.concat(F.lit(p), F.col("key")))
+    lists_ = prefixed(_orders_list(spark, sf_dir).select("key", "pos", "value"), "l:")
+    docs = table(spark, sf_dir, "events").select(F.concat(F.lit("e:"), F.col("event_id")).alias("key"), F.col("props").alias("doc"))
+    return sync.change_values(n, _customer_hash(spark, sf_dir), lists_, prefixed(_event_sets(spark, sf_dir), "s:"), prefixed(_segments(spark, sf_dir), "z:"), docs)
+
+
+_QUOTED = """'"' || {} || '"'"""
+_VALUES = f"""SELECT 'n:' || n_nationkey AS key, n_name AS payload FROM nation
+UNION ALL SELECT key, '["hash",' || string_agg('"' || field || '","' || value || '"', ',' ORDER BY field) || ']' FROM ({_H}) GROUP BY key
+UNION ALL SELECT 'l:' || key, '["list",' || string_agg('"' || value || '"', ',' ORDER BY i) || ']' FROM ({_L}) GROUP BY key
+UNION ALL SELECT 's:' || event_type, '["set",' || string_agg('"' || user_id || '"', ',' ORDER BY user_id) || ']' FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type
+UNION ALL SELECT 'z:' || key, '["zset",' || string_agg('"' || member || '","' || CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR ELSE score::DECIMAL(18, 2)::DOUBLE::VARCHAR END || '"', ',' ORDER BY score, member) || ']' FROM ({_Z}) GROUP BY key
+UNION ALL SELECT 'e:' || event_id, '["json","' || replace(props, '"', '\\"') || '"]' FROM events"""
+
+
+@query(_VALUES)
+def c_change_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed_values(spark, sf_dir)
+
+
+@query("""SELECT 'customer:' || c_custkey AS key, 'string' AS type, '' AS element, 'old' AS value FROM customer WHERE c_custkey > (SELECT max(c_custkey) / 2 FROM customer)
+UNION ALL SELECT 'customer:' || c_custkey, 'hash', unnest(['name', 'segment', 'nation']), unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) FROM customer WHERE c_custkey <= (SELECT max(c_custkey) / 2 FROM customer) AND c_custkey % 3 <> 0
+UNION ALL SELECT 'z:' || c_mktsegment, 'zset', lpad(c_custkey::VARCHAR, 8, '0'), CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::DECIMAL(18, 2)::DOUBLE::VARCHAR END FROM customer""")
+def c_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica that is pushed hashes for the first half of its keys, every third of them gone again, and sorted sets."""
+    c = table(spark, sf_dir, "customer")
+    key = F.concat(F.lit("customer:"), F.col("c_custkey")).alias("key")
+    half = c.agg((F.max("c_custkey") / 2).alias("half"))
+    first = c.crossJoin(F.broadcast(half)).where("c_custkey <= half")  # one row
+    named = first.select(F.col("c_custkey").alias("seq"), key).unionByName(c.select(F.lit(0).cast("long").alias("seq"), F.concat(F.lit("z:"), F.col("c_mktsegment")).alias("key")).distinct())
+    pushed = sync.changes(named, _typed_values(spark, sf_dir)).unionByName(first.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1_000_000_000).alias("seq"), key, F.lit(None).cast("string").alias("payload")))
+    return sync.elements(sync.apply_changes(c.select(key, F.lit("old").alias("payload")), pushed))
+
+
+@query("SELECT key, CASE WHEN type = 'string' THEN value ELSE type END AS value, CASE WHEN type = 'string' THEN value END AS matching FROM (SELECT 'n:' || n_nationkey AS key, 'string' AS type, n_name AS value FROM nation UNION ALL SELECT 'n:c' || c_custkey, 'hash', NULL FROM customer) ORDER BY key LIMIT 100")
+def q_state_and_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first state of a live query, at most 100 keys, next to what getMatching gives for these."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey")).alias("key"), F.lit("string").alias("type"), F.col("n_name").alias("value"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("n:c"), F.col("c_custkey")).alias("key"), F.lit("hash").alias("type"), F.lit(None).cast("string").alias("value"))
+    both = n.unionByName(c)
+    return sync.query_state(both, "n:*", 100).join(sync.get_matching(both, "n:*").select("key", F.col("value").alias("matching")), "key")
+
+
+_OUT = f"SELECT user_id AS client, event_id AS seq, k < 5 AS acked, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS number FROM ({_E})"
+
+
+@query(f"""WITH o AS ({_OUT}), p AS (SELECT *, count(CASE WHEN NOT acked THEN 1 END) OVER (PARTITION BY client ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM o)
+SELECT client, seq, number, {3 << 32} + number AS wire_id, 1000 + row_number() OVER (PARTITION BY client ORDER BY number DESC) - 1 AS new_number FROM p WHERE NOT acked AND later < 10""")
+def o_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client still has to send, at most ten writes, and its numbers in the next session."""
+    writes = events(spark, sf_dir).select(F.col("key").alias("client"), F.col("event_id").alias("seq"), (F.col("k") < 5).alias("acked"))
+    left = sync.outbox(writes, epoch=3, most=10).where("pending").select("client", "seq", "number", "wire_id")
+    return sync.restored(left, 1_000)
+
+
+@query(f"SELECT event_id, CASE WHEN event_type = 'view' THEN 'set' ELSE 'HSET' END AS cmd FROM events WHERE event_type IN ('view', 'purchase')")
+def o_replayable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    cmd = F.when(kind == "view", "set").when(kind == "purchase", "HSET").when(kind == "click", "APPEND").otherwise("CONFIG")
+    return sync.replayable(table(spark, sf_dir, "events").select("event_id", cmd.alias("cmd")))
+
+
+@query(f"SELECT k AS replica, max(event_id) AS acked, (SELECT max(event_id) FROM events) - max(event_id) AS lag FROM ({_E}) WHERE event_type = 'signup' GROUP BY k")
+def o_replica_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return sync.lag(e.select(F.col("event_id").alias("seq")), e.where("event_type = 'signup'").select(F.col("k").alias("replica"), F.col("event_id").alias("seq")))
+
+
+@query(f"SELECT user_id AS client, max(k) AS mark, max(ts_ms) AS last_ms FROM ({_E}) GROUP BY user_id HAVING max(ts_ms) > (SELECT max(ts_ms) FROM ({_E})) - {DAY_MS}")
+def d_idle_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of clients that wrote within a day; the sweep starts above ten clients here."""
+    e = events(spark, sf_dir)
+    now = e.agg(F.max("ts_ms")).first()[0]
+    return sync.swept_marks(e.groupBy(F.col("key").alias("client")).agg(F.max("k").alias("mark"), F.max("ts_ms").alias("last_ms")), now, most=10)
+
+
+# ---- a log of many families
+
+
+def _family_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commands for each event: one of moves, renames, expiring values and transactions, then a read or one that may be refused."""
+    e = events(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("seq")))
+    user, k, kind = F.col("key").cast("string"), F.col("k").cast("string"), F.col("event_type")
+    named = lambda p: F.concat(F.lit(p), user)
+    first = {
+        "view": ("PSETEX", [named("e:"), (F.col("k") * 3_600_000 + 1).cast("string"), F.col("event_id").cast("string")]),
+        "click": ("SADD", [named("s:"), F.concat(F.lit("m"), F.col("k") % 7)]),
+        "purchase": ("SMOVE", [named("s:"), named("t:"), F.concat(F.lit("m"), F.col("k") % 7)]),
+        "signup": ("RENAME", [named("a:"), named("b:")]),
+    }
+    cmd, args = F.lit("SET"), F.array(named("a:"), F.col("event_id").cast("string"))
+    for name, (c, parts) in first.items():
+        cmd, args = F.when(kind == name, c).otherwise(cmd), F.when(kind == name, F.array(*parts)).otherwise(args)
+    second = F.when(kind == "view", F.struct(F.lit("LPUSH").alias("cmd"), F.array(named("e:"), k).alias("args"))).otherwise(F.struct(F.lit("GET").alias("cmd"), F.array(named("a:")).alias("args")))
+    place = (F.col("n") * 1_000_000 + F.col("key")).cast("long") * 2
+    both = e.select(place.alias("place"), "ts_ms", F.explode(F.array(F.struct(F.lit(0).alias("turn"), cmd.alias("cmd"), args.alias("args")), F.struct(F.lit(1).alias("turn"), second["cmd"].alias("cmd"), second["args"].alias("args")))).alias("x"), F.when(kind == "signup", F.col("event_id")).alias("txn_id"))
+    return both.select((F.col("place") + F.col("x.turn")).alias("seq"), "ts_ms", "x.cmd", F.col("x.args").cast("array<binary>").alias("args"), "txn_id")
+
+
+_OPS = f"""e AS ({_E}), m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id, k % 7 ORDER BY us, event_id) AS before, lead(event_type) OVER (PARTITION BY user_id, k % 7 ORDER BY us, event_id) AS after FROM e WHERE event_type IN ('click', 'purchase')),
+a AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before, lag(event_id) OVER (PARTITION BY user_id ORDER BY us, event_id) AS old, lead(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS after FROM e WHERE event_type NOT IN ('view', 'click', 'purchase'))"""
+_FAMILIES = f"""WITH {_OPS}
+SELECT 'e:' || user_id AS key, '' AS element, id::VARCHAR AS value FROM (SELECT user_id, arg_max(event_id, (us, event_id)) AS id, arg_max(ts_ms + k * 3600000 + 1, (us, event_id)) AS x FROM e WHERE event_type = 'view' GROUP BY user_id) WHERE x > {NOW_MS}
+UNION ALL SELECT DISTINCT 's:' || user_id, 'm' || (k % 7), '' FROM m WHERE after IS NULL AND event_type = 'click'
+UNION ALL SELECT DISTINCT 't:' || user_id, 'm' || (k % 7), '' FROM m WHERE event_type = 'purchase' AND before = 'click'
+UNION ALL SELECT 'a:' || user_id, '', event_id::VARCHAR FROM a WHERE after IS NULL AND event_type <> 'signup'
+UNION ALL SELECT 'b:' || user_id, '', arg_max(old, (us, event_id))::VARCHAR FROM a WHERE event_type = 'signup' AND before <> 'signup' GROUP BY user_id"""
+
+
+@query(_FAMILIES)
+def a_replay_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after moves, renames, expiring values, refused commands and transactions."""
+    return _elements(Keyspace(final_state(_family_log(spark, sf_dir), NOW_MS), NOW_MS))
+
+
+@query(_FAMILIES)
+def a_families_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state out of the log of effects, in which relative times are absolute."""
+    return _elements(Keyspace(final_state(normalised(_family_log(spark, sf_dir)), NOW_MS), NOW_MS))
+
+
+@query(_FAMILIES)
+def a_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state out of a log that was rewritten from it."""
+    return _elements(Keyspace(final_state(rebuilt(final_state(_family_log(spark, sf_dir), NOW_MS)), NOW_MS), NOW_MS))
+
+
+@query(f"""WITH {_OPS}, u AS (SELECT *, last_value(CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id) AS named FROM e)
+SELECT 'LPUSH' AS cmd, count(*) AS calls, count(*) AS errors, 0::BIGINT AS hits, 0::BIGINT AS misses FROM u WHERE event_type = 'view'
+UNION ALL SELECT 'GET', count(*), 0, count(CASE WHEN named <> 'signup' THEN 1 END), count(CASE WHEN named IS NULL OR named = 'signup' THEN 1 END) FROM u WHERE event_type <> 'view'
+UNION ALL SELECT 'RENAME', count(*), count(CASE WHEN before IS NULL OR before = 'signup' THEN 1 END), 0, 0 FROM a WHERE event_type = 'signup'
+UNION ALL SELECT CASE event_type WHEN 'view' THEN 'PSETEX' WHEN 'click' THEN 'SADD' WHEN 'purchase' THEN 'SMOVE' ELSE 'SET' END, count(*), 0, 0, 0 FROM e WHERE event_type <> 'signup' GROUP BY 1""")
+def i_hits_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _family_log(spark, sf_dir)
+    return command_stats(log, replies(log))
