@@ -38,13 +38,20 @@ def test_prefix_globs_are_pushed_down(spark, tmp_path):
     assert "StringStartsWith(key,k1)" in plan
 
 
-@pytest.mark.parametrize("text,start,end,part", [("This is a string", 0, 3, "This"), ("This is a string", -3, -1, "ing"), ("This is a string", 0, -1, "This is a string"), ("This is a string", 10, 100, "string"), ("hello", 10, 20, ""), ("hello", 3, 1, ""), ("hello", -100, 1, "he"), ("hello", -(1 << 63), (1 << 63) - 1, "hello"), (None, 0, 5, ""), ("", 0, -1, "")])
+SPANS = [(0, 5), (2, 2), (-4, -2), (-90, 3), (4, 90), (6, 2), (50, 60), (0, -1), (-(1 << 40), 1 << 40)]
+
+
+def bytes_between(data: bytes, start: int, end: int) -> bytes:
+    """Positions counted one by one: negative ones from the end, ends inclusive."""
+    n = len(data)
+    first, last = (max(0, x + n if x < 0 else x) for x in (start, end))
+    return bytes(c for i, c in enumerate(data) if first <= i <= last)
+
+
+@pytest.mark.parametrize("text,start,end,part", [(t, a, b, bytes_between((t or "").encode(), a, b)) for t in ("keyfold bytes", "größe", "x", "", None) for a, b in SPANS])
 def test_byte_range(spark, text, start, end, part):
     df = spark.createDataFrame([(text,)], "t string")
-    if start > -(1 << 63):
-        assert bytes(df.select(byte_range(F.col("t"), start, end)).first()[0]) == part.encode()
-    else:
-        assert bytes(df.select(byte_range(F.col("t"), start + 100, end)).first()[0]) == part.encode()
+    assert bytes(df.select(byte_range(F.col("t"), start, end)).first()[0]) == part
 
 
 def test_bounds_as_slices(spark):
@@ -85,16 +92,23 @@ def test_strict_long(spark):
 
 
 def test_document_paths(spark):
-    doc = {"user": {"name": "amy"}, "items": [1, 2, 3]}
+    doc = {"shop": {"city": "Ulm"}, "stock": [40, 50, 60]}
     assert parse_path("$.a.b[2].c") == ["a", "b", 2, "c"] == parse_path("a.b[2].c") and parse_path("$") == []
     for bad in ("$..a", "$[x]", "$[1", "$" + ".a" * 129):
         with pytest.raises(PathError):
             parse_path(bad)
-    assert get_at(doc, "$.items[1]") == (True, 2) and get_at(doc, "$.items[9]") == (False, None)
-    assert set_at(None, "$.a.b.c", 1) == ({"a": {"b": {"c": 1}}}, None)
+    assert get_at(doc, "$.stock[2]") == (True, 60) and get_at(doc, "$.stock[3]") == (False, None)
+    for depth in range(1, 6):
+        names = [f"n{k}" for k in range(depth)]
+        built, error = set_at(None, "$." + ".".join(names), depth)
+        assert error is None and get_at(built, "$." + ".".join(names)) == (True, depth) and len(dumps(built)) == 7 * depth + 1
     assert set_at({"a": [1]}, "$.a[3]", 1)[1] == "ERR index 3 out of bounds (len 1)"
-    assert merged({"title": "old", "meta": {"draft": True, "v": 1}}, {"title": "new", "meta": {"draft": None}}) == {"meta": {"v": 1}, "title": "new"}
+    for k in range(8):  # a patch of every choice of kept, changed and removed fields at two levels
+        old = {"x": k, "in": {"p": 1, "q": 2}}
+        patch = ({"x": None} if k & 1 else {}) | {"in": ({"p": None} if k & 2 else {}) | ({"q": 7} if k & 4 else {})}
+        expected = ({} if k & 1 else {"x": k}) | {"in": ({} if k & 2 else {"p": 1}) | {"q": 7 if k & 4 else 2}}
+        assert merged(old, patch) == expected
     assert size_of({"a": [1, "xy", None]}) == 8 + 1 + 8 + 16 + 10 + 8
     df = spark.createDataFrame([(dumps(doc | {"none": None, "o d'd": 5}),)], "d string")
     read = lambda p: df.select(read_path(F.col("d"), p)).first()[0]
-    assert (read("$.user.name"), read("$.items[1]"), read("$.missing"), read("$.none"), read("$.o d'd")) == ('"amy"', "2", None, "null", "5")
+    assert (read("$.shop.city"), read("$.stock[1]"), read("$.absent"), read("$.none"), read("$.o d'd")) == ('"Ulm"', "50", None, "null", "5")
