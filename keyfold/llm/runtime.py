@@ -81,11 +81,16 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """rows with the columns of the table's row of the same keys, null where there is none; null is a key like any other.
 
-    table: keys, each once; `__n`, about how many rows have them; and the columns to be added. Hot keys
-    are fewer than HOT_KEYS by their definition and are broadcast; their rows go on with `spread` in
-    place of their key, so no task gets more than a small share of all rows, however they are spread.
+    table: keys, each once; `__n`, about how many rows have them; and the columns to be added. A table of
+    at most BROADCAST_ROWS rows is broadcast, and nothing is shuffled. Of a larger one hot keys, which are
+    fewer than HOT_KEYS by their definition, are broadcast; their rows go on with `spread` in place of
+    their key, so no task gets more than a small share of all rows, however they are spread.
     """
     values = [c for c in table.columns if c not in keys and c != "__n"]
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        small = F.broadcast(table.select(*(F.col(c).alias(f"__h{c}") for c in keys), F.struct(*values).alias("__hv")))
+        met = rows.join(small, [rows[k].eqNullSafe(small[f"__h{k}"]) for k in keys], "left")
+        return met.select(*rows.columns, *(F.col("__hv")[v].alias(v) for v in values))
     total = table.agg(F.sum("__n")).first()[0] or 0
     renamed = lambda t, mark: t.select(*(F.col(c).alias(f"{mark}{c}") for c in keys), F.struct(*values).alias(f"{mark}v"))
     hot = F.broadcast(renamed(table.where(F.col("__n") * HOT_KEYS > total), "__h"))  # fewer than HOT_KEYS rows
