@@ -310,12 +310,16 @@ def _nodes(units: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     return units.select(rows.alias("x"), *units.columns).select("x.*", *units.columns)
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """nodes with part and side: a node of more than GROUP rows is dealt to salts, and every two salts make a part. Side 0 meets all of its part, 1 and 2 each other."""
-    salts = nodes.groupBy("node", "pattern").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("node", "pattern", F.ceil(F.col("c") / GROUP).cast("int").alias("salts"))
-    met = nodes.join(salts, ["node", "pattern"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("unit", F.lit(3)), F.col("salts")).cast("int")
-    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+def _dealt(nodes: DataFrame, pairs: bool) -> DataFrame:
+    """nodes with part and side. A node of more than GROUP rows is dealt to salts, each a part of its own, and with `pairs` every two salts make one more; one whose units all have one root has nothing left to find and goes. Side 0 meets all of its part, 1 and 2 each other."""
+    one = F.lit(0).cast("long").alias("part"), F.lit(0).alias("side")
+    size = nodes.groupBy("node", "pattern").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("c") > GROUP)
+    large = cut_small(size.select("node", "pattern", F.when(F.col("a") == F.col("b"), 0).otherwise(F.ceil(F.col("c") / GROUP)).cast("int").alias("salts")))
+    if not large.limit(1).count():
+        return nodes.select(*nodes.columns, *one)
+    met = nodes.join(broadcast_if_small(large), ["node", "pattern"], "left").where("salts is null or salts > 0").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("unit", F.lit(3)), F.col("salts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if pairs else F.col("mine"))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     part = F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")
     return met.withColumns({"part": part, "side": side}).drop("salts", "mine", "other")
@@ -428,10 +432,7 @@ def similar_groups(docs: DataFrame, shingle: int, text: str, keep: list[str], ta
     while True:
         rooted = units.withColumn("root", F.col("unit")) if roots is None else looked_up(units, roots.withColumnRenamed("node", "unit").withColumn("__n", F.lit(1)), ["unit"], F.xxhash64("n")).withColumn("root", F.coalesce("root", "unit"))
         nodes = _nodes(rooted, masks)
-        if roots is not None:  # nodes of one group have nothing left to find
-            several = nodes.groupBy("node", "pattern").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("node", "pattern")
-            nodes = nodes.join(several, ["node", "pattern"], "left_semi")
-        found = written(_met(_dealt(nodes), step))
+        found = written(_met(_dealt(nodes, step is not None), step))
         pairs = found.where("not more").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
