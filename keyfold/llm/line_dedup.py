@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import apart, bounded_batches, cut_small, written
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
@@ -85,7 +85,7 @@ class LineSets:
     """The word sets of a block's judged lines, at most _LINES of them: words of line k are at[k]:at[k + 1], in order of (class, token, word)."""
 
     def __init__(self, block: TextBlock, first: np.ndarray, last: np.ndarray, classes: np.ndarray | None):
-        words, others = block.word_hashes(), block.word_hashes(1)
+        words, others = block.word_hashes(), block.other_hashes()
         count = last - first
         line = np.repeat(np.arange(len(first), dtype=np.uint64), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
@@ -111,10 +111,9 @@ class LineSets:
         self.fresh = np.concatenate([[True], key[1:] != key[:-1]])
         self.n = np.bincount((key >> np.uint64(46)).astype(np.int64), minlength=len(first))
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        spread, size = mix(sorted_word[new] + np.uint64(1)), self.n.astype(np.uint64)
-        self.key = mix(np.add.reduceat(spread, self.at[:-1]) * np.uint64(0x9E3779B97F4A7C15) + size).view(np.int64)
-        self.check = mix(np.add.reduceat(mix(others[self.place] + np.uint64(1)), self.at[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + size).view(np.int64)
-        self.spread = spread
+        self.spread, size = sorted_word[new], self.n.astype(np.uint64)
+        self.key = mix(np.add.reduceat(self.spread, self.at[:-1]) * np.uint64(0x9E3779B97F4A7C15) + size).view(np.int64)
+        self.check = mix(np.add.reduceat(others[self.place], self.at[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + size).view(np.int64)
 
     def parity(self) -> list[np.ndarray]:
         """128 bits of each set: those that an odd number of its words have, as two halves."""
@@ -171,8 +170,7 @@ def rarity_table(docs: DataFrame, tables: Tables, text: str = "text") -> np.ndar
         held = np.zeros(tables.cells, np.uint32)
         for batch in batches:
             for _, _, block in blocks(batch.column(2)):
-                cells, n = np.unique((block.word_hashes() >> _SHORT) & np.uint64(tables.cells - 1), return_counts=True)
-                held[cells.astype(np.int64)] += n.astype(np.uint32)
+                np.add.at(held, ((block.word_hashes() >> _SHORT) & np.uint64(tables.cells - 1)).astype(np.int64), np.uint32(1))
         for c, at, n in _sparse(held):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at], pa.binary()), pa.array([n], pa.binary())], names=["chunk", "places", "counts"])
 
@@ -245,8 +243,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: i
                     cells, n = np.unique(_cell(s.token[use], _bands(s.n[of]), tables.partner_bits), return_counts=True)
                     _set(twice, cells[(n > 1) | _has(once, cells)])
                     _set(once, cells)
-                    cells, n = np.unique(s.token[use] & np.uint64(tables.cells - 1), return_counts=True)
-                    entries[cells.astype(np.int64)] += n.astype(np.uint32)
+                    np.add.at(entries, (s.token[use] & np.uint64(tables.cells - 1)).astype(np.int64), np.uint32(1))
                     found = [s.key[first], s.check[first], d[first], number[first].astype(np.int32), h[first], np.zeros(len(first), np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)] + [pa.nulls(len(first), k) for k in kinds[6:]], names=names)
         for c in range(max(1, size // _CHUNK)):
@@ -370,7 +367,7 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
     their entries and, in `more`, the keys of these sets.
     """
     columns = [np.concatenate(c) for c in zip(*map(_unpacked, blobs))]
-    order = np.lexsort((columns[6], columns[5], columns[1], columns[0]))
+    order = np.lexsort((columns[5], columns[1], columns[0]))
     columns = [c[order] for c in columns]
     group, n, at, low, high, key, check, d, line = columns
     fresh = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
@@ -399,6 +396,7 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
         able = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least
         if sided:
             able &= (side[i] == 0) | (side[i] != side[j])
+        able &= (key[i] != key[j]) | (check[i] != check[j])
         able &= np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= n[i] + n[j] - 2 * least
         p, q = i[able], j[able]
         if len(p):
@@ -552,8 +550,8 @@ def _settled(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, tables: Tables, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:
-    """key, check: the sets that have an earlier similar set. entries: index_entries() of docs; first: key, check, d, h, line of the first line of each set."""
-    found, done = written(_candidates(entries, take)), None
+    """key, check: the sets that have an earlier similar set. Rows that hold the entries of whole groups are checkpointed, not written as Parquet, which is read by thousands of rows at once. entries: index_entries() of docs; first: key, check, d, h, line of the first line of each set."""
+    found, done = cut(_candidates(entries, take)), None
     while True:
         pairs = written(_without(found.where("x is not null").select("x", "x2", "y", "y2").distinct(), done))
         keys = written(pairs.select(F.explode(F.array(F.struct(F.col("x").alias("key"), F.col("x2").alias("check")), F.struct(F.col("y").alias("key"), F.col("y2").alias("check")))).alias("k")).select("k.*").distinct())
@@ -564,7 +562,7 @@ def similar_later(docs: DataFrame, entries: DataFrame, first: DataFrame, tables:
         if not left.limit(1).count():
             return done
         take *= 16
-        found = written(_more_candidates(groups.drop("more").join(left, "g"), take))
+        found = cut(_more_candidates(groups.drop("more").join(left, "g"), take))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", take: int = TAKE) -> DataFrame:

@@ -50,6 +50,7 @@ class TextBlock:
         self.ends = np.flatnonzero(last) + 1
         self.word_at = np.searchsorted(self.starts, offsets)
         self._eights: np.ndarray | None = None
+        self._words: np.ndarray | None = None
 
     @property
     def n_words(self) -> np.ndarray:
@@ -90,8 +91,18 @@ class TextBlock:
             x = np.add.reduceat(x, first)
         return mix(x + size.astype(np.uint64) * length)
 
-    def word_hashes(self, lane: int = 0) -> np.ndarray:
-        return self.hashes(self.starts, self.ends, lane)
+    def word_hashes(self) -> np.ndarray:
+        if self._words is None:
+            self._words = self.hashes(self.starts, self.ends)
+        return self._words
+
+    def other_hashes(self) -> np.ndarray:
+        """A second hash of every word. With word_hashes() it tells words of at most eight bytes apart without fail, and longer ones by 128 bits."""
+        size = self.ends - self.starts
+        out = mix(self.word_hashes() + size.astype(np.uint64) * _LANES[1][2])
+        long = np.flatnonzero(size > 8)
+        out[long] = self.hashes(self.starts[long], self.ends[long], 1)
+        return out
 
     def text_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
