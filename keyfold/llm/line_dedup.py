@@ -351,7 +351,7 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
                     low, high = s.parity()
                     held.append([group, s.n[of].astype(np.int64), 4 * (use - s.at[:-1][of]) + side, low[of], high[of], s.key[of], s.check[of], d[of], number[of].astype(np.int64)])
                     count += len(use)
-                    if count >= 250_000:
+                    if count >= 100_000:
                         yield from flush()
                         count = 0
         if count:

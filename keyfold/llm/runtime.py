@@ -16,7 +16,7 @@ BROADCAST_ROWS = 20_000
 #: A key with more than one row in this many is a hot one; there can be no more hot keys than this.
 HOT_KEYS = 10_000
 #: Bytes of one Arrow batch sent to a Python worker; a single longer text makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
