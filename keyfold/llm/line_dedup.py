@@ -288,6 +288,15 @@ def _salts(sets: DataFrame, tables: Tables) -> np.ndarray:
 _FIELDS = (("group", np.uint64), ("n", np.int64), ("at", np.int64), ("low", np.uint64), ("high", np.uint64), ("key", np.int64), ("check", np.int64), ("d", np.int64), ("line", np.int64))
 
 
+def _squeezed(blob: bytes) -> bytes:
+    """A packed group, compressed: checkpoints are not."""
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _loose(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _dealt(token: np.ndarray, key: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, group, side): the groups that each entry goes to. Side 0 meets all of its group, 1 and 2 each other."""
     many = np.flatnonzero(salts > 1)
@@ -415,7 +424,7 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
         new = np.append(True, np.any([c[1:] != c[:-1] for c in both], axis=0))
         both = [c[new] for c in both]
     found = np.unique(group[over])
-    groups = [(_packed([c[a:b] for c in columns]), key[a:b][over[a:b]].tolist()) for a, b in zip(np.searchsorted(group, found), np.searchsorted(group, found, side="right"))]
+    groups = [(_squeezed(_packed([c[a:b] for c in columns])), key[a:b][over[a:b]].tolist()) for a, b in zip(np.searchsorted(group, found), np.searchsorted(group, found, side="right"))]
     blank = [None] * len(both[0])
     padded = [pa.array(np.append(c, np.zeros(len(groups), np.int64)), mask=np.arange(len(c) + len(groups)) >= len(c)) for c in both]
     return pa.RecordBatch.from_arrays([*padded, pa.array(blank + [g for g, _ in groups], pa.binary()), pa.array(blank + [k for _, k in groups], pa.list_(pa.int64()))], names=["x", "x2", "y", "y2", "entries", "more"])
@@ -449,7 +458,7 @@ def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _pairs([blob], keys, take)
+                yield _pairs([_loose(blob)], keys, take)
 
     return groups.select("entries", "more").mapInArrow(scan, _FOUND)
 
