@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from test_operators import slow_components, slow_fingerprint, slow_lines, slow_rules, words_of
+from test_operators import connected, slow_components, slow_fingerprint, slow_lines, slow_rules, slow_similar, words_of
 
 import corpus_pipeline
 from keyfold.llm import mixing, queries
@@ -83,12 +83,9 @@ def test_pipeline_against_plain_python(spark, folder):
     path, rows = folder
     rows = [x for x, (_, _, kept) in zip(rows, slow_rules(rows_of(rows))) if kept]
     rows = [(d, t, lang, s) for (d, _, lang, s, _), t in zip(rows, slow_lines([x[:4] for x in rows])) if words_of(t)]
-    codes = sorted({slow_fingerprint(t, 5) for _, t, *_ in rows})
-    label = dict(zip(codes, slow_components(codes, 3)))
-    first = {}
-    for x in sorted(rows):
-        first.setdefault(label[slow_fingerprint(x[1], 5)], x)
-    rows = list(first.values())
+    rows = sorted(rows)
+    label = connected(len(rows), slow_similar([t for _, t, *_ in rows]))
+    rows = [x for k, x in enumerate(rows) if label[k] == k]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     expected = Counter((d, lang, s, len(t), tuple(library.encode(t))) for d, lang, s, t in mixed(rows, corpus_pipeline.MIX_BLOCK_WORDS))
     got = corpus_pipeline.run(spark, path)
