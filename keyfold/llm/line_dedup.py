@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, written
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, released, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
@@ -158,7 +158,7 @@ def _summed(parts: DataFrame, cells: int, made, kind: type) -> np.ndarray:
 
     n = min(max(1, cells // _CHUNK), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(cells, kind)
-    for r in parts.repartition(n, "chunk").mapInArrow(add, "chunk int, made binary").toLocalIterator():  # one small number a cell
+    for r in parts.repartition(n, "chunk").mapInArrow(released(add), "chunk int, made binary").toLocalIterator():  # one small number a cell
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["made"], kind)
     return out
 
@@ -174,7 +174,7 @@ def rarity_table(docs: DataFrame, tables: Tables, text: str = "text") -> np.ndar
         for c, at, n in _sparse(held):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at], pa.binary()), pa.array([n], pa.binary())], names=["chunk", "places", "counts"])
 
-    return _summed(_keyed(docs, text).mapInArrow(count, "chunk int, places binary, counts binary"), tables.cells, _classes, np.uint8)
+    return _summed(_keyed(docs, text).mapInArrow(released(count), "chunk int, places binary, counts binary"), tables.cells, _classes, np.uint8)
 
 
 def _bands(n: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: i
         for c, at, n in _sparse(entries):
             yield side(2, c, at, n)
 
-    return _keyed(docs, text).mapInArrow(scan, _SETS)
+    return _keyed(docs, text).mapInArrow(released(scan), _SETS)
 
 
 def _partners(sets: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +273,7 @@ def _partners(sets: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     size = tables.partner_bits // 8
     n = min(max(1, size // _CHUNK), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros((2, max(size, _CHUNK)), np.uint8)
-    for r in sets.where("kind = 1").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(add, "chunk int, once binary, twice binary").toLocalIterator():  # 2 * partner_bits bits in all
+    for r in sets.where("kind = 1").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(released(add), "chunk int, once binary, twice binary").toLocalIterator():  # 2 * partner_bits bits in all
         out[:, r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["once"], np.uint8), np.frombuffer(r["twice"], np.uint8)
     return out[0], out[1]
 
@@ -366,7 +366,7 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
         if count:
             yield from flush()
 
-    return _keyed(docs, text).mapInArrow(scan, "bucket int, entries binary")
+    return _keyed(docs, text).mapInArrow(released(scan), "bucket int, entries binary")
 
 
 def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBatch:
@@ -449,7 +449,7 @@ def _candidates(entries: DataFrame, take: int) -> DataFrame:
             yield _pairs(blobs, None, take)
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, _FOUND)
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(scan), _FOUND)
 
 
 def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
@@ -460,7 +460,7 @@ def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
             for blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
                 yield _pairs([_loose(blob)], keys, take)
 
-    return groups.select("entries", "more").mapInArrow(scan, _FOUND)
+    return groups.select("entries", "more").mapInArrow(released(scan), _FOUND)
 
 
 def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
@@ -499,7 +499,7 @@ def _whole_sets(docs: DataFrame, keys: DataFrame, first: DataFrame, tables: Tabl
                     wide = np.stack(wide).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(s.key[hit]), pa.array(s.check[hit]), pa.array(s.n[hit].astype(np.int32)), *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(raw, pa.binary())], names=["key", "check", "n", "w0", "w1", "w2", "w3", "words"])
 
-    found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(scan, "key long, check long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
+    found = _keyed(docs, text).select(home.alias("home"), "t").mapInArrow(released(scan), "key long, check long, n int, w0 long, w1 long, w2 long, w3 long, words binary")
     return found.join(keys, ["key", "check"], "left_semi").dropDuplicates(["key", "check"])
 
 
@@ -516,7 +516,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["key", "check"])
 
-    return pairs.select("y", "y2", "a", "b").mapInArrow(scan, "key long, check long")
+    return pairs.select("y", "y2", "a", "b").mapInArrow(released(scan), "key long, check long")
 
 
 def _xxhash64_long(x: np.ndarray) -> np.ndarray:
@@ -625,4 +625,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
             columns[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
 
-    return met.mapInArrow(rewrite, schema).toDF(*apart(("n_lines", "n_removed"), names), "n_lines", "n_removed")
+    return met.mapInArrow(released(rewrite), schema).toDF(*apart(("n_lines", "n_removed"), names), "n_lines", "n_removed")

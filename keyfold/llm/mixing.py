@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import bounded_batches, looked_up, written
+from keyfold.llm.runtime import bounded_batches, looked_up, released, written
 from keyfold.llm.textblocks import blocks, mix
 
 WEIGHTS = (1, 2, 3)
@@ -178,7 +178,7 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
             sizes = [b.n_words for _, _, b in blocks(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64))], names=["doc_id", "source", "row_hash", "size"])
 
-    return picked.mapInArrow(scan, schema)
+    return picked.mapInArrow(released(scan), schema)
 
 
 class Mix:
@@ -233,7 +233,7 @@ class Mix:
                     yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "source_no", "pass", "block"])
 
         n = -(-int(totals.sum()) // size)
-        return self.spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(draw, "shard long, slot long, source_no int, pass int, block long")
+        return self.spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(released(draw), "shard long, slot long, source_no int, pass int, block long")
 
     def pieces(self) -> DataFrame:
         """shard, slot, source_no, pass, block, and of each document in the block: offset, doc_id, row_hash, first_word and n_words."""
@@ -311,4 +311,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 columns[k] = pc.utf8_length(columns[text_at]).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return met.mapInArrow(write, schema).toDF(*names)
+    return met.mapInArrow(released(write), schema).toDF(*names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyfold.llm.runtime import apart, bounded_batches, numbered
+from keyfold.llm.runtime import apart, bounded_batches, numbered, released
 
 SPACE = "\u2581"
 #: Entries of each table of known parts and pairs; a full one is emptied.
@@ -286,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
                 columns.append(pa.array([m.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return numbered(docs, [*keep, text]).mapInArrow(encode, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(released(encode), schema)
 
 
 def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -301,4 +301,4 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: list[s
             texts = [m.decode(np.array(x.as_py() or [], np.int64)) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return numbered(coded, [*keep, ids]).mapInArrow(decode, schema)
+    return numbered(coded, [*keep, ids]).mapInArrow(released(decode), schema)

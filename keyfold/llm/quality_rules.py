@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, looked_up, numbered
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, looked_up, numbered, released
 from keyfold.llm.textblocks import TextBlock, blocks
 
 MIN_WORDS = 20
@@ -89,7 +89,7 @@ def with_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             found = [pa.array(np.concatenate([p[f] for p in parts]) if parts else np.zeros(0, np.int64)) for f in FEATURES]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
 
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(released(scan), schema)
 
 
 def base_failed() -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """scan, after which its Python worker gives memory that it no longer uses back to the system: idle workers wait for the next task and would keep it from the others of their executor."""
+
+    @wraps(scan)
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Makes checkpoint() write to the folder named by spark.checkpoint.dir; only where none is named, as in tests, to a new local one."""
     context = spark.sparkContext._jsc.sc()

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyfold.llm.graph import components
-from keyfold.llm.runtime import apart, bounded_batches, broadcast_if_small, cut_small, looked_up, numbered, whole_groups, written
+from keyfold.llm.runtime import apart, bounded_batches, broadcast_if_small, cut_small, looked_up, numbered, released, whole_groups, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 SEED = 42
@@ -95,7 +95,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shin
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=schema.names)
 
-    return numbered(docs, [*keep, text]).mapInArrow(scan, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(released(scan), schema)
 
 
 def gray_rank(code: Column) -> Column:
@@ -179,7 +179,7 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = nodes.repartition(n, "node", "pattern").sortWithinPartitions("node", "pattern", gray_rank(F.col("fp")))
-    return ordered.mapInArrow(scan, "a long, b long").distinct()
+    return ordered.mapInArrow(released(scan), "a long, b long").distinct()
 
 
 def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
@@ -292,7 +292,7 @@ def with_sketches(docs: DataFrame, keep: list[str], text: str, shingle: int) ->
             wide = np.concatenate(fps).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(wide[:, k].copy()) for k in range(4)), pa.array(units, pa.binary()), pa.array(sizes, pa.int64())], names=schema.names)
 
-    return numbered(docs, [*keep, text]).mapInArrow(scan, schema)
+    return numbered(docs, [*keep, text]).mapInArrow(released(scan), schema)
 
 
 def drawn_masks(n: int) -> list[tuple[int, ...]]:
@@ -370,7 +370,7 @@ def _met(nodes: DataFrame, take: int | None) -> DataFrame:
 
     k = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = nodes.select("node", "pattern", "part", "side", "unit", "n", *_FP, F.xxhash64("root").alias("root"))
-    return columns.repartition(k, "node", "pattern", "part").sortWithinPartitions("node", "pattern", "part", "unit").mapInArrow(scan, "x binary, y binary, more boolean")
+    return columns.repartition(k, "node", "pattern", "part").sortWithinPartitions("node", "pattern", "part", "unit").mapInArrow(released(scan), "x binary, y binary, more boolean")
 
 
 def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -384,7 +384,7 @@ def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 raw += [np.unique(hashes[a:b]).tobytes() for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["unit", "shingles"])
 
-    return docs.select("unit", text).mapInArrow(scan, "unit binary, shingles binary").dropDuplicates(["unit"])
+    return docs.select("unit", text).mapInArrow(released(scan), "unit binary, shingles binary").dropDuplicates(["unit"])
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    return pairs.select("x", "y", "p", "q").mapInArrow(scan, "a binary, b binary")
+    return pairs.select("x", "y", "p", "q").mapInArrow(released(scan), "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, keep: list[str], text: str, shingle: int) -> DataFrame:
