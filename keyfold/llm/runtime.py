@@ -56,15 +56,15 @@ def shared_checkpoints(spark: SparkSession) -> None:
 def _tidy(spark: SparkSession) -> Iterator[None]:
     """Has Spark delete the shuffle files of the actions inside once each is done; later uses of the same plan would make them anew."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    if before is None:  # a version without it
-        yield
-        return
+    before = spark.conf.get(name, None)  # None: not set, whatever its default
     spark.conf.set(name, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
