@@ -27,7 +27,7 @@ from keyfold.llm.runtime import apart, bounded_batches, numbered, released
 
 SPACE = "\u2581"
 #: Entries of each table of known parts and pairs; a full one is emptied.
-KNOWN = 400_000
+KNOWN = 1 << 15
 #: Characters of a part up to which its encoding is kept.
 SHORT = 48
 #: Positions of a long part whose matches are held at once.
