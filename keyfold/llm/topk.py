@@ -1,7 +1,7 @@
 """Exact top-k by inner product with Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are cut into blocks of about BLOCK_ROWS rows, and every block is indexed once: for each
-dimension the rows in descending order of that component. A query reads all lists side by side (a list
+Candidates are cut into blocks of BLOCK_ROWS rows or, in large tables, more, and every block is indexed
+once for each run of queries: for each dimension the rows in descending order of that component. A query reads all lists side by side (a list
 from its other end where the query's component is negative), scores every row it meets for the first
 time by looking up its whole vector, and stops when the sum over dimensions of component times the last
 value read is below the k-th best score so far: no row not yet met can reach it. Equal bounds go on, as
@@ -9,8 +9,9 @@ such a row may win its tie. Depth doubles from round to round so that a round is
 A query first searches one block of the longest vectors; the k-th score found there goes with it to all
 others as a bound, so that a block without better rows is left early.
 
-Queries are a stated set and meet all candidates, block by block: the rows shuffled are queries times
-candidate blocks and candidates times query blocks, never a pair of rows.
+Queries are a stated set and meet all candidates, block by block: the rows shuffled are candidates and
+queries times candidate blocks, never a pair of rows. That product is many times the size that Spark
+expects of it, so these joins are merged by hint and never broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ from keyfold.llm.runtime import bounded_batches, written
 
 BLOCK_ROWS = 2_048
 QUERY_ROWS = 512
+#: Blocks grow, up to so many times these rows, where a table has more than MANY of them; then fewer copies of each query are shuffled.
+GROWTH = 8
+MANY = 64
+#: Components of one grown block.
+BLOCK_COMPONENTS = 1 << 20
 FIRST_DEPTH = 32
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -95,6 +101,12 @@ class BlockIndex:
             done, depth = depth, depth * 2
 
 
+def _rows_of_block(rows: int, least: int, dims: int) -> int:
+    """Rows of one block: `least`, and more in a table of more than MANY such blocks."""
+    most = min(GROWTH * least, BLOCK_COMPONENTS // max(dims, 1))
+    return max(least, min(most, rows // MANY))
+
+
 def _blocks(rows: DataFrame, block: Column, name: str, *more: str) -> DataFrame:
     """dims, block and the rows of each block: array<struct<id, v, more>>, in order of ids."""
     return rows.groupBy("dims", block.cast("int").alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("id", "v", *more))).alias(f"{name}_rows"))
@@ -140,16 +152,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str
     bounded_batches(vectors.sparkSession)
     clean = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and v is not null")
     clean = written(clean.withColumns({"dims": F.size("v"), "square": F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)}))
-    total, asked = clean.agg(F.count("*"), F.count_if("q")).first()
-    n, m = max(1, -(-total // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
+    total, asked, dims = clean.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max("dims"), F.lit(0))).first()
+    n, m = max(1, -(-total // _rows_of_block(total, BLOCK_ROWS, dims))), max(1, -(-asked // _rows_of_block(asked, QUERY_ROWS, dims)))
     index = _blocks(clean, F.pmod(F.xxhash64("id", "v"), F.lit(n)), "index")
     queries = written(clean.where("q").select("dims", "id", "v", F.lit(None).cast("long").alias("floor")))
     block_of = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(m))
     # The bound: the longest vectors of each length are one more block, searched first.
     longest = clean.withColumn("r", F.row_number().over(Window.partitionBy("dims").orderBy(F.col("square").desc(), "id"))).where(F.col("r") <= BLOCK_ROWS)
-    first = _blocks(longest, F.lit(0), "index").join(_blocks(queries, block_of, "query", "floor"), "dims")
+    first = _blocks(queries, block_of, "query", "floor").join(_blocks(longest, F.lit(0), "index").hint("merge"), "dims")
     floors = _first_k(_searched(first.repartition("dims", "query_block"), k), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     bounded = queries.drop("floor").join(floors, "id", "left")
     spread = _blocks(bounded, block_of, "query", "floor").withColumn("index_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    found = _searched(index.join(spread, ["dims", "index_block"]), k)
+    found = _searched(spread.join(index.hint("merge"), ["dims", "index_block"]), k)  # the right side, held for each key, is one row
     return _first_k(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,5 +1,6 @@
 """The corpus operators on small tables: brute force, round trips, and the odd cases that their docstrings define."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -246,6 +247,26 @@ def test_topk_of_very_long_vectors(spark):
     assert got == {(0, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
 
 
+def test_topk_broadcasts_no_copies_of_queries(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(5_000, 4)))], "vec_id long, embedding array<double>")
+    found = topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=1)
+    assert found.count() == 500
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate explode" in plan
+    for at in re.finditer("BroadcastExchange", plan):
+        depth = plan[plan.rfind("\n", 0, at.start()) + 1 : at.start()]
+        below = itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)")) > len(depth), plan[at.end() :].split("\n")[1:])
+        assert not any("Generate explode" in line for line in below)
+
+
+def test_topk_blocks_grow_with_the_table():
+    assert topk._rows_of_block(51_282, topk.BLOCK_ROWS, 64) == topk.BLOCK_ROWS
+    assert topk._rows_of_block(15_000_000, topk.BLOCK_ROWS, 64) == topk.GROWTH * topk.BLOCK_ROWS
+    assert topk._rows_of_block(15_000_000, topk.BLOCK_ROWS, 20_000) == topk.BLOCK_ROWS
+
+
 def test_topk_of_nothing(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0).count() == 0
 
