@@ -19,15 +19,16 @@ def format_score(score: Column) -> Column:
     sign = F.when(text.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_extract(text, r"([0-9]+)(?:\.([0-9]+))?(?:E(-?[0-9]+))?", 1)
     fraction = F.regexp_replace(F.regexp_extract(text, r"([0-9]+)(?:\.([0-9]+))?(?:E(-?[0-9]+))?", 2), r"0+$", "")
-    power = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)$", 1), F.lit("")), F.lit("0")).cast("int")  # try_cast() of an empty text raises and catches an error in each row
     digits = F.concat(mantissa, fraction)
     point = F.length(mantissa) + power  # digits before the point
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
     large = F.rpad(digits, point, "0")
     within = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
     plain = F.concat(sign, F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(within))
+    done = ~text.contains("E") & ~text.endswith("0")  # plain and shortest as it is, as most are: spared the patterns
     whole = (score == F.floor(score).cast("double")) & (F.abs(score) < 1e15)
-    return F.when(F.isnan(score), "NaN").when(score == math.inf, "inf").when(score == -math.inf, "-inf").when(whole, score.cast("long").cast("string")).otherwise(plain)
+    return F.when(F.isnan(score), "NaN").when(score == math.inf, "inf").when(score == -math.inf, "-inf").when(whole, score.cast("long").cast("string")).when(done, text).otherwise(plain)
 
 
 def score_between(score: Column, low: str, high: str) -> Column:

@@ -60,8 +60,9 @@ def elements(values: DataFrame) -> DataFrame:
     items = F.slice(F.col("p"), F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))
     pair = lambda a, b: F.struct(a.alias("element"), b.alias("value"))
     none = F.lit("")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(items) / 2).cast("int") - 1, F.lit(0))), lambda k: pair(F.get(items, 2 * k), F.get(items, 2 * k + 1)))
-    pairs = F.when(F.size(items) >= 2, pairs).otherwise(F.array().cast("array<struct<element:string,value:string>>"))
+    # One pass for each half: a lambda that took pair k out of items would make items anew for each k.
+    names, told = F.filter(items, lambda x, k: k % 2 == 0), F.filter(items, lambda x, k: k % 2 == 1)
+    pairs = F.zip_with(F.slice(names, F.lit(1), F.size(told)), told, pair)  # a name without value is left out
     rows = (
         F.when(F.col("type").isin("hash", "zset"), pairs)
         .when(F.col("type") == "list", F.transform(items, lambda x, k: pair(k.cast("string"), x)))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from keyfold.functions.documents import dumps, merged, set_at
 from keyfold.operators import documents, messages, strings, sync
@@ -27,6 +28,17 @@ def test_changes_round_trip(spark):
     assert got == [("h", "hash", "a", "1"), ("h", "hash", "b", "2"), ("l", "list", "0", "x"), ("l", "list", "1", "y"), ("s", "string", "", 'q"uo,te'), ("t", "set", "m", ""), ("z", "zset", "a", "1.5"), ("z", "zset", "b", "1")]
 
 
+def test_elements_of_large_and_odd_payloads(spark):
+    n = 100_000
+    rows = [("z", json.dumps(["zset", *(str(x) for k in range(n) for x in (f"m{k}", k))])), ("h", '["hash","a","1","b"]'), ("e", '["hash"]'), ("o", '["zset","a",null]'), ("x", '["hash","a"]')]
+    sync.elements(spark.createDataFrame(rows[1:], "key string, payload string")).collect()
+    start = time.monotonic()
+    got = sync.elements(spark.createDataFrame(rows, "key string, payload string")).collect()
+    assert time.monotonic() - start < 15  # minutes, where each pair is taken out of a new copy of all
+    assert sorted((x.element, x.value) for x in got if x.key == "z") == sorted((f"m{k}", str(k)) for k in range(n))
+    assert sorted((x.key, x.type, x.element, x.value) for x in got if x.key != "z") == [("h", "hash", "a", "1"), ("o", "zset", "a", None)]
+
+
 def test_expiring_writes_are_the_machines(spark):
     r = random.Random(3)
     rows = []
