@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import types as T
 from keyfold.llm.runtime import apart, bounded_batches, numbered, released
 
 SPACE = "\u2581"
-#: Entries of each table of known parts and pairs; a full one is emptied.
-KNOWN = 1 << 15
+#: Entries of the younger half of each table of known words and parts, and of known pairs, which are smaller and dearer to find anew.
+KNOWN = 1 << 16
+KNOWN_PAIRS = 1 << 18
 #: Characters of a part up to which its encoding is kept.
 SHORT = 48
 #: Positions of a long part whose matches are held at once.
@@ -62,6 +64,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class Memory(dict):
+    """A bounded table in two halves: when the younger one has `most` entries it becomes the older one, and entries asked for there become young again. One in steady use is never lost."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class PieceModel:
     """A BPE model file with byte fallback, an identity normaliser and a leading space added; other kinds are refused."""
 
@@ -95,14 +116,15 @@ class PieceModel:
             if len(p) == 1 or self.merged(p) == [i]:  # a piece that its own text doesn't merge to is never made
                 self._machine.add_word(p, (len(p), i))
         self._machine.make_automaton()
-        self._pairs: dict[int, bool] = {}
-        self._parts: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._pairs, self._parts, self._words = Memory(KNOWN_PAIRS), Memory(KNOWN), Memory(2 * KNOWN)
         #: Text of each id but bytes; the unknown piece has the model's own, " ⁇ " unless it says otherwise.
         surface = trainer.get(44, b" \xe2\x81\x87 ").decode()
         self._shown = ["" if k == CONTROL else surface if k == UNKNOWN else p.replace(SPACE, " ") for p, k in zip(self.pieces, kinds)]
         self._byte = np.zeros(len(self.pieces), bool)
         self._byte[self.bytes] = True
+        self._raw = [x.encode() for x in self._shown]
+        for i, b in self.byte_of.items():
+            self._raw[i] = bytes([b])
         self._control = np.array([k == CONTROL for k in kinds])
 
     def merged(self, text: str) -> list[int]:
@@ -119,18 +141,21 @@ class PieceModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self._pairs.get(a << 32 | b)
+        known = self._pairs[a << 32 | b]
         if known is None:
-            if len(self._pairs) >= KNOWN:
-                self._pairs.clear()
-            known = self._pairs[a << 32 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            known = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            self._pairs.keep(a << 32 | b, known)
         return known
 
     def _matches(self, text: str, first: int) -> list[list[tuple[int, int]]]:
         """(length, id) of the pieces that start at each of SPAN positions from `first`, shortest first."""
         count = min(SPAN, len(text) - first)
         out: list[list[tuple[int, int]]] = [[] for _ in range(count)]
-        part = text if first == 0 and len(text) <= SPAN else text[first : first + SPAN + self.longest - 1]
+        if first == 0 and len(text) <= SPAN:
+            for end, match in self._machine.iter(text):
+                out[end + 1 - match[0]].append(match)
+            return out
+        part = text[first : first + SPAN + self.longest - 1]
         for end, match in self._machine.iter(part):
             at = end + 1 - match[0]
             if at < count:
@@ -140,6 +165,21 @@ class PieceModel:
     def backtracked(self, text: str) -> list[int]:
         """Ids of a text of known characters."""
         n = len(text)
+        if n <= SHORT:  # the first way down, mostly the right one, without the books of the others
+            ids, at, pairs = [], 0, self._pairs
+            longest: list = [None] * n
+            for end, match in self._machine.iter(text):
+                longest[end + 1 - match[0]] = match  # of one start the longest comes last
+            while at < n:
+                length, i = longest[at]
+                if ids:
+                    ok = pairs[ids[-1] << 32 | i]
+                    if not (self.compatible(ids[-1], i) if ok is None else ok):
+                        break
+                ids.append(i)
+                at += length
+            else:
+                return ids
         spans = {0: self._matches(text, 0)}
         failed = bytearray((n >> 3) + 1)  # the bitfield
         ids: list[int] = []
@@ -177,14 +217,14 @@ class PieceModel:
 
     def part(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a text that no run of spaces divides."""
-        out = []
-        a = 0
         pairs, known = self.side_by_side, self._parts
-        for b in range(1, len(text) + 1):
-            if b < len(text) and text[b - 1 : b + 1] in pairs:
-                continue
-            piece, a = text[a:b], b
-            found = known.get(piece)
+        if len(text) > 1 and pairs.issuperset(map(add, text, text[1:])):  # most words: nothing to cut
+            return np.array(self.backtracked(text), np.int32).tobytes()
+        out = []
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in pairs]
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            piece = text[a:b]
+            found = known[piece]
             if found is None:
                 if len(piece) == 1:
                     i = self.ids.get(piece)
@@ -193,18 +233,14 @@ class PieceModel:
                     ids = self.backtracked(piece)
                 found = np.array(ids, np.int32).tobytes()
                 if len(piece) <= SHORT:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[piece] = found
+                    known.keep(piece, found)
             out.append(found)
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
         found = self.part(SPACE + word)
         if len(word) <= SHORT:
-            if len(self._words) >= KNOWN:
-                self._words.clear()
-            self._words[word] = found
+            self._words.keep(word, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -213,8 +249,8 @@ class PieceModel:
             return b""
         if text[0] == " " or "  " in text or SPACE in text:
             return b"".join(map(self.part, _RUNS.findall(SPACE + text.replace(" ", SPACE))))
-        get, new = self._words.get, self._word
-        return b"".join([get(w) or new(w) for w in text.split(" ")])
+        known, new = self._words, self._word
+        return b"".join([known[w] or new(w) for w in text.split(" ")])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the library decodes them: pieces with their spaces, runs of byte pieces as UTF-8, U+FFFD for each byte that is part of no character, less the space before the first piece that isn't a control piece."""
@@ -226,6 +262,10 @@ class PieceModel:
             head = ""
         if not self._byte[ids].any():
             return head + "".join([shown[i] for i in ids.tolist()])
+        try:  # pieces begin and end with a character, so if all bytes are UTF-8, each run of byte pieces is
+            return head + b"".join([self._raw[i] for i in ids.tolist()]).decode()
+        except UnicodeDecodeError:
+            pass
         out, run = [head], bytearray()
         for i in ids.tolist():
             b = self.byte_of.get(i)

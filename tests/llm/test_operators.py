@@ -842,3 +842,16 @@ def test_mixed_documents(spark, docs, rows, none):
     for x in plan.pieces().join(plan.layout.select("source_no", "offset", "source", "size"), ["source_no", "offset"]).where("size > 0").collect():
         counted[x.source] += x.n_words
     assert total == counted and got.columns == odd.columns and mixing.mixed_documents(none).count() == 0
+
+
+def test_pieces_of_words_in_use_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(piece_encode, "KNOWN", 4)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, library = piece_encode.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    made = Counter()
+    part = m.part
+    monkeypatch.setattr(m, "part", lambda text: made.update([text]) or part(text))
+    text = " ".join(f"often new{k}漢{k}" for k in range(200))
+    ids = np.frombuffer(m.encode(text), np.int32)
+    assert ids.tolist() == library.encode(text) and m.decode(ids) == library.decode(ids.tolist())
+    assert made[piece_encode.SPACE + "often"] == 1
