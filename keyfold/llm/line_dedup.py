@@ -22,17 +22,18 @@ and only sets without a match that had more candidates are searched again, with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, released, written
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, gathered, released, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
@@ -42,6 +43,8 @@ GROUP = 1 << 13
 _CHUNK = 1 << 16
 #: Candidates of a set in one group in the first search; each further search gives 16 times as many.
 TAKE = 16
+#: Pairs of entries that are compared at once.
+_PAIRS = 1 << 15
 #: Pairs of a set that are verified at first.
 FIRST_PAIRS = 4
 #: Documents for each bucket of the index of words.
@@ -88,8 +91,12 @@ class LineSets:
         words, others = block.word_hashes(), block.other_hashes()
         count = last - first
         line = np.repeat(np.arange(len(first), dtype=np.uint64), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        word = words[at]
+        if (first[1:] == last[:-1]).all():  # every word of the run
+            at = np.arange(first[0], last[-1])
+            word = words[first[0] : last[-1]]
+        else:
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+            word = words[at]
         token = word >> _SHORT
         key = line << np.uint64(46) | token
         if classes is not None:
@@ -158,7 +165,7 @@ def _summed(parts: DataFrame, cells: int, made, kind: type) -> np.ndarray:
 
     n = min(max(1, cells // _CHUNK), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(cells, kind)
-    for r in parts.repartition(n, "chunk").mapInArrow(released(add), "chunk int, made binary").toLocalIterator():  # one small number a cell
+    for r in gathered(parts.repartition(n, "chunk").mapInArrow(released(add), "chunk int, made binary"), out.nbytes):  # one small number a cell
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["made"], kind)
     return out
 
@@ -184,10 +191,12 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 def _prefix(s: LineSets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in s.token, set) of the prefix tokens of the chosen sets; words of count 1 meet no other set, and sets of under 4 words only equal ones, which share a key."""
-    at = np.arange(len(s.token)) - np.repeat(s.at[:-1], s.n)
-    size = np.repeat(s.n, s.n)
-    use = np.flatnonzero((at <= size - -(-4 * size // 5)) & (size >= 4) & (s.rarity > 0) & s.fresh & np.repeat(chosen, s.n))
-    return use, np.repeat(np.arange(len(s.n)), s.n)[use]
+    sets = np.flatnonzero(chosen & (s.n >= 4))
+    length = s.n[sets] - -(-4 * s.n[sets] // 5) + 1
+    of = np.repeat(sets, length)
+    use = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + s.at[of]
+    some = (s.rarity[use] > 0) & s.fresh[use]
+    return use[some], of[some]
 
 
 def _cell(word: np.ndarray, band: np.ndarray, bits: int) -> np.ndarray:
@@ -216,21 +225,53 @@ def _distinct(s: LineSets, *order: np.ndarray) -> np.ndarray:
     return rows[np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])]
 
 
-_SETS = "key long, check long, d long, line int, h long, kind int, chunk int, once binary, twice binary"
+#: A line of a set: the set, and the document and line where it stands.
+_LINE_FIELDS = (("key", np.uint64), ("check", np.int64), ("d", np.int64), ("line", np.int64), ("h", np.int64))
 
 
-def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """Rows of three kinds. Kind 0: key, check, d, line, h, lines of each set, the earliest of each batch at least. Kind 1: chunk, once, twice, places in two bitmaps of the words and bands that one set, and that more than one, has in its prefix. Kind 2: chunk, once, twice, cells of such words and how many entries they have."""
+def _earliest(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of columns of _LINE_FIELDS the earliest line of each set, by key."""
+    order = np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    tied = np.append(False, columns[0][1:] == columns[0][:-1])
+    tied[:-1] |= tied[1:]
+    many = np.flatnonzero(tied)
+    if not len(many):
+        return columns
+    order = many[np.lexsort([c[many] for c in reversed(columns)])]
+    for c in columns:
+        c[many] = c[order]
+    key, check = columns[:2]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+    return [c[fresh] for c in columns]
+
+
+_SETS = "kind int, chunk int, once binary, twice binary, lines binary"
+
+
+def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, buckets: int, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """Rows of three kinds. Kind 0: lines of sets, the earliest of each run at least, packed by bucket (chunk) of the set. Kind 1: chunk, once, twice, places in two bitmaps of the words and bands that one set, and that more than one, has in its prefix. Kind 2: chunk, once, twice, cells of such words and how many entries they have."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # a byte a cell
     names = [c.split()[0] for c in _SETS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def side(kind: int, chunk: int, a: bytes, b: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), *(pa.array([x], k) for x, k in zip((kind, chunk, a, b), kinds[5:]))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((kind, chunk, a, b, None), kinds)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = tables.partner_bits // 8
         once, twice, entries = np.zeros(size, np.uint8), np.zeros(size, np.uint8), np.zeros(tables.cells, np.uint32)
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = _earliest([np.concatenate(c) for c in zip(*held)])
+            held.clear()
+            bucket = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            for at, blobs in _by_bucket(bucket, columns):
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(at), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=names)
+
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, _, block in blocks(batch.column(2)):
@@ -244,8 +285,13 @@ def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: i
                     _set(twice, cells[(n > 1) | _has(once, cells)])
                     _set(once, cells)
                     np.add.at(entries, (s.token[use] & np.uint64(tables.cells - 1)).astype(np.int64), np.uint32(1))
-                    found = [s.key[first], s.check[first], d[first], number[first].astype(np.int32), h[first], np.zeros(len(first), np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)] + [pa.nulls(len(first), k) for k in kinds[6:]], names=names)
+                    held.append([s.key[first].view(np.uint64), s.check[first], d[first], number[first].astype(np.int64), h[first]])
+                    count += len(first)
+                    if count >= 100_000:
+                        yield from flush()
+                        count = 0
+        if count:
+            yield from flush()
         for c in range(max(1, size // _CHUNK)):
             part = slice(c * _CHUNK, (c + 1) * _CHUNK)
             if once[part].any():
@@ -256,6 +302,18 @@ def line_sets(docs: DataFrame, classes: np.ndarray, tables: Tables, min_words: i
     return _keyed(docs, text).mapInArrow(released(scan), _SETS)
 
 
+def first_lines(sets: DataFrame) -> DataFrame:
+    """key, check, d, line, h: the earliest line of each set of line_sets()."""
+
+    def first(blobs: list[bytes]) -> pa.RecordBatch:
+        columns = _earliest([np.concatenate(c) for c in zip(*(_unpacked(b, _LINE_FIELDS) for b in blobs))])
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=[name for name, _ in _LINE_FIELDS])
+
+    packed = sets.where("kind = 0").select(F.col("chunk").alias("bucket"), F.col("lines").alias("blob"))
+    return _each_bucket(packed, first, "key long, check long, d long, line int, h long")
+
+
 def _partners(sets: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """The two bitmaps of line_sets(), over all of docs; 2 * partner_bits bits."""
 
@@ -273,7 +331,7 @@ def _partners(sets: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     size = tables.partner_bits // 8
     n = min(max(1, size // _CHUNK), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros((2, max(size, _CHUNK)), np.uint8)
-    for r in sets.where("kind = 1").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(released(add), "chunk int, once binary, twice binary").toLocalIterator():  # 2 * partner_bits bits in all
+    for r in gathered(sets.where("kind = 1").select("chunk", "once", "twice").repartition(n, "chunk").mapInArrow(released(add), "chunk int, once binary, twice binary"), out.nbytes):  # 2 * partner_bits bits in all
         out[:, r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["once"], np.uint8), np.frombuffer(r["twice"], np.uint8)
     return out[0], out[1]
 
@@ -316,9 +374,37 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     return b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
 
 
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    planes = np.frombuffer(blob, np.uint8).reshape(len(_FIELDS), 8, -1)
-    return [np.ascontiguousarray(planes[k].T).reshape(-1).view(kind) for k, (_, kind) in enumerate(_FIELDS)]
+def _unpacked(blob: bytes, fields: tuple = _FIELDS) -> list[np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(len(fields), 8, -1)
+    return [np.ascontiguousarray(planes[k].T).reshape(-1).view(kind) for k, (_, kind) in enumerate(fields)]
+
+
+def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of (buckets, packed columns of each); rows come by bucket."""
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+    starts = np.append(0, ends[:-1])
+    for k in range(0, len(starts), 1_000):
+        part = slice(k, k + 1_000)
+        yield bucket[starts[part]], [_packed([c[x:y] for c in columns]) for x, y in zip(starts[part], ends[part])]
+
+
+def _each_bucket(packed: DataFrame, made: Callable[[list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """made(blobs) of each bucket of packed (bucket, blob)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blobs = None, []
+        for batch in batches:
+            for b, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != bucket and blobs:
+                    yield made(blobs)
+                    blobs = []
+                bucket = b
+                blobs.append(blob)
+        if blobs:
+            yield made(blobs)
+
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(scan), schema)
 
 
 def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarray, np.ndarray], salts: np.ndarray, tables: Tables, buckets: int, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -335,12 +421,8 @@ def index_entries(docs: DataFrame, classes: np.ndarray, partners: tuple[np.ndarr
             held.clear()
             bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, columns = bucket[order], [c[order] for c in columns]
-            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
-            starts = np.append(0, ends[:-1])
-            for k in range(0, len(starts), 1_000):
-                blobs = [_packed([c[x:y] for c in columns]) for x, y in zip(starts[k : k + 1_000], ends[k : k + 1_000])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[k : k + 1_000]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+            for at, blobs in _by_bucket(bucket[order], [c[order] for c in columns]):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -394,25 +476,31 @@ def _pairs(blobs: list[bytes], keys: list[int] | None, take: int) -> pa.RecordBa
     probe = np.ones(len(key), bool) if keys is None else np.isin(key, np.array(keys, np.int64))
     given = np.zeros(len(group), np.int64)
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    i, step = np.arange(len(group)), 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(group)]
-        j = i + step
-        inside = (group[i] == group[j]) & (5 * n[i] >= 4 * n[j])  # sorted by size: once a set is too large, so are the next
-        i, j = i[inside], j[inside]
-        least = -(-4 * (n[i] + n[j]) // 9)
-        able = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least
+    # Sorted by group and size: the partners of each entry are the entries behind it, up to the first that is too large.
+    place = np.cumsum(np.append(0, group[1:] != group[:-1])) << 32
+    length = np.searchsorted(place | n, place | 5 * n // 4, side="right") - np.arange(1, len(group) + 1)
+    sums, a = np.cumsum(length), 0
+    while a < len(group):
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + _PAIRS, side="right")))
+        i = np.repeat(np.arange(a, b), length[a:b])
+        j = i + np.arange(1, len(i) + 1) - np.repeat(np.cumsum(length[a:b]) - length[a:b], length[a:b])
+        a = b
+        total = n[i] + n[j]
+        least = -(-4 * total // 9)
+        alike = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= total - 2 * least
+        i, j = i[alike], j[alike]
+        able = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least[alike]
         if sided:
             able &= (side[i] == 0) | (side[i] != side[j])
         able &= (key[i] != key[j]) | (check[i] != check[j])
-        able &= np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= n[i] + n[j] - 2 * least
         p, q = i[able], j[able]
-        if len(p):
-            later = (d[p] > d[q]) | (d[p] == d[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & ((key[p] > key[q]) | (key[p] == key[q]) & (check[p] > check[q])))
-            y, x = np.where(later, p, q), np.where(later, q, p)
-            y, x = y[probe[y]], x[probe[y]]
-            room = given[y] < take
+        later = (d[p] > d[q]) | (d[p] == d[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & ((key[p] > key[q]) | (key[p] == key[q]) & (check[p] > check[q])))
+        y, x = np.where(later, p, q), np.where(later, q, p)
+        y, x = y[probe[y]], x[probe[y]]
+        if len(y):
+            order = np.argsort(y, kind="stable")
+            y, x = y[order], x[order]
+            room = given[y] + np.arange(len(y)) - np.searchsorted(y, y) < take
             np.add.at(given, y, 1)
             xs.append(x[room])
             ys.append(y[room])
@@ -435,21 +523,7 @@ _FOUND = "x long, x2 long, y long, y2 long, entries binary, more array<long>"
 
 def _candidates(entries: DataFrame, take: int) -> DataFrame:
     """_pairs() of the whole index (bucket, entries)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
-        for batch in batches:
-            for b, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != bucket and blobs:
-                    yield _pairs(blobs, None, take)
-                    blobs = []
-                bucket = b
-                blobs.append(blob)
-        if blobs:
-            yield _pairs(blobs, None, take)
-
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(scan), _FOUND)
+    return _each_bucket(entries, lambda blobs: _pairs(blobs, None, take), _FOUND)
 
 
 def _more_candidates(groups: DataFrame, take: int) -> DataFrame:
@@ -468,7 +542,7 @@ def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
     at = F.pmod(F.xxhash64("key"), F.lit(bits))
     rows = keys.select((at + 1).alias("at")).groupBy((F.bitmap_bucket_number("at")).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(bits // 8 + (1 << 13), np.uint8)
-    for r in rows.toLocalIterator():  # `bits` bits in all
+    for r in gathered(rows, out.nbytes):  # `bits` bits in all
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -585,10 +659,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     """
     tables = Tables.of(n_docs := docs.count())
     classes = rarity_table(docs, tables, text)
-    sets = written(line_sets(docs, classes, tables, min_words, text))
+    buckets = max(1, n_docs // BUCKET_DOCS)
+    sets = written(line_sets(docs, classes, tables, buckets, min_words, text))
     partners, salts = _partners(sets, tables), _salts(sets, tables)
-    first = written(sets.where("kind = 0").groupBy("key", "check").agg(F.min(F.struct("d", "line", "h")).alias("f")).select("key", "check", "f.*"))
-    gone = similar_later(docs, index_entries(docs, classes, partners, salts, tables, max(1, n_docs // BUCKET_DOCS), min_words, text), first, tables, min_words, text, take)
+    first = written(first_lines(sets))
+    gone = similar_later(docs, index_entries(docs, classes, partners, salts, tables, buckets, min_words, text), first, tables, min_words, text, take)
     stay = first.join(gone, ["key", "check"], "left_anti").groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("line").alias("__stay"))  # lines of one document
     names = docs.columns
     inner = docs.toDF(*(f"c{k}" for k in range(len(names))))
@@ -600,29 +675,29 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stays = batch.column(text_at), batch.column(len(names))
-            valid = texts.is_valid().to_pylist()
-            out, n_lines, n_removed = [], [], []
-            for a, _, block in blocks(texts):
+            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            stay_at, stay = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(stays), 0).to_numpy())]), pc.list_flatten(stays).to_numpy()
+            out, n_lines, n_removed = [pa.array([], pa.large_string())], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for a, b, block in blocks(texts):
                 starts, ends, of = block.lines()
-                words = np.searchsorted(block.starts, ends) - np.searchsorted(block.starts, starts)
                 at = np.searchsorted(of, np.arange(block.n + 1))
-                for k in range(block.n):
-                    x, y = at[k], at[k + 1]
-                    if not valid[a + k]:
-                        out.append(None)
-                        n_lines.append(0)
-                        n_removed.append(0)
-                        continue
-                    keep = words[x:y] < max(1, min_words)
-                    keep[stays[a + k].as_py() or []] = True
-                    n_lines.append(int(y - x))
-                    n_removed.append(int((~keep).sum()))
-                    if n_removed[-1]:
-                        out.append(b"\n".join([block.data[s:e].tobytes() for s, e in zip(starts[x:y][keep], ends[x:y][keep])]).decode())
-                    else:
-                        out.append(block.data[block.offsets[k] : block.offsets[k + 1]].tobytes().decode())
+                keep = np.searchsorted(block.starts, ends) - np.searchsorted(block.starts, starts) < max(1, min_words)
+                mine = slice(stay_at[a], stay_at[b])
+                keep[stay[mine] + np.repeat(at[:-1], np.diff(stay_at[a : b + 1]))] = True
+                n_lines[a:b] = np.diff(at) * valid[a:b]
+                n_removed[a:b] = n_lines[a:b] - np.add.reduceat(keep, at[:-1], dtype=np.int64) * valid[a:b]
+                # What is kept of the bytes: lines, each but the last of its text with its break.
+                line = np.flatnonzero(keep)
+                ends[line[:-1]] += of[line[1:]] == of[line[:-1]]
+                edge = np.zeros(len(block.data) + 1, np.int8)
+                np.add.at(edge, starts[line], np.int8(1))
+                np.subtract.at(edge, ends[line], np.int8(1))
+                bytes_of = np.bincount(of[line], ends[line] - starts[line], block.n).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(bytes_of)])
+                data = block.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+                out.append(pa.LargeStringArray.from_buffers(block.n, pa.py_buffer(offsets), pa.py_buffer(data), pa.py_buffer(np.packbits(valid[a:b], bitorder="little"))))
             columns = list(batch.columns[: len(names)])
-            columns[text_at] = pa.array(out, pa.string())
+            columns[text_at] = pa.concat_arrays(out).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
 
     return met.mapInArrow(released(rewrite), schema).toDF(*apart(("n_lines", "n_removed"), names), "n_lines", "n_removed")

@@ -11,7 +11,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a small side table is broadcast; beyond it the join shuffles.
@@ -20,6 +20,8 @@ BROADCAST_ROWS = 20_000
 HOT_KEYS = 10_000
 #: Bytes of one Arrow batch sent to a Python worker; a single longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Bytes of a small table that the driver takes from the executors at once.
+GATHER_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -90,6 +92,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def gathered(rows: DataFrame, size: int) -> Iterator[Row]:
+    """The rows, of about `size` bytes in all, on the driver: one job makes them, and each further job fetches up to GATHER_BYTES, however many partitions the shuffles have."""
+    return rows.repartition(max(1, -(-size // GATHER_BYTES))).toLocalIterator()
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, which is counted; else df, and the join shuffles. df should be a cut() one."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

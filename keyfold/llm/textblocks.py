@@ -16,8 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd constants of two independent hashes: for the number, its place, and the length.
 _LANES = tuple(tuple(np.uint64(x) for x in row) for row in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -26,10 +24,11 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 class TextBlock:
@@ -37,7 +36,7 @@ class TextBlock:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        word = ~_SPACE[data]
+        word = (data != 0x20) & (data - np.uint8(0x09) > 0x04)
         self.is_word = word
         first, last = word.copy(), word.copy()
         if len(data):
@@ -76,19 +75,17 @@ class TextBlock:
             self._eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
         number, place, length = _LANES[lane]
         size = ends - starts
-        runs = np.maximum(1, (size + 7) >> 3)
-        many = len(starts) != int(runs.sum())
-        if many:
+        x = mix(mix((self._eights[starts] & _KEEP[np.minimum(8, size)]) + number) + place)
+        long = np.flatnonzero(size > 8)
+        if len(long):  # their other runs
+            runs = (size[long] - 1) >> 3
             first = np.cumsum(runs) - runs
-            turn = np.arange(first[-1] + runs[-1]) - np.repeat(first, runs)
-            at = np.repeat(starts, runs) + 8 * turn
-            left = np.minimum(8, np.repeat(size, runs) - 8 * turn)
-        else:
-            turn, at, left = np.zeros(len(starts), np.int64), starts, size
-        x = mix((self._eights[at] & _KEEP[left]) + number)
-        x = mix(x + (turn.astype(np.uint64) + np.uint64(1)) * place)
-        if many:
-            x = np.add.reduceat(x, first)
+            turn = np.arange(1, first[-1] + runs[-1] + 1) - np.repeat(first, runs)
+            at = np.repeat(starts[long], runs) + 8 * turn
+            left = np.minimum(8, np.repeat(size[long], runs) - 8 * turn)
+            y = mix((self._eights[at] & _KEEP[left]) + number)
+            y = mix(y + (turn.astype(np.uint64) + np.uint64(1)) * place)
+            x[long] += np.add.reduceat(y, first)
         return mix(x + size.astype(np.uint64) * length)
 
     def word_hashes(self) -> np.ndarray:

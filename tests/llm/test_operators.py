@@ -691,6 +691,42 @@ def test_words_of_one_token_differ(spark):
     assert got == {d: t if d != 4 else "" for d, t, *_ in rows} == {d: t for (d, *_), t in zip(rows, slow_lines(rows))}
 
 
+def test_lines_jobs_do_not_grow_with_partitions(spark):
+    """The driver fetches small tables in a few jobs, not in one for each partition of the shuffles."""
+    rows = [(i, f"one two three four five six {i % 7}\nseven eight nine ten eleven {i}", "en", "a") for i in range(40)]
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, jobs = [spark.conf.get(n) for n in names], []
+    try:
+        for n in (4, 24):
+            for name, value in zip(names, (str(n), "false")):
+                spark.conf.set(name, value)
+            spark.sparkContext.setJobGroup(f"lines-{n}", "lines")
+            line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lines-{n}")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert jobs[1] <= jobs[0] + 5, jobs
+
+
+def test_pairs_of_a_large_group():
+    """Entries of one group in chunks of pairs: the pairs of the filters, at most `take` for each later set, and who had more."""
+    r = np.random.default_rng(3)
+    m = 600
+    n = r.integers(4, 9, m)
+    columns = [np.full(m, 5, np.uint64), n, np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64), r.integers(-(1 << 62), 1 << 62, m), np.arange(m), np.arange(m), np.zeros(m, np.int64)]
+    fits = {(x, y) for y in range(m) for x in range(y) if 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y])}
+    of = {int(k): i for i, k in enumerate(columns[5])}
+    for take in (3, m):
+        found = line_dedup._pairs([line_dedup._packed(columns)], None, take).to_pylist()
+        pairs = [(of[f["x"]], of[f["y"]]) for f in found if f["x"] is not None]
+        each = Counter(y for _, y in pairs)
+        want = Counter(y for _, y in fits)
+        assert set(pairs) <= fits and len(set(pairs)) == len(pairs) and each == {y: min(k, take) for y, k in want.items()}
+        assert {of[k] for f in found if f["more"] for k in f["more"]} == {y for y, k in want.items() if k > take}
+
+
 # ---- 9
 
 
