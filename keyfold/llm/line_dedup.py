@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, gathered, released, written
+from keyfold.llm.runtime import apart, bounded_batches, cut, cut_small, gathered, passing, released, written
 from keyfold.llm.textblocks import TextBlock, blocks, mix
 
 #: Words from which a line is judged; shorter ones stay.
@@ -660,9 +660,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     tables = Tables.of(n_docs := docs.count())
     classes = rarity_table(docs, tables, text)
     buckets = max(1, n_docs // BUCKET_DOCS)
-    sets = written(line_sets(docs, classes, tables, buckets, min_words, text))
-    partners, salts = _partners(sets, tables), _salts(sets, tables)
-    first = written(first_lines(sets))
+    with passing(line_sets(docs, classes, tables, buckets, min_words, text)) as sets:
+        partners, salts = _partners(sets, tables), _salts(sets, tables)
+        first = written(first_lines(sets))
     gone = similar_later(docs, index_entries(docs, classes, partners, salts, tables, buckets, min_words, text), first, tables, min_words, text, take)
     stay = first.join(gone, ["key", "check"], "left_anti").groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("line").alias("__stay"))  # lines of one document
     names = docs.columns

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import wraps
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -82,19 +83,37 @@ def cut_small(df: DataFrame) -> DataFrame:
     return cut(df.repartition(n))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared checkpoint folder and read again."""
+def _stored(df: DataFrame) -> str:
+    """The path of df, written as Parquet to the shared checkpoint folder."""
     spark = df.sparkSession
     shared_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
     with _tidy(spark):
         df.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again."""
+    return df.sparkSession.read.parquet(_stored(df))
+
+
+@contextmanager
+def passing(df: DataFrame) -> Iterator[DataFrame]:
+    """written(df), whose files are deleted at the end: whatever is made from it has to be computed inside."""
+    spark, path = df.sparkSession, _stored(df)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def gathered(rows: DataFrame, size: int) -> Iterator[Row]:
-    """The rows, of about `size` bytes in all, on the driver: one job makes them, and each further job fetches up to GATHER_BYTES, however many partitions the shuffles have."""
-    return rows.repartition(max(1, -(-size // GATHER_BYTES))).toLocalIterator()
+    """The rows, of about `size` bytes in all, on the driver: one job makes them, and each further job fetches up to GATHER_BYTES, however many partitions the shuffles have. They are read from files, so that the shuffles that made them can go."""
+    with passing(rows.repartition(max(1, -(-size // GATHER_BYTES)))) as kept:
+        for file in kept.inputFiles():  # one for each partition that has rows
+            yield from rows.sparkSession.read.schema(kept.schema).parquet(unquote(file)).toLocalIterator()
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,10 +3,13 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tiktoken
@@ -15,7 +18,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyfold.llm import chat_format, graph, line_dedup, mixing, piece_encode, quality_classifier, quality_rules, queries, simhash, textblocks, token_scan, topk, url_filter
+from keyfold.llm import chat_format, graph, line_dedup, mixing, piece_encode, quality_classifier, quality_rules, queries, runtime, simhash, textblocks, token_scan, topk, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -710,6 +713,38 @@ def test_lines_jobs_do_not_grow_with_partitions(spark):
     assert jobs[1] <= jobs[0] + 5, jobs
 
 
+def shuffle_files(spark):
+    """The data files of shuffles that are on disk."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_gathered_leaves_no_shuffle(spark, monkeypatch):
+    """Rows come whole, in several parts, and the shuffles that made them don't stay on disk."""
+    monkeypatch.setattr(runtime, "GATHER_BYTES", 1 << 10)
+    before = shuffle_files(spark)
+    rows = spark.range(500).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n"))
+    assert sorted((r.k, r.n) for r in runtime.gathered(rows, 5 << 10)) == [(k, 10) for k in range(50)]
+    assert list(runtime.gathered(rows.where("n < 0"), 0)) == []
+    for _ in range(40):  # they are deleted in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.25)
+    assert not shuffle_files(spark) - before
+
+
+def test_lines_leave_no_packed_sets(spark):
+    """The packed sets of all lines are of no use once the first lines are known, and go before the index is made; the result, computed later, doesn't need them."""
+    runtime.shared_checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    rows = [x for x in make(8, 40) if x[0] not in (3, None)]
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS))
+    left = [set(pq.read_schema(next(t.glob("*.parquet"))).names) for t in set(folder.glob("table-*")) - before]
+    assert {"key", "check", "d", "line", "h"} in left and not any({"once", "twice", "lines"} <= names for names in left)
+    assert Counter((x.doc_id, x.text) for x in done.collect()) == Counter((d, t) for (d, *_), t in zip(rows, slow_lines(rows)))
+
+
 def test_pairs_of_a_large_group():
     """Entries of one group in chunks of pairs: the pairs of the filters, at most `take` for each later set, and who had more."""
     r = np.random.default_rng(3)
